@@ -94,15 +94,15 @@ def _pick(template: str) -> str:
             " v -> v IS NOT NULL), 0)")
 
 
+def _prefixed(fields: Column, prefix: str) -> Column:
+    """A map with a prefix on its keys; an empty map for null."""
+    return F.coalesce(F.transform_keys(fields, lambda k, _v: F.concat(F.lit(prefix), k)), F.create_map().cast("map<string,string>"))
+
+
 def _context(events: DataFrame) -> DataFrame:
     top = F.from_json("payload", "map<string,string>")
     out = events.withColumn("_top", F.coalesce(top, F.create_map().cast("map<string,string>")))
-    nested = [
-        F.coalesce(F.transform_keys(F.from_json(F.col("_top")[key], "map<string,string>"),
-                                    lambda k, _v, key=key: F.concat(F.lit(key + "."), k)),
-                   F.create_map().cast("map<string,string>"))
-        for key in _NESTED
-    ]
+    nested = [_prefixed(F.from_json(F.col("_top")[key], "map<string,string>"), key + ".") for key in _NESTED]
     texts = F.transform(
         F.filter(F.array_sort(F.map_entries("_top")),
                  lambda e: ~F.lower(e["key"]).isin(*_HIDDEN_KEYS) & (F.trim(e["value"]) != "") & ~e["value"].startswith("{")),
@@ -145,7 +145,7 @@ def _expand(events: DataFrame, book: RuleBook) -> DataFrame:
     digest = F.substring(F.sha2(F.to_json(F.from_json("_el", "answer string, rank string, type string"),
                                           {"ignoreNullFields": "false"}), 256), 1, 16)
     element = F.map_concat(
-        F.coalesce(F.transform_keys(fields, lambda k, _v: F.concat(F.lit("@"), k)), F.create_map().cast("map<string,string>")),
+        _prefixed(fields, "@"),
         F.create_map(F.lit("@"), F.when(fields.isNull(), F.col("_el")), F.lit("@support"), F.col("_sub"),
                      F.lit("@digest"), digest,
                      F.lit("@citation_digest"), F.substring(F.sha2(fields["citation"], 256), 1, 16)))
@@ -314,8 +314,15 @@ def edges_as_of(edge_table: DataFrame, history: DataFrame, t: int | None = None)
 # ---------------------------------------------------------------------------------------------------------------------
 # inferred edges
 
+_CITED = ("taskId string, task_id string, task string, decision string, decision_name string, decision_event_seq string, "
+          "decision_event_hash string, source struct<name:string,entity_type:string>, target struct<name:string,entity_type:string>, "
+          "cause struct<name:string,entity_type:string>, effect struct<name:string,entity_type:string>, relation_type string, "
+          "valid_from string, original_event_seq string, original_event_hash string, reason string, confidence string, "
+          "evidence struct<source_event_seq:string,source_event_hash:string,reason:string>")
+
+
 def _text(path: str) -> Column:
-    return F.nullif(F.trim(F.get_json_object("payload", f"$.{path}")), F.lit(""))
+    return F.nullif(F.trim(F.col(f"_p.{path}")), F.lit(""))
 
 
 def _first(*paths: str) -> Column:
@@ -347,7 +354,7 @@ def inferred_edge_events(events: DataFrame, task_confidence: float = 0.86,
     def by(task: Column, contradiction: Column, cause: Column) -> Column:
         return F.when(kind == done, task).when(kind == wrong, contradiction).when(kind == outcome, cause)
 
-    out = events.filter(kind.isin(done, wrong, outcome)).select(
+    out = events.filter(kind.isin(done, wrong, outcome)).withColumn("_p", F.from_json("payload", _CITED)).select(
         "session", "seq", "hash",
         by(F.lit("inference.edge.generated"), F.lit("inference.edge.retracted"), F.lit("causal.edge.generated")).alias("event_type"),
         by(_first("taskId", "task_id", "task"), _text("source.name"), _text("cause.name")).alias("source"),

@@ -104,6 +104,29 @@ VIEWS: dict[str, str] = {
     "reviews": """SELECT 'm' || (l.doc_id % 40) AS mission, 'f' || l.doc_id AS finding_id, l.doc_id AS seq,
         CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'deferred' END AS status FROM @labels l""",
     "promotions": """SELECT mission, finding_id, event_id AS seq, 'accepted' AS status FROM @findings WHERE event_id % 9 = 0""",
+    "fleet_events": """SELECT 'fl' || (event_id % 4) AS fleet, event_id AS seq, CASE type WHEN 'view' THEN 'reviewed' WHEN 'click' THEN 'superseded'
+        WHEN 'error' THEN 'rolled_back' ELSE 'promoted' END AS kind, 'p' || (k % 60) AS pid, 'p' || (cents % 60) AS other,
+        CASE cents % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'deferred' ELSE 'unclear' END AS decision,
+        CASE k % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'rule' ELSE 'outcome' END AS memory_kind, 'ck' || (k % 9) AS conflict_key,
+        'v' || (cents % 3) AS conflict_value, CASE WHEN cents % 2 = 0 THEN 'active' ELSE 'pending' END AS initial FROM @log""",
+    "statements": """SELECT mission, finding_id, claim_key, claim_value, 'svc' || (event_id % 12) || ' zone' || (event_id % 7) || ' build ' ||
+        CASE claim_value WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed' ELSE 'enabled' END AS summary FROM @findings""",
+    "feedback": """SELECT session, seq, event_id, 'pf' || (k % 6) AS profile, 'g' || (k % 15) AS target_a, 'h' || (cents % 10) AS target_b,
+        CASE type WHEN 'click' THEN 'helpful' WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'used' ELSE 'rejected' END WHEN 'error' THEN 'failed' ELSE 'noted' END AS outcome
+        FROM @log WHERE type <> 'view'""",
+    "checkouts": """SELECT event_id AS seq, 'pf' || (k % 6) AS profile, CASE WHEN cents % 3 = 0 THEN 'fail' ELSE 'pass' END AS evidence_status, cents % 4 AS warnings,
+        CASE WHEN k % 5 < 2 THEN 'reason' || (k % 5) END AS suppress_reason FROM @log WHERE type = 'view'""",
+    "skill_versions": """SELECT 'sk' || (k % 25) AS skill_id, CAST(cents % 3 AS VARCHAR(9)) AS version, event_id AS seq, CASE cents % 5 WHEN 0 THEN 'validated' WHEN 1 THEN 'revised'
+        WHEN 2 THEN 'proposed' WHEN 3 THEN 'deprecated' ELSE 'contradicted' END AS status FROM @log WHERE type = 'signup'""",
+    "skill_outcomes": """SELECT 'sk' || (k % 30) AS skill_id, CAST(cents % 3 AS VARCHAR(9)) AS version, CASE WHEN k % 7 = 0 THEN NULL ELSE (cents % 101) / 100.0 END AS success_score,
+        CASE event_id % 5 WHEN 0 THEN 'used' WHEN 1 THEN 'failed' WHEN 2 THEN 'passed' ELSE 'seen' END AS feedback FROM @log WHERE type = 'click'""",
+    "meta_events": """SELECT session, seq, hash, CASE type WHEN 'error' THEN 'unknown' WHEN 'click' THEN 'assessment' WHEN 'purchase' THEN 'cluster' WHEN 'view' THEN 'reverify' ELSE 'other' END AS kind,
+        'ck' || (k % 12) AS claim_key, CASE WHEN type = 'purchase' THEN CASE WHEN cents % 3 = 0 THEN 'resolved' ELSE 'unresolved' END WHEN cents % 4 = 0 THEN 'closed' ELSE 'open' END AS status,
+        (cents % 100) / 100.0 AS confidence, k % 3 AS conflicts FROM @log""",
+    "consolidation_events": """SELECT session, seq, CASE type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'rolled_back' WHEN 'view' THEN 'reviewed' ELSE 'other' END AS kind,
+        'cand' || (k % 8) AS candidate_id, CASE k % 3 WHEN 0 THEN 'episode' WHEN 1 THEN 'claim' ELSE 'procedure' END AS candidate_type,
+        CASE cents % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'deferred' ELSE 'conflicted' END AS status, seq - 1 AS target_seq,
+        CASE WHEN cents % 9 = 0 THEN 1 ELSE 0 END AS stale FROM @log""",
     "edges": """SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey
         UNION SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM @lineitem""",
     "geo": """SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'located_in' AS relation FROM @customer
