@@ -127,6 +127,28 @@ VIEWS: dict[str, str] = {
         'cand' || (k % 8) AS candidate_id, CASE k % 3 WHEN 0 THEN 'episode' WHEN 1 THEN 'claim' ELSE 'procedure' END AS candidate_type,
         CASE cents % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'deferred' ELSE 'conflicted' END AS status, seq - 1 AS target_seq,
         CASE WHEN cents % 9 = 0 THEN 1 ELSE 0 END AS stale FROM @log""",
+    "ledger": """SELECT 'q' || (o_custkey % 200) AS question, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 AS fact_id, 'o' || l_orderkey AS source_group,
+        CASE l_linenumber % 3 WHEN 0 THEN 'currency' WHEN 1 THEN 'quantity' ELSE 'number' END AS kind,
+        CASE WHEN l_linenumber % 3 = 0 THEN CAST(round(l_extendedprice / 1000) AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END AS value,
+        CASE l_partkey % 4 WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 2 THEN 'minute' ELSE 'week' END AS unit, 'p' || l_partkey || l_returnflag AS label,
+        'p' || (l_partkey % 300) AS identity, l_partkey % 5 AS relevance, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 AS ord, CAST(l_shipdate AS DATE) AS event_date,
+        CASE WHEN l_partkey % 3 = 0 THEN 'stated_total' ELSE 'incremental_update' END AS include_reason,
+        CASE WHEN l_suppkey % 9 = 0 THEN 'off_topic' END AS exclude_reason FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey""",
+    "notes": """SELECT session, seq, event_id, ts_us, 'I paid $' || (cents % 9000) || '.' || lpad(CAST(k AS VARCHAR(9)), 2, '0') || ' for ' || (k % 12 + 1) || ' items over ' || (k % 9 + 1) ||
+        CASE cents % 4 WHEN 0 THEN ' hours' WHEN 1 THEN ' days' WHEN 2 THEN ' minutes' ELSE ' weeks' END || ' on ' || CASE WHEN k % 2 = 0 THEN '2023-0' || (k % 9 + 1) || '-1' || (k % 9) ELSE 'March ' || (k % 27 + 1) END ||
+        ', ' || (k % 20 + 1) || CASE WHEN k % 3 = 0 THEN ' weeks ago' ELSE ' days ago' END || CASE WHEN k % 10 = 3 THEN ' with my dog named Rex' || (cents % 5) WHEN k % 10 = 7 THEN ' near my cat, Tom' || (cents % 5) ELSE '' END AS text FROM @log""",
+    "code_files": """SELECT CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'src/' WHEN 3 THEN 'src/' ELSE 'lib/' END || 'pkg' || (p_partkey % 50) || '/mod' || p_partkey ||
+        CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM @part""",
+    "code_imports": """SELECT 'src/app/s' || l_suppkey || '.py' AS path, 'pkg' || (l_partkey % 50) || '.mod' || l_partkey AS module, l_orderkey * 10 + l_linenumber AS line FROM @lineitem""",
+    "code_calls": """SELECT 'src/app/s' || l_suppkey || '.py' AS path, CASE l_linenumber % 4 WHEN 0 THEN 'helper' || (l_partkey % 9) WHEN 1 THEN 'm.mod' || (l_partkey % 40) WHEN 2 THEN 'self.helper' || (l_partkey % 9) ELSE 'print' END AS callee,
+        l_orderkey * 10 + l_linenumber AS line FROM @lineitem""",
+    "code_symbols": """SELECT 'src/app/s' || s_suppkey || '.py' AS path, 'helper' || (s_suppkey % 9) AS name, 'App.helper' || (s_suppkey % 9) AS qualified_name FROM @supplier
+        UNION ALL SELECT 'src/app/s' || s_suppkey || '.py', 'helper' || ((s_suppkey + 1) % 9), 'helper' || ((s_suppkey + 1) % 9) FROM @supplier""",
+    "code_imported": """SELECT DISTINCT 'src/app/s' || l_suppkey || '.py' AS path, 'mod' || (l_partkey % 40) AS name, 'pkg/mod' || (l_partkey % 40) || '.py' AS target_path, 'run' || (l_partkey % 40) AS target_name
+        FROM @lineitem WHERE l_linenumber % 2 = 0""",
+    "traced": """SELECT session, seq, ts_us, hash, CASE type WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'model.call.requested' ELSE 'coordination.mission.created' END WHEN 'view' THEN 'tool.call.completed' WHEN 'click' THEN 'transcript.turn'
+        WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'coordination.finding.reported' ELSE 'coordination.finding.promoted' END ELSE 'coordination.finding.reviewed' END AS type,
+        CASE WHEN type = 'signup' THEN 'ms' || event_id WHEN event_id % 3 = 0 THEN 'ms' || (event_id - event_id % 10) END AS mission_id, CASE WHEN type = 'purchase' AND k % 2 = 0 THEN 'f' || event_id ELSE 'f' || (event_id - event_id % 7) END AS finding_id FROM @log""",
     "edges": """SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey
         UNION SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM @lineitem""",
     "geo": """SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'located_in' AS relation FROM @customer
