@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, long_words
 from ..ordered import running_sum, top_k
+from ..session import cut
 
 K1, B = 1.5, 0.75
 
@@ -180,13 +181,13 @@ def associative_pool(cue: DataFrame, index: DataFrame, idf: DataFrame, top: int
     terms meet by equi joins.
     """
     best = lambda rows, k: top_k(rows, ["query"], [F.desc("score"), F.col("doc")], k)
-    direct = direct_scores(cue, index)
+    direct = cut(direct_scores(cue, index))
     active = cue.join(idf.select("term", "idf"), "term", "left").select("query", "term", F.coalesce("idf", F.lit(1.0)).alias("weight"))
     seeds = best(direct.withColumnRenamed("direct", "score"), seed_k).select("query", "doc", "score")
-    active = _reinforce(active, seeds, index, cue, 1.0)
+    active = cut(_reinforce(active, seeds, index, cue, 1.0))
     for _ in range(rounds):
         chosen = best(active_scores(active, index, direct), spread_k).select("query", "doc", "score")
-        active = _reinforce(active, chosen, index, cue, 0.0)
+        active = cut(_reinforce(active, chosen, index, cue, 0.0))
     return best(active_scores(active, index, direct), max(3 * top, top)), active
 
 
@@ -241,8 +242,9 @@ def associative_completion(queries: DataFrame, packets: DataFrame, query_id: str
                            kind: Column, top: int = 3) -> DataFrame:
     """Cited packets completing a partial cue: spread, pool, then the greedy choice."""
     cue = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(long_words(query_text))).alias("term"))
-    index, idf = packet_index(packets, packet_id, text)
+    index, idf = (cut(part) for part in packet_index(packets, packet_id, text))
     pool, active = associative_pool(cue, index, idf, top)
+    pool = cut(pool)
     lowered = F.lower(text)
     says = lambda words: F.greatest(*[F.contains(lowered, F.lit(w)) for w in words])
     decided = kind.startswith("decision.") | kind.startswith("policy.")

@@ -447,14 +447,16 @@ def outcome_explanation(src):
     return G.explain_outcomes(src.sql(_CAUSAL), outcomes, evidence, depth=1).select("start", "node", "via")
 
 
-_PPR = """e AS (SELECT src, dst FROM @edges UNION ALL SELECT dst, src FROM @edges), d AS (SELECT src, count(*) AS deg FROM e GROUP BY src), sd AS (SELECT 's' || s_suppkey AS node, 1.0 / count(*) OVER () AS r FROM supplier WHERE s_acctbal > 8000 AND 's' || s_suppkey IN (SELECT src FROM e)),
+_PPR = """e AS (SELECT src, dst FROM @edges UNION ALL SELECT dst, src FROM @edges), d AS (SELECT src, count(*) AS deg FROM e GROUP BY src), sd AS (SELECT 's' || s_suppkey AS node, 1.0 / count(*) OVER () AS r FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier) AND 's' || s_suppkey IN (SELECT src FROM e)),
  m0 AS MATERIALIZED (SELECT node, r AS mass FROM sd)"""
 for _i in range(1, 11):
     _PPR += f""", m{_i} AS MATERIALIZED (SELECT node, sum(mass) AS mass FROM (SELECT e.dst AS node, 0.85::DOUBLE * m.mass / d.deg AS mass FROM m{_i - 1} m JOIN e ON e.src = m.node JOIN d ON d.src = e.src UNION ALL SELECT node, 0.15::DOUBLE * r FROM sd) GROUP BY node)"""
 
 
 def _walk(src):
-    seeds = src.supplier.filter("s_acctbal > 8000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    suppliers = src.supplier
+    mean = suppliers.agg(F.avg("s_acctbal").alias("m")).scalar()
+    seeds = suppliers.filter(F.col("s_acctbal") > mean).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     return G.pagerank(G.undirected(src.edges), seeds, iterations=10)
 
 

@@ -230,7 +230,7 @@ def most_recent_value(src):
     return E.most_recent_value(src.ledger.withColumn("days_ago", F.date_diff(F.lit("2005-01-01").cast("date"), "event_date")))
 
 
-_TITLES = """SELECT question, 'title ' || (fact_id % 20) AS title, CASE WHEN ord % 2 = 0 THEN 'start' ELSE 'finish' END AS role, event_date, relevance, ord FROM @ledger"""
+_TITLES = """SELECT question, 'title ' || identity AS title, CASE WHEN ord % 2 = 0 THEN 'start' ELSE 'finish' END AS role, event_date, relevance, ord FROM @ledger"""
 
 
 @query("titled_durations", f"""WITH t AS ({_TITLES}), b AS (SELECT question, title, role, arg_max(event_date, struct_pack(r := relevance, o := -ord)) AS d FROM t GROUP BY ALL),
