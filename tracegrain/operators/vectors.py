@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ordered import top_k
 from ..session import cut
@@ -17,10 +18,13 @@ OVERSAMPLE = 4
 
 
 def unit(vector: Column) -> Column:
-    """Unit-length copy of an array column as doubles; a zero vector stays zero."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    """Unit-length copy of an array column as doubles; a zero vector stays zero.
+
+    The norm is an argument of the zip, not part of its lambda, so it is computed once per row.
+    """
+    v = vector.cast("array<double>")
+    norm = F.sqrt(F.aggregate(F.zip_with(v, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -118,6 +122,23 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return cells.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
 
 
+def _dense(dim: int):
+    """Sparse (index, value) cells of one row to a unit vector of `dim` values."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def fill(cells: pd.Series) -> pd.Series:
+        out = []
+        for row in cells:
+            v = np.zeros(dim)
+            for c in row:
+                v[c["i"]] = c["x"]
+            n = np.sqrt((v * v).sum())
+            out.append(v / n if n > 0 else v)
+        return pd.Series(out)
+
+    return fill
+
+
 def hash_embedding(texts: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
     """Feature-hash embedding: SHA-256 picks a bucket and a sign per whitespace token, then unit length.
 
@@ -129,9 +150,7 @@ def hash_embedding(texts: DataFrame, key: str, text: Column, dim: int = 64) -> D
     index = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % dim
     sign = F.when(F.conv(F.substring("h", 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
     cells = rows.groupBy(key, index.cast("int").alias("i")).agg(F.sum(F.col("n") * sign).cast("double").alias("x"))
-    filled = F.aggregate(F.col("_c"), F.array_repeat(F.lit(0.0), dim), lambda acc, c: F.concat(
-        F.slice(acc, F.lit(1), c["i"]), F.array(c["x"]), F.slice(acc, c["i"] + 2, F.lit(dim))))
-    return cells.groupBy(key).agg(F.collect_list(F.struct("i", "x")).alias("_c")).select(key, unit(filled).alias("vector"))
+    return cells.groupBy(key).agg(F.collect_list(F.struct("i", "x")).alias("_c")).select(key, _dense(dim)(F.col("_c")).alias("vector"))
 
 
 def re_embed(stored: DataFrame, texts: DataFrame, key: str, text: Column, tag: str, dim: int = 64) -> DataFrame:

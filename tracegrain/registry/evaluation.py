@@ -19,7 +19,7 @@ from .retrieval import _BM25
 _RUNS = """SELECT type AS backend, k AS case_id, 'cat' || (k % 5) AS category, event_id % 10 AS run, CAST(max(cents % 10001) / 10000.0 AS DOUBLE) AS score, CAST(max(cents % 977) / 10.0 AS DOUBLE) AS latency_ms,
  CAST(CASE WHEN k % 7 = 0 THEN NULL ELSE max(cents % 2) END AS DOUBLE) AS recall_at_5, CAST(max(cents % 3) / 2.0 AS DOUBLE) AS answer_recall_at_5, max(cents % 4096) AS bytes FROM @log GROUP BY type, k, event_id % 10"""
 
-_CASES = f"""cs AS (SELECT item_id AS case_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))[1:6] AS expected, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))[7:9] AS source, ['license'] AS forbidden FROM benchmark),
+_CASES = f"""cs AS (SELECT item_id AS case_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))[1:6] AS expected, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))[7:9] AS source, ['license'] AS forbidden FROM benchmark),
  rs AS (SELECT query AS case_id, rank, lower(text) AS t FROM kw JOIN documents ON doc_id = doc WHERE rank <= 10),
  tm AS (SELECT case_id, 'e' AS kind, unnest(expected) AS term FROM cs UNION ALL SELECT case_id, 's', unnest(source) FROM cs UNION ALL SELECT case_id, 'f', unnest(forbidden) FROM cs),
  bs AS (SELECT tm.case_id, kind, term, min(rank) AS rank FROM tm JOIN rs ON rs.case_id = tm.case_id AND contains(rs.t, tm.term) GROUP BY ALL),
@@ -33,7 +33,7 @@ _CASES = f"""cs AS (SELECT item_id AS case_id, list_distinct(regexp_extract_all(
 
 
 def _scored(src):
-    words = F.array_distinct(tx.words(F.col("text")))
+    words = F.array_sort(F.array_distinct(tx.words(F.col("text"))))
     empty = F.array().cast("array<string>")
     cases = src.benchmark.select(F.col("item_id").alias("case_id"), F.slice(words, 1, 6).alias("expected"), F.slice(words, 7, 3).alias("source"),
                                  F.array(F.lit("license")).alias("forbidden"), empty.alias("identity"))
@@ -81,7 +81,7 @@ _THRESH = "SELECT * FROM (VALUES ('score_floor', 'score', 'min', 0.4), ('latency
 def regression_guardrails(src):
     means = src.sql(_RUNS).filter("backend IN ('view', 'click')").groupBy("backend").agg(F.avg("score").alias("score"), F.avg("latency_ms").alias("latency"))
     long = means.select("backend", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("score", "latency")])).alias("x")).select("backend", "x.*")
-    return E.guardrails(long.filter("backend = 'view'"), long.filter("backend = 'click'"), src.spark.sql(_THRESH.replace("FROM (VALUES", "FROM (VALUES"))).select("check_name", "passed")
+    return E.guardrails(long.filter("backend = 'view'"), long.filter("backend = 'click'"), src.spark.sql(_THRESH)).select("check_name", "passed")
 
 
 _CAL = """SELECT CASE WHEN (cents % 100) >= 55 THEN 'likely' WHEN (cents % 100) >= 20 THEN 'possible' ELSE 'unlikely' END AS verdict, CASE k % 3 WHEN 0 THEN 'present' WHEN 1 THEN 'absent' ELSE 'partial' END AS family, k % 2 AS label, CAST((cents % 100) / 100.0 AS DOUBLE) AS score FROM @log"""
