@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import long_words
 from ..ordered import top_k
+from ..session import cut
 
 # mention patterns (fixed values)
 MENTIONS = {
@@ -142,26 +143,39 @@ def preference_profile(rows: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.56 + 0.1 * F.least("preferences", F.lit(3)) + 0.03 * F.col("overlap")), 4))
 
 
-def date_intervals(ledger: DataFrame, max_days: int = 366, best: int = 5) -> DataFrame:
+def _gaps(two: DataFrame, max_days: int) -> DataFrame:
+    """Best pair score per (question, gap in days); days meet inside buckets of `max_days` + 1."""
+    two = two.withColumn("_day", F.unix_date("event_date")).withColumn("_b", F.floor(F.col("_day") / (max_days + 1)))
+    right = two.select("question", F.col("source_group").alias("_src2"), F.col("r").alias("_r2"), F.col("o").alias("_o2"), F.col("_day").alias("_d2"), "_b")
+    left = two.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
+    days = F.col("_d2") - F.col("_day")
+    pairs = left.join(right, ["question", "_b"]).filter(days.between(1, max_days) & (F.col("source_group") != F.col("_src2")))
+    return pairs.groupBy("question", days.alias("days")).agg(
+        F.min(F.struct((F.col("r") + F.col("_r2")).alias("r"), (F.col("o") + F.col("_o2")).alias("o"))).alias("k"))
+
+
+def date_intervals(ledger: DataFrame, max_days: int = 366, best: int = 5, pool: int = 256) -> DataFrame:
     """Best-scored pair of dated rows from different sources, 1 to `max_days` apart, per distinct gap; first `best` gaps.
 
-    Only the two best sources of a date can take part in a best pair, so each question shrinks to two rows
-    per day before days meet; days meet inside buckets of `max_days` + 1, which bounds every join group.
+    Only the two best sources of a date can take part in a best pair.  A question is first solved on its `pool`
+    best rows; a row outside the pool cannot beat first row + last pool row, so if the last gap found is better than
+    that bound the answer is final.  Only questions that fail the test meet all their dates.
     """
     rows = included(ledger).filter("event_date IS NOT NULL").groupBy("question", "event_date", "source_group").agg(
         F.min(F.struct((-F.col("relevance")).alias("r"), F.col("ord").alias("o"))).alias("s"))
-    two = top_k(rows, ["question", "event_date"], [F.col("s"), F.col("source_group")], 2, out="_r").drop("_r")
-    two = two.withColumn("_day", F.unix_date("event_date")).withColumn("_b", F.floor(F.col("_day") / (max_days + 1)))
-    right = two.select("question", F.col("event_date").alias("to_date"), F.col("source_group").alias("to_source"), F.col("s").alias("_s2"), F.col("_day").alias("_d2"), "_b")
-    left = two.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
-    pairs = left.join(right, ["question", "_b"]).filter(
-        (F.col("_d2") - F.col("_day")).between(1, max_days) & (F.col("source_group") != F.col("to_source")))
-    score = F.struct((F.col("s.r") + F.col("_s2.r")).alias("r"), (F.col("s.o") + F.col("_s2.o")).alias("o"))
-    gap = pairs.groupBy("question", (F.col("_d2") - F.col("_day")).alias("days")).agg(
-        F.min(F.struct(score.alias("k"), "event_date", "to_date", "source_group", "to_source")).alias("p"))
-    ranked = top_k(gap, ["question"], [F.col("p.k"), F.col("days")], best)
-    return ranked.select("question", "rank", "days", F.when(F.col("days") % 7 == 0, F.col("days") / 7).cast("bigint").alias("weeks"),
-                         (-F.col("p.k.r")).alias("relevance"))
+    two = top_k(rows, ["question", "event_date"], [F.col("s"), F.col("source_group")], 2, out="_r").select(
+        "question", "event_date", "source_group", "s", F.col("s.r").alias("r"), F.col("s.o").alias("o"))
+    two = cut(two)
+    near = cut(top_k(two, ["question"], [F.col("s"), F.col("source_group")], pool, out="_r"))
+    order = [F.col("k"), F.col("days")]
+    quick = cut(top_k(_gaps(near, max_days), ["question"], order, best))
+    edge = near.groupBy("question").agg(F.min("s").alias("a"), F.max("s").alias("z"), F.count(F.lit(1)).alias("n"))
+    last = quick.groupBy("question").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("found"))
+    bound = F.struct((F.col("a.r") + F.col("z.r")).alias("r"), (F.col("a.o") + F.col("z.o")).alias("o"))
+    done = edge.join(last, "question", "left").filter((F.col("n") < pool) | ((F.col("found") == best) & (F.col("k") < bound))).select("question")
+    slow = top_k(_gaps(two.join(done, "question", "left_anti"), max_days), ["question"], order, best)
+    ranked = quick.join(done, "question", "left_semi").unionByName(slow)
+    return ranked.select("question", "rank", "days", F.when(F.col("days") % 7 == 0, F.col("days") / 7).cast("bigint").alias("weeks"), (-F.col("k.r")).alias("relevance"))
 
 
 def temporal_sequence(ledger: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ordered import neighbour, slice_of
+from ..session import cut
 from .rules import BUILT_IN, Edge, Entity, Rule
 
 _TEMPLATE = T.ArrayType(T.ArrayType(T.StringType()))
@@ -89,9 +90,9 @@ _PART = """CASE
 
 
 def _pick(template: str) -> str:
-    """SQL text of the first complete alternative of a template column."""
-    return (f"get(filter(transform({template}, alt -> aggregate(alt, '', (acc, p) -> concat(acc, {_PART}))),"
-            " v -> v IS NOT NULL), 0)")
+    """SQL text of the first complete alternative of a template column; later alternatives are not evaluated."""
+    text = f"aggregate(alt, '', (acc, p) -> CASE WHEN acc IS NOT NULL THEN concat(acc, {_PART}) END)"
+    return f"aggregate({template}, CAST(NULL AS STRING), (found, alt) -> CASE WHEN found IS NOT NULL THEN found ELSE {text} END)"
 
 
 def _prefixed(fields: Column, prefix: str) -> Column:
@@ -99,7 +100,8 @@ def _prefixed(fields: Column, prefix: str) -> Column:
     return F.coalesce(F.transform_keys(fields, lambda k, _v: F.concat(F.lit(prefix), k)), F.create_map().cast("map<string,string>"))
 
 
-def _context(events: DataFrame) -> DataFrame:
+def _context(events: DataFrame, generic: Column) -> DataFrame:
+    """Events with `ctx`, the one map every template reads; the generic summary is built only for `generic` rows."""
     top = F.from_json("payload", "map<string,string>")
     out = events.withColumn("_top", F.coalesce(top, F.create_map().cast("map<string,string>")))
     nested = [_prefixed(F.from_json(F.col("_top")[key], "map<string,string>"), key + ".") for key in _NESTED]
@@ -115,21 +117,20 @@ def _context(events: DataFrame) -> DataFrame:
     envelope = F.map_from_entries(F.filter(F.array(*[
         F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in {
             "$seq": F.col("seq"), "$type": F.col("type"), "$actor": F.col("actor"), "$thread": F.col("session"),
-            "$timestamp": F.col("ts_us"), "$payload_summary": F.array_join(texts, " "), "$review_state": review,
+            "$timestamp": F.col("ts_us"), "$payload_summary": F.when(generic, F.array_join(texts, " ")), "$review_state": review,
             "$ref": F.concat(F.lit("log://"), "session", F.lit("/events/"), F.col("seq").cast("string"), F.lit("#"), "hash"),
             "$candidate_digest": F.substring(F.sha2(F.to_json(candidate, {"ignoreNullFields": "false"}), 256), 1, 16),
             "reverts.review_candidate_id": F.when((reviewed["event_type"] == "consolidation.candidate.reviewed")
                                                   & reviewed["to_status"].isNotNull(), reviewed["candidate_id"]),
         }.items()]), lambda e: e["value"].isNotNull()))
-    return out.withColumn("ctx", F.map_concat("_top", *nested, envelope)).drop("_top")
+    return out.withColumn("ctx", F.map_concat(envelope, "_top", *nested)).drop("_top")
 
 
 def _expand(events: DataFrame, book: RuleBook) -> DataFrame:
     """Join each event to the rule items of its type, with list-driven items exploded."""
     spark = events.sparkSession
-    known = F.array(*[F.lit(t) for t in book.event_types])
-    keyed = _context(events).withColumn(
-        "_rule", F.when(F.array_contains(known, F.col("type")), F.col("type")).otherwise(F.lit(GENERIC)))
+    known = F.col("type").isin(*book.event_types)
+    keyed = _context(events, ~known).withColumn("_rule", F.when(known, F.col("type")).otherwise(F.lit(GENERIC)))
     items = book.items(spark).withColumnRenamed("type", "_rule")
     rows = keyed.join(F.broadcast(items), "_rule")
     ok = F.forall("require", lambda r: F.when(
@@ -229,10 +230,11 @@ def versions(assertions: DataFrame, tombstones: DataFrame | None = None) -> Data
         rows = rows.unionByName(
             tombstones.select(*_KEY, "seq", "ts_us", F.lit(True).alias("gone")), allowMissingColumns=True)
     state = F.when(~F.col("gone"), F.struct("summary", "props_text"))
-    rows = rows.withColumn("_slice", slice_of("seq"))
+    # each neighbour pass reads its input twice, so extraction and the first pass are cut instead of run again
+    rows = cut(rows.withColumn("_slice", slice_of("seq")))
     rows = neighbour(rows, _KEY, ["seq", "gone"], state, "_prev")
     changed = F.col("gone") | F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state)
-    points = rows.filter(changed).drop("_prev")
+    points = cut(rows.filter(changed).drop("_prev"))
     points = neighbour(points, _KEY, ["seq", "gone"], F.col("ts_us"), "valid_to", forward=True)
     return points.filter("NOT gone").select(
         *_KEY, "summary", "props_text", F.col("ts_us").alias("valid_from"), "valid_to",

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordered import row_numbers
-from .session import checkpoint_root
+from .session import checkpoint_root, parallelism
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
                "pages", "benchmark", "labels", "conversations")
 
+_TEXT_TABLES = ("documents", "conversations", "pages", "embeddings")
 _LOG_COLUMNS = ["session", "seq", "ts_us", "type", "actor", "k", "value", "cents", "event_id", "payload", "hash"]
 _log_paths: dict[tuple[str, str], str] = {}
 
@@ -28,6 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.typeName().startswith("timestamp"):
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    if name in _TEXT_TABLES and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        df = df.repartition(spark.sparkContext.defaultParallelism)  # one small file: give the per-row text work all cores
     return df
 
 
@@ -54,7 +57,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.col("value") * 100).cast("bigint").alias("cents"), "event_id", "payload")
         log = log.withColumn("hash", F.sha2(F.concat_ws("|", "session", F.col("seq").cast("string"),
                                                         F.col("ts_us").cast("string"), "type", "payload"), 256))
-        log.select(*_LOG_COLUMNS).sortWithinPartitions("session", "seq").write.mode("overwrite").parquet(path)
+        log = log.select(*_LOG_COLUMNS).repartitionByRange(parallelism(spark), "session", "seq")
+        log.sortWithinPartitions("session", "seq").write.mode("overwrite").parquet(path)
         _log_paths[key] = path
     return spark.read.parquet(path)
 
