@@ -1,0 +1,230 @@
+"""Operators against brute force and planted defects on small fixtures."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from tracegrain.operators import evidence, facts, fleet, fusion, graph, portable, replay, retrieval, rules, sequences, vectors
+from tracegrain.sources import logs
+
+
+def test_every_rule_type_is_registered_once():
+    types = [r.event_type for r in rules.BUILT_IN]
+    assert len(types) == len(set(types)) == 85
+
+
+def event(spark, rows):
+    return spark.createDataFrame([(s, q, q * 10, t, "ann", json.dumps(p), "h" * 64) for s, q, t, p in rows],
+                                 "session string, seq bigint, ts_us bigint, type string, actor string, payload string, hash string")
+
+
+def test_rules_lists_defaults_and_required_keys(spark):
+    log = event(spark, [
+        ("s", 1, "skill.validated", {"skill_id": "k1", "version": 2, "procedure": ["a", "b"], "name": "Build"}),
+        ("s", 2, "skill.validated", {"version": 2}),
+        ("s", 3, "memory.synthesis.used", {"answer_candidate": {"answer_key": "x"}, "support_source_ids": ["g1", "g2"]}),
+        ("s", 4, "metacognition.unknown.recorded", {"unknown_id": "u", "question": "q", "reason": "r", "claim_key": "c", "gap_type": "g", "status": "closed",
+                                                    "source_events": [{"seq": 1}], "authority_status": "non_authoritative"}),
+        ("s", 5, "memory.rolled_back", {"reverts": {"event_type": "consolidation.candidate.reviewed", "candidate_id": "c9", "to_status": "pending"}}),
+        ("s", 6, "odd.thing", {"b": [1, 2], "a": "x", "token": "hidden"}),
+        ("s", 7, "fleet.promotion.reviewed", {"promotion_id": "p1", "decision": "accepted"}),
+    ])
+    got = {(r["seq"], r["entity_type"], r["name"]): (r["summary"], r["props"]) for r in facts.entities(log).collect()}
+    assert got[(1, "skill", "skill:k1")][0] == "Build"
+    assert got[(1, "skill_version", "skill:k1:v2")][1]["procedure"] == '["a","b"]'
+    assert not [k for k in got if k[0] in (2, 4)]
+    assert (3, "source_group", "g1") in got and (3, "synthesis_answer_candidate", "candidate_feedback:candidate:x") in got
+    assert got[(5, "consolidation_candidate", "c9")][1]["review_status"] == "pending"
+    assert got[(6, "event", "event:odd.thing:6")][0] == "ann emitted odd.thing a=x 1 2"
+    assert got[(7, "fleet_promotion", "p1")][1]["review_status"] == "active"
+
+
+def test_user_rule_replaces_and_frame_rule(spark):
+    book = facts.RuleBook()
+    book.register(rules.Rule("odd.thing", (rules.Entity("a", "'letter"),)))
+    log = event(spark, [("s", 1, "odd.thing", {"a": "x"})])
+    assert [(r["name"], r["entity_type"]) for r in facts.entities(log, book).collect()] == [("x", "letter")]
+    empty = facts.entities(log, book)
+    book.register_frame("odd.thing", lambda rows: empty.limit(0))
+    assert facts.entities(log, book).count() == 0
+
+
+def test_versions_reopen_after_tombstone_and_never_overlap(spark):
+    a = [("s", "m", "x", 1, 10, "A"), ("s", "m", "x", 2, 20, "A"), ("s", "m", "x", 4, 40, "A"), ("s", "m", "x", 5, 50, "B")]
+    rows = spark.createDataFrame([(s, q, 0, t, "h", n, e, v, {}) for s, e, n, q, t, v in a],
+                                 "session string, seq bigint, idx int, ts_us bigint, source_hash string, name string, entity_type string, summary string, props map<string,string>")
+    stones = spark.createDataFrame([("s", "m", "x", 3, 30)], "session string, entity_type string, name string, seq bigint, ts_us bigint")
+    got = sorted((r["valid_from"], r["valid_to"], r["summary"]) for r in facts.versions(rows, stones).collect())
+    assert got == [(10, 30, "A"), (40, 50, "A"), (50, None, "B")]
+
+
+def test_seal_in_rounds_equals_one_round_and_verify_finds_the_break(spark):
+    rows = spark.createDataFrame([(s, q, f"d{s}{q}") for s in "ab" for q in range(1, 24)], "session string, seq bigint, digest string")
+    one, many = logs.seal(rows), logs.seal(rows, width=5)
+    key = lambda df: {(r["session"], r["seq"]): (r["prev_hash"], r["hash"]) for r in df.collect()}
+    assert key(one) == key(many)
+    bad = one.withColumn("prev_hash", F.when(F.expr("session = 'b' AND seq = 17"), "zz").otherwise(F.col("prev_hash")))
+    verdict = {r["session"]: (r["ok"], r["broken_at_seq"]) for r in logs.verify_chain(bad, logs.link(F.col("prev_hash"), F.col("digest")) == F.col("hash")).collect()}
+    assert verdict == {"a": (True, None), "b": (False, 17)}
+
+
+def test_read_log_both_envelopes_and_foreign_seal(spark, tmp_path):
+    import hashlib
+    body = {"seq": 1, "timestamp": "2026-01-02T03:04:05Z", "type": "goal.created", "actor": "u", "thread": "t", "payload": {"b": 1, "a": "é"}, "prev_hash": None}
+    digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    unsigned = {"id": "evt_app_000000000002_0123456789abcdef", "type": "task.proposed", "actorId": "u", "threadId": "t", "parentEventId": None, "causedBy": [],
+                "timestamp": "2026-01-02T03:04:06Z", "payload": {"x": [1, {"y": 2}]}}
+    v1 = hashlib.sha256(json.dumps({"event": unsigned, "previousHash": "sha256:" + digest}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    lines = [json.dumps({**body, "hash": digest}), json.dumps({**unsigned, "integrity": {"hash": "sha256:" + v1, "previousHash": "sha256:" + digest}}), "not json"]
+    (tmp_path / "s1.jsonl").write_text("\n".join(lines))
+    log = logs.read_log(spark, str(tmp_path), line_order=True)
+    good, bad = logs.valid_and_rejected(log)
+    assert bad.count() == 1 and {(r["seq"], r["envelope"], r["session"]) for r in good.collect()} == {(1, "legacy", "s1"), (2, "v1", "s1")}
+    assert good.filter(logs.foreign_seal_ok()).count() == 2
+    assert logs.verify_chain(good, logs.foreign_seal_ok()).first()["ok"]
+
+
+def test_fleet_state_equals_ordered_replay(spark):
+    rnd = random.Random(7)
+    events = []
+    for seq in range(1, 600):
+        kind = rnd.choice(["promoted", "reviewed", "superseded", "rolled_back"])
+        events.append((f"f{rnd.randint(0, 1)}", seq, kind, f"p{rnd.randint(0, 25)}", f"p{rnd.randint(0, 25)}",
+                       rnd.choice(["accepted", "rejected", "deferred", "huh"]), "skill", "c", "v", rnd.choice(["active", "pending"])))
+    status, winner = {}, {}
+    for f, _, kind, pid, other, decision, *_, initial in events:
+        k = (f, pid)
+        if kind == "promoted":
+            status.setdefault(k, initial)
+        elif k not in status:
+            continue
+        elif kind == "reviewed":
+            status[k] = {"accepted": "active", "rejected": "rejected", "deferred": "deferred"}.get(decision, status[k])
+        elif kind == "superseded":
+            status[k], winner[k] = "superseded", other
+        else:
+            status[k] = "rolled_back"
+            for old, by in winner.items():
+                if old[0] == f and by == pid and status.get(old) == "superseded":
+                    status[old] = "active"
+    df = spark.createDataFrame(events, "fleet string, seq bigint, kind string, pid string, other string, decision string, memory_kind string, conflict_key string, conflict_value string, initial string")
+    assert {(r["fleet"], r["pid"]): r["status"] for r in fleet.fleet_state(df).collect()} == status
+
+
+def test_salience_clamps_in_order(spark):
+    rnd = random.Random(5)
+    kinds = [rnd.choice(list(replay.MULTIPLIERS)) for _ in range(200)]
+    df = spark.createDataFrame([("s", i + 1, 1000, "t", k, None) for i, k in enumerate(kinds)], "session string, seq bigint, ts_us bigint, target string, kind string, weight double")
+    factor = 1.0
+    for k in kinds:
+        factor = min(10.0, max(0.01, factor * replay.MULTIPLIERS[k]))
+    assert abs(replay.salience(df, 1000).first()["factor"] - factor) < 1e-9
+
+
+def walk(edges, seeds, steps, alpha=0.85):
+    """Dense power iteration with dangling mass handed to the seeds."""
+    nodes = {n for e in edges for n in e}
+    out = {n: [d for s, d in edges if s == n] for n in nodes}
+    restart = {n: 1 / len(seeds) if n in seeds else 0.0 for n in nodes}
+    mass = dict(restart)
+    for _ in range(steps):
+        lost = sum(m for n, m in mass.items() if not out[n])
+        step = {n: (1 - alpha + alpha * lost) * restart[n] for n in nodes}
+        for n, m in mass.items():
+            for d in out[n]:
+                step[d] += alpha * m / len(out[n])
+        mass = step
+    return {n: m for n, m in mass.items() if m > 0}
+
+
+def test_pagerank_dangling_hub_and_parallel_edges(spark):
+    seeds = spark.createDataFrame([("a",)], "node string")
+    chain = [("a", "b"), ("b", "c"), ("x", "y")]
+    star = [("a", f"l{i}") for i in range(9)] + [("a", "l0")]
+    star += [(d, s) for s, d in star]
+    for edges, hub in ((chain, 1), (star, 2)):
+        df = spark.createDataFrame(edges, "src string, dst string")
+        got = {r["node"]: r["mass"] for r in graph.pagerank(df, seeds, iterations=8, hub_edges=hub).collect()}
+        want = walk(edges, {"a"}, 8)
+        assert set(got) == set(want) and abs(sum(got.values()) - 1) < 1e-9
+        assert all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_mmr_matches_greedy(spark):
+    rnd = random.Random(2)
+    items = [("q", i, round(rnd.random(), 3), rnd.choice(["keyword", "traversal"]), rnd.sample("abcdefgh", 4)) for i in range(16)]
+    got = [r["item"] for r in fusion.mmr(spark.createDataFrame(items, "query string, item int, score double, lane string, words array<string>"), 5).orderBy("rank").collect()]
+    left, chosen = sorted(items, key=lambda r: -r[2]), []
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    while len(chosen) < 5:
+        pick = left[0] if not chosen else max(left, key=lambda r: 0.7 * r[2] - 0.3 * max(jac(r[4], c[4]) for c in chosen) + (0.1 if r[3] == "traversal" else 0))
+        chosen.append(pick)
+        left.remove(pick)
+    assert got == [c[1] for c in chosen]
+
+
+def test_nearest_overlap_is_exact(spark):
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.sample([f"w{i}" for i in range(14)], rnd.randint(3, 9)))
+    new, old = [(i, text()) for i in range(40)], [(i, text()) for i in range(60)]
+    got = {r["id"]: r["overlap"] for r in retrieval.nearest_overlap(spark.createDataFrame(new, "id int, text string"), spark.createDataFrame(old, "id int, text string"), 0.4).collect()}
+    want = {}
+    for i, t in new:
+        a = set(t.split())
+        best = max(len(a & set(o.split())) / len(a | set(o.split())) for _, o in old)
+        if best >= 0.4:
+            want[i] = round(best, 6)
+    assert got == want
+
+
+def test_date_intervals_pool_and_fallback_agree(spark):
+    rnd = random.Random(9)
+    rows = [(f"q{rnd.randint(0, 2)}", f"s{rnd.randint(0, 5)}", rnd.randint(0, 4), i, rnd.randint(0, 1500)) for i in range(300)]
+    df = spark.createDataFrame(rows, "question string, source_group string, relevance int, ord bigint, d int").withColumns(
+        {"event_date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")), "exclude_reason": F.lit(None).cast("string")})
+    take = lambda out: sorted(tuple(r) for r in out.collect())
+    full = take(evidence.date_intervals(df, pool=100000))
+    assert take(evidence.date_intervals(df, pool=3)) == full and take(evidence.date_intervals(df, pool=20)) == full and len(full) == 15
+
+
+def test_procedures_do_not_cross_failures(spark):
+    trace = [("s1", i + 1, s, ok) for i, (s, ok) in enumerate([("a", 1), ("b", 1), ("x", 0), ("c", 1), ("d", 1)])] + [
+        ("s2", i + 1, s, 1) for i, s in enumerate("abcd")]
+    df = spark.createDataFrame(trace, "session string, seq bigint, step string, okay int").withColumn("hash", F.lit("h"))
+    mined = {r["steps"]: r["support"] for r in sequences.mine_procedures(sequences.session_traces(df.withColumn("type", F.col("step")), F.col("step"), F.col("okay") == 1)).collect()}
+    assert mined == {"a>b": 2, "c>d": 2}
+
+
+def test_merkle_odd_leaves_and_proofs(spark):
+    import hashlib
+    leaf = lambda t: hashlib.sha256(b"\x00" + t.encode()).digest()
+    for n in (1, 2, 3, 5, 8):
+        df = spark.createDataFrame([(i, f"e{i}") for i in range(n)], "id int, text string")
+        layer = [leaf(f"e{i}") for i in range(n)]
+        while len(layer) > 1:
+            layer = [hashlib.sha256(b"\x01" + layer[i] + layer[i + 1]).digest() if i + 1 < len(layer) else layer[i] for i in range(0, len(layer), 2)]
+        nodes, leaves = portable.merkle_nodes(df, ["id"], F.col("text"))
+        root = portable.merkle_root(nodes)
+        assert root.first()["root"] == layer[0].hex()
+        assert portable.verify_inclusion(leaves, portable.inclusion_proofs(leaves, nodes), root).filter("NOT included").count() == 0
+
+
+def test_vector_search_zero_query_and_passes(spark, monkeypatch):
+    rnd = random.Random(1)
+    corpus = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(80)], "vec_id int, vector array<double>")
+    asked = spark.createDataFrame([(0, [0.0] * 6)] + [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(1, 7)], "query_id int, vector array<double>")
+    one = sorted(tuple(r) for r in vectors.exact_search(corpus, asked, 5).collect())
+    monkeypatch.setattr(vectors, "QUERY_BATCH", 2)
+    assert sorted(tuple(r) for r in vectors.exact_search(corpus, asked, 5).collect()) == one
+    assert {r[0] for r in one} == set(range(1, 7))
+
+
+def test_packing_is_monotone(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([("p", i, "x" * rnd.randint(1, 60), rnd.random(), i % 9 == 0) for i in range(40)], "pack string, idx int, text string, weight double, mandatory boolean")
+    before = set()
+    for budget in (40, 80, 160, 400):
+        now = {r["idx"] for r in fusion.pack(df, budget).filter("included").collect()}
+        assert before <= now
+        before = now

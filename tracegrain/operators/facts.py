@@ -179,21 +179,15 @@ def flatten_list_text(text: Column) -> Column:
     return F.when(text.startswith("["), F.coalesce(F.array_join(F.from_json(text, "array<string>"), " "), text)).otherwise(text)
 
 
-def entities(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
-    """Entity assertions (session, seq, idx, ts_us, source_hash, name, entity_type, summary, props)."""
-    book = book or RuleBook()
-    built = extract(events, book).filter("kind = 'entity'").select(
+def _entity_rows(items: DataFrame) -> DataFrame:
+    return items.filter("kind = 'entity'").select(
         "session", "seq", "idx", "ts_us", "source_hash", "name", F.col("second").alias("entity_type"),
         flatten_list_text(F.col("_summary")).alias("summary"), "props")
-    for event_type, fn in book.frames().items():
-        built = built.unionByName(fn(events.filter(F.col("type") == event_type)))
-    return built
 
 
-def edges(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
-    """Edge assertions with endpoint types, validity and inference metadata."""
+def _edge_rows(items: DataFrame) -> DataFrame:
     part = F.col("_edge")
-    return extract(events, book).filter("kind = 'edge' AND relation IS NOT NULL").select(
+    return items.filter("kind = 'edge' AND relation IS NOT NULL").select(
         "session", "seq", "idx", "source_hash", F.col("name").alias("source"), F.col("second").alias("target"), "relation",
         F.coalesce(part[2].try_cast("bigint"), F.col("ts_us")).alias("valid_from"),
         part[3].try_cast("bigint").alias("valid_to"), "inferred", part[0].cast("double").alias("confidence"),
@@ -201,6 +195,30 @@ def edges(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
     ).filter("confidence BETWEEN 0 AND 1")
 
 
+def _with_frames(built: DataFrame, events: DataFrame, book: RuleBook) -> DataFrame:
+    for event_type, fn in book.frames().items():
+        built = built.unionByName(fn(events.filter(F.col("type") == event_type)))
+    return built
+
+
+def entities(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
+    """Entity assertions (session, seq, idx, ts_us, source_hash, name, entity_type, summary, props)."""
+    book = book or RuleBook()
+    return _with_frames(_entity_rows(extract(events, book)), events, book)
+
+
+def edges(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
+    """Edge assertions with endpoint types, validity and inference metadata."""
+    return _edge_rows(extract(events, book))
+
+
+def entities_and_edges(events: DataFrame, book: RuleBook | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables from one extraction, written once to the checkpoint folder."""
+    book = book or RuleBook()
+    items = cut(extract(events, book))
+    return _with_frames(_entity_rows(items), events, book), _edge_rows(items)
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # versions
 

@@ -80,15 +80,19 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
         raise ValueError("none of the seeds is a node of the graph")
     restart = cut(start.withColumn("restart", F.lit(1.0 / count)))
     mass = restart.select("node", F.col("restart").alias("mass"))
+    dangling = not nodes.filter("salts IS NULL").isEmpty()
     for step in range(1, iterations + 1):
         here = mass.join(nodes, "node")
-        leak = here.filter("salts IS NULL").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d"))
+        back = F.lit(1 - alpha)
+        if dangling:
+            back = back + alpha * here.filter("salts IS NULL").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d")).scalar()
         spread = here.filter("salts IS NOT NULL").select(
             F.col("node").alias("src"), "mass", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         pushed = layout.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("_p"))
-        base = alpha * F.coalesce("_p", F.lit(0.0)) + F.coalesce("restart", F.lit(0.0)) * (alpha * leak.scalar() + (1 - alpha))
+        base = alpha * F.coalesce("_p", F.lit(0.0)) + F.coalesce("restart", F.lit(0.0)) * back
         moved = pushed.join(restart, "node", "full").select("node", base.alias("mass"))
-        if step % cut_every == 0 or step == iterations:
+        # a dangling total reads the mass a second time, so then every step is cut
+        if dangling or step % cut_every == 0 or step == iterations:
             moved = cut(moved)
             delta = (moved.join(mass.withColumnRenamed("mass", "_old"), "node", "full")
                      .agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))).alias("d")).first()["d"]) if step < iterations else 0.0

@@ -59,9 +59,12 @@ def bm25(terms: DataFrame, postings: DataFrame, stats: DataFrame, k: int | None
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: Column, doc_id: str, text: Column, k: int) -> DataFrame:
-    """BM25 over raw text: one pass for lengths, one for the postings of query terms only."""
+    """BM25 over raw text: one pass for lengths, one for the postings of query terms only.
+
+    The restricted postings are read twice (df and scores), so they are written once instead of tokenised twice.
+    """
     terms = query_terms(queries, query_id, query_text)
-    return bm25(terms, document_terms(docs, doc_id, text, terms), corpus_stats(docs, text), k)
+    return bm25(terms, cut(document_terms(docs, doc_id, text, terms)), corpus_stats(docs, text), k)
 
 
 def extend_postings(postings: DataFrame, stats: DataFrame, new_docs: DataFrame, doc_id: str, text: Column) -> tuple[DataFrame, DataFrame]:

@@ -129,8 +129,14 @@ def _history(src):
 
 
 def _edge_table(src):
-    items = src.mlog
-    return K.upsert_edges(K.typed_edges(K.edges(items), K.entities(items)))
+    ents, eds = K.entities_and_edges(src.mlog)
+    return K.upsert_edges(K.typed_edges(eds, ents))
+
+
+def _graph(src):
+    """Entity history and edge table from one extraction."""
+    ents, eds = K.entities_and_edges(src.mlog)
+    return K.versions(ents), K.upsert_edges(K.typed_edges(eds, ents))
 
 
 @query("typed_extraction_entities", f"SELECT session, seq, name, entity_type, summary, props_text FROM ({_ENTITIES})")
@@ -198,7 +204,7 @@ def entity_invalidate_open(src):
  SELECT a.session, a.closed_entities, coalesce(b.closed_edges, 0) AS closed_edges FROM (SELECT session, count(*) FILTER (WHERE h) AS closed_entities FROM hit GROUP BY session) a
  LEFT JOIN (SELECT session, sum(c)::BIGINT AS closed_edges FROM e2 GROUP BY session) b ON a.session = b.session""")
 def source_retirement(src):
-    history, table = _history(src), _edge_table(src)
+    history, table = _graph(src)
     sessions = history.select("session").distinct()
     retired = sessions.withColumn("path", F.explode(F.array(F.lit("src/f1.py"), F.lit("src/f2.py")))).withColumn("invalid_at", F.lit(_T * 2))
     path = F.nullif(F.regexp_extract("props_text", "source_path=([^;]+)", 1), F.lit(""))
@@ -218,7 +224,8 @@ def edge_upsert(src):
  JOIN live a ON a.session = u.session AND a.entity_type = u.source_type AND a.name = u.source
  JOIN live b ON b.session = u.session AND b.entity_type = u.target_type AND b.name = u.target WHERE u.valid_from <= {_T}""")
 def edges_as_of(src):
-    return K.edges_as_of(_edge_table(src), _history(src), _T).select(
+    history, table = _graph(src)
+    return K.edges_as_of(table, history, _T).select(
         "session", "source", "relation", "target", "source_summary", "target_summary", "source_seq", "target_seq")
 
 
@@ -269,5 +276,6 @@ def projection_status(src):
   UNION ALL SELECT session, 'entity', 'entity:' || entity_type, source_seq FROM vers WHERE source_seq > 5
   UNION ALL SELECT session, 'edge', 'edge:' || relation, source_seq FROM ups WHERE source_seq > 5) GROUP BY session, grain, kind""")
 def memory_export(src):
-    entries = L.export_view(src.mlog, _history(src), _edge_table(src), since_seq=5)
+    history, table = _graph(src)
+    entries = L.export_view(src.mlog, history, table, since_seq=5)
     return entries.groupBy("session", "grain", "kind").agg(F.count(F.lit(1)).alias("entries"), F.max("seq").alias("last_seq"))
