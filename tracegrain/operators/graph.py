@@ -28,7 +28,7 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, relation: str
         edges = edges.filter(F.col("relation") == relation)
     if "citation" not in edges.columns:
         edges = edges.withColumn("citation", F.lit(None).cast("string"))
-    steps = edges.select("src", "dst", "relation", "citation")
+    steps = edges.select("src", "dst", "relation", "citation").distinct()  # copies of an edge would share one salt
     empty = F.array().cast("array<string>")
     frontier = starts.select("start", F.col("start").alias("node"), empty.alias("relations"), empty.alias("citations"), F.array("start").alias("path"))
     seen = frontier.select("start", "node")
@@ -63,12 +63,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
     """Personalised PageRank (node, mass) on directed `edges` (src, dst; parallel edges count); zero mass is left out.
 
     Dangling mass goes back to the seeds.  Edges are laid out once by (src, salt) with their share 1 / degree;
-    a node gets one salt per `hub_edges` edges, so a hub's edges never meet in one task and only mass rows move
+    a node gets one salt per `hub_edges` neighbours, so a hub's edges never meet in one task and only mass rows move
     per iteration.  Lineage is cut every few iterations, where convergence is tested with one small aggregate.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).withColumn("salts", F.ceil(F.col("deg") / hub_edges).cast("int"))
-    layout = edges.select("src", "dst").withColumn("_e", F.xxhash64("src", "dst", F.monotonically_increasing_id()))
-    layout = layout.join(degree, "src").select("src", F.pmod("_e", F.col("salts")).cast("int").alias("salt"), "dst", (1.0 / F.col("deg")).alias("share"))
+    links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))  # parallel edges travel as one weighted row
+    degree = links.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("salts"))
+    layout = links.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
+                                              (F.col("m") / F.col("deg")).alias("share"))
     layout = cut(layout.repartition("src", "salt"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     nodes = cut(nodes.join(degree.select(F.col("src").alias("node"), "salts"), "node", "left"))

@@ -40,8 +40,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
     return fusion.mmr(fused.join(words, "name").select("query", F.col("name").alias("item"), "score", "lane", "words"), k)
 
 
-def checkout(queries: DataFrame, contexts: DataFrame, log: DataFrame, governance: DataFrame, outcomes: DataFrame, salience: DataFrame,
-             budget: int, as_of_seq: int | None = None, floor: float = 0.15) -> dict[str, DataFrame]:
+def checkout(contexts: DataFrame, governance: DataFrame, outcomes: DataFrame, salience: DataFrame, budget: int, as_of_seq: int | None = None, floor: float = 0.15) -> dict[str, DataFrame]:
     """Governed evidence: as-of filter, withheld rows out, outcome learning, recall set, cognitive order.
 
     Contexts carry the columns of `fusion.cognitive_rank` plus session, seq, key, ord, lane_priority, citation and profile.

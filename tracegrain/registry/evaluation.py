@@ -272,3 +272,26 @@ def nightly_consolidation(src):
     out = pipelines.nightly_pass(src.mlog, ~F.col("type").startswith("memory."), F.when(F.col("type").isin("tool.call.completed", "command.completed", "file.edit.applied"), F.col("type")),
                                  F.col("k") % 3 != 0, src.meta_events, policy)
     return out["summary"]
+
+
+_CTX = """SELECT session AS query, event_id AS item, 'g' || (cents % 15) AS target, 'pf' || (k % 6) AS profile, CAST((cents % 11) / 10.0 AS DOUBLE) AS overlap, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS cited, k % 2 AS source_lane,
+ cents % 2 AS typed, 0.0 AS outcome, ts_us AS valid_from, CAST((cents % 50) / 10.0 AS DOUBLE) AS score, k % 13 = 0 AS exempt, session, seq, 'key' || (cents % 40) AS key, seq AS ord, k % 3 AS lane_priority,
+ CASE WHEN k % 3 = 0 THEN NULL ELSE 'cite' || k END AS citation FROM @log"""
+
+
+def _checkout(src):
+    from .replay import _GOV, _outcomes
+    empty = F.array().cast("array<string>")
+    contexts = src.sql(_CTX).withColumns({"query_cues": empty, "cues": empty})
+    salience = src.log.select(F.expr("'g' || (cents % 15)").alias("target")).distinct().withColumn("salience", F.substring("target", 2, 9).cast("double") / 8.0)
+    return pipelines.checkout(contexts, src.sql(_GOV), _outcomes(src), salience, budget=8, as_of_seq=60)
+
+
+@query("governed_checkout")
+def governed_checkout(src):
+    return _checkout(src)["evidence"].select("query", "item", "key", "primary", "rank")
+
+
+@query("checkout_exclusions")
+def checkout_exclusions(src):
+    return _checkout(src)["excluded"].groupBy("query", "reason").agg(F.count(F.lit(1)).alias("rows"))

@@ -269,7 +269,7 @@ def typed_mentions(src):
   CASE kind WHEN 'date_iso' THEN CAST(raw_span AS DATE) WHEN 'date_month' THEN make_date(year(day), 3, CAST(regexp_extract(raw_span, '[0-9]+') AS BIGINT))
    WHEN 'date_relative' THEN day - CAST(regexp_extract(raw_span, '^[0-9]+') AS INT) * CASE WHEN contains(raw_span, 'week') THEN 7 ELSE 1 END END AS event_date FROM j""")
 def mention_values(src):
-    notes = src.notes.select(F.col("event_id").alias("id"), "text", F.timestamp_micros("ts_us").cast("date").alias("day"))
+    notes = src.notes.select(F.col("event_id").alias("id"), "text", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts_us") / 86400000000).cast("int")).alias("day"))
     return E.mention_values(E.mentions(notes), F.col("day")).select("id", "kind", "raw_span", "amount", "event_date")
 
 

@@ -45,9 +45,11 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     if path is None:
         tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
         path = f"{checkpoint_root(spark)}/tracegrain-{key[0]}-{tag}/log"
+        # micros of the stored wall clock, whatever the session's time zone
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
         events = table(spark, sf_dir, "events").select(
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), "user_id", "ts",
-            F.unix_micros("ts").alias("ts_us"), F.col("event_type").alias("type"), "value", "event_id",
+            micros.alias("ts_us"), F.col("event_type").alias("type"), "value", "event_id",
             F.col("props").alias("payload"))
         numbered = row_numbers(events, ["session"], ["ts", "event_id"])
         log = numbered.select(
