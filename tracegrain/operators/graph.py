@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..ordered import salted_join
-from ..session import cut
+from ..session import cut, parallelism
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -70,12 +71,15 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
     degree = links.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("salts"))
     layout = links.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
                                               (F.col("m") / F.col("deg")).alias("share"))
-    layout = cut(layout.repartition("src", "salt"))
+    # kept partitioned and sorted by (src, salt): a cached table keeps both, a checkpoint would not
+    layout = cut(layout).repartition(parallelism(edges.sparkSession), "src", "salt").sortWithinPartitions("src", "salt")
+    layout = layout.persist(StorageLevel.MEMORY_AND_DISK)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     nodes = cut(nodes.join(degree.select(F.col("src").alias("node"), "salts"), "node", "left"))
     start = seeds.select("node").distinct().join(nodes.select("node"), "node", "left_semi")
     count = start.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not count:
+        layout.unpersist()
         if nodes.isEmpty():
             return nodes.select("node", F.lit(0.0).alias("mass")).limit(0)
         raise ValueError("none of the seeds is a node of the graph")
@@ -101,6 +105,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
             if delta < tol:
                 break
         mass = moved
+    layout.unpersist()  # the last step was cut, nothing reads the layout any more
     return mass.filter("mass > 0")
 
 
