@@ -71,42 +71,43 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
     degree = links.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("salts"))
     layout = links.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
                                               (F.col("m") / F.col("deg")).alias("share"))
+    # every edge row knows how many salts its target has, so a step needs no lookup of the nodes it reaches
+    fan = degree.select(F.col("src").alias("dst"), F.col("salts").alias("fan"))
+    layout = layout.join(fan, "dst", "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
     # kept partitioned and sorted by (src, salt): a cached table keeps both, a checkpoint would not
     layout = cut(layout).repartition(parallelism(edges.sparkSession), "src", "salt").sortWithinPartitions("src", "salt")
     layout = layout.persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    nodes = cut(nodes.join(degree.select(F.col("src").alias("node"), "salts"), "node", "left"))
-    start = seeds.select("node").distinct().join(nodes.select("node"), "node", "left_semi")
+    nodes = layout.select(F.col("dst").alias("node"), "fan").unionByName(degree.select(F.col("src").alias("node"), F.col("salts").alias("fan"))).distinct()
+    start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
     count = start.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not count:
         layout.unpersist()
-        if nodes.isEmpty():
-            return nodes.select("node", F.lit(0.0).alias("mass")).limit(0)
+        if edges.isEmpty():
+            return edges.select(F.col("src").alias("node"), F.lit(0.0).alias("mass"))
         raise ValueError("none of the seeds is a node of the graph")
     restart = cut(start.withColumn("restart", F.lit(1.0 / count)))
-    mass = restart.select("node", F.col("restart").alias("mass"))
-    dangling = not nodes.filter("salts IS NULL").isEmpty()
+    mass = anchor = restart.select("node", "fan", F.col("restart").alias("mass"))
+    dangling = not layout.filter("fan = 0").isEmpty()
     for step in range(1, iterations + 1):
-        here = mass.join(nodes, "node")
         back = F.lit(1 - alpha)
         if dangling:
-            back = back + alpha * here.filter("salts IS NULL").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d")).scalar()
-        spread = here.filter("salts IS NOT NULL").select(
-            F.col("node").alias("src"), "mass", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        pushed = layout.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("_p"))
-        base = alpha * F.coalesce("_p", F.lit(0.0)) + F.coalesce("restart", F.lit(0.0)) * back
-        moved = pushed.join(restart, "node", "full").select("node", base.alias("mass"))
+            back = back + alpha * mass.filter("fan = 0").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d")).scalar()
+        spread = mass.filter("fan > 0").select(F.col("node").alias("src"), "mass", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+        pushed = layout.join(spread, ["src", "salt"]).select(F.col("dst").alias("node"), "fan", (alpha * F.col("mass") * F.col("share")).alias("mass"))
+        moved = pushed.unionByName(restart.select("node", "fan", (back * F.col("restart")).alias("mass"))).groupBy("node", "fan").agg(F.sum("mass").alias("mass"))
         # a dangling total reads the mass a second time, so then every step is cut
         if dangling or step % cut_every == 0 or step == iterations:
             moved = cut(moved)
-            delta = (moved.join(mass.withColumnRenamed("mass", "_old"), "node", "full")
-                     .agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))).alias("d")).first()["d"]) if step < iterations else 0.0
+            change = F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))
+            # against the previous cut, so no uncut step is computed twice
+            delta = moved.join(anchor.select("node", F.col("mass").alias("_old")), "node", "full").agg(change.alias("d")).first()["d"] if step < iterations else 1.0
+            anchor = moved
             mass = moved
             if delta < tol:
                 break
         mass = moved
     layout.unpersist()  # the last step was cut, nothing reads the layout any more
-    return mass.filter("mass > 0")
+    return mass.filter("mass > 0").select("node", "mass")
 
 
 def top_mass(mass: DataFrame, n: int) -> DataFrame:
