@@ -15,6 +15,8 @@ columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +31,7 @@ from .arrow import pieces
 from .pretokens import split
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 _NO_PAIR = 1 << 60
 
@@ -43,38 +45,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n == 0:
         return []
     size = 1 << (n - 1).bit_length()
+    rank_of = ranks.get
     tree = [_NO_PAIR] * (2 * size)
     for i in range(n - 1):
-        tree[size + i] = ranks.get(piece[i:i + 2], _NO_PAIR)
+        tree[size + i] = rank_of(piece[i:i + 2], _NO_PAIR)
     for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(leaf: int, rank: int) -> None:
-        k = size + leaf
-        tree[k] = rank
-        while k > 1:
-            k >>= 1
-            low = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == low:
-                return
-            tree[k] = low
+        low, other = tree[2 * k], tree[2 * k + 1]
+        tree[k] = low if low <= other else other
 
     end = list(range(1, n + 1))  # the token that starts at i covers piece[i:end[i]]
     before = list(range(-1, n))  # start of the token that ends where the one at i starts
-    while tree[1] != _NO_PAIR:
+    best = tree[1]
+    while best != _NO_PAIR:
         k = 1
-        while k < size:
+        while k < size:  # the left child first: of equal ranks the leftmost pair is merged
             k *= 2
-            if tree[k] != tree[k >> 1]:
+            if tree[k] != best:
                 k += 1
         left = k - size
         right = end[left]
         stop = end[left] = end[right]
         before[stop] = left
-        put(right, _NO_PAIR)
-        put(left, ranks.get(piece[left:end[stop]], _NO_PAIR) if stop < n else _NO_PAIR)
+        changes = [(right, _NO_PAIR), (left, rank_of(piece[left:end[stop]], _NO_PAIR) if stop < n else _NO_PAIR)]
         if left:
-            put(before[left], ranks.get(piece[before[left]:stop], _NO_PAIR))
+            changes.append((before[left], rank_of(piece[before[left]:stop], _NO_PAIR)))
+        for leaf, low in changes:
+            k = size + leaf
+            if tree[k] == low:
+                continue
+            tree[k] = low
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < low:
+                    low = other
+                k >>= 1
+                if tree[k] == low:
+                    break
+                tree[k] = low
+        best = tree[1]
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at:end[at]]])
@@ -83,7 +91,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec(dict):
-    """Packed ids (little-endian, 32 bits each) by pre-token: a cache that fills itself, emptied when it is full."""
+    """Packed ids (little-endian, 32 bits each) by pre-token: a cache that fills itself.
+
+    It holds two generations of at most CACHE_ENTRIES pre-tokens; a full young one becomes the old one, whose entries return
+    when they are asked for again.
+    """
 
     def __init__(self, rank_file: str):
         super().__init__()
@@ -91,11 +103,18 @@ class Codec(dict):
             pairs = (line.split() for line in lines if line.strip())
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, pretoken: str) -> bytes:
-        packed = np.array(merge(pretoken.encode("utf-8"), self.ranks), dtype="<u4").tobytes()
+        packed = self.old.get(pretoken)
+        if packed is None:
+            packed = array("I", merge(pretoken.encode("utf-8"), self.ranks))
+            if sys.byteorder == "big":
+                packed.byteswap()
+            packed = packed.tobytes()
         if len(pretoken) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[pretoken] = packed
         return packed

@@ -31,12 +31,12 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 LIMIT = 1024
 TABLE_SIZE = 20_000
 SKETCH_ITEMS = 60_000
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 
 
 class Lengths(dict):
-    """Token count by pre-token: the table of frequent ones for good, and a cache of others that is emptied when it is full."""
+    """Token count by pre-token: the table of frequent ones for good, and a cache of others in two bounded generations."""
 
     def __init__(self, tokenizer_file: str):
         super().__init__()
@@ -44,16 +44,21 @@ class Lengths(dict):
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.frequent: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def seed(self, words: list[str], counts: list[int]) -> None:
         self.frequent = dict(zip(words, counts, strict=True))
+        self.old = {}
         self.clear()
         self.update(self.frequent)
 
     def __missing__(self, pretoken: str) -> int:
-        n = len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+        n = self.old.get(pretoken)
+        if n is None:
+            n = len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
         if len(pretoken) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.frequent):
+                self.old = dict(self)
                 self.clear()
                 self.update(self.frequent)
             self[pretoken] = n
