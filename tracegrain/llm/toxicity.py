@@ -4,12 +4,14 @@ A document is a bag of sentences and only the bag has a label.  A sentence is to
 document is toxic unless none of its sentences is: 1 - prod(1 - p), the noisy-or.  Weights are learned from document labels
 through that product, so the model finds by itself which sentences explain a label, and scoring names the worst one.
 
-A word's weight is the sum over its features (the word, its first and last letters) in a hashed table, so unseen forms of a known stem score as well.
-Learning reads a bounded sample of labelled rows (TRAIN_ROWS of at most TRAIN_CHARS each, those whose hashed ids are smallest),
-never a row whose crc32 falls in the held-out fifth.  Scoring is one narrow Arrow pass over all texts, whole.
+A word's weight is the sum over its features (the word, its first letters, its last letters), so unseen forms of a known stem score as
+well; a word counts once in a sentence.  Features are screened first: only those whose documents are labelled toxic clearly more often
+than others (likelihood ratio of at least SCREEN) get a weight at all.  Learning reads a bounded sample of labelled rows
+(TRAIN_ROWS of at most TRAIN_CHARS each, those whose hashed ids are smallest), never a row whose crc32 falls in the held-out fifth.
+Scoring is one narrow Arrow pass over all texts, whole.
 
 Defined results: a null or empty text is one empty sentence and gets the score of the bias alone; several labels for one document
-count as toxic if one does; null labels are none; without labelled rows of both kinds all weights are zero.
+count as toxic if one does; null labels are none; without labelled rows of both kinds no feature has a weight.
 Repeated rows give repeated results; other columns are not read.
 """
 
@@ -19,7 +21,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,15 @@ from .arrow import pieces
 FOLDS = 5
 TRAIN_ROWS = 6_000
 TRAIN_CHARS = 12_000
-TABLE_BITS = 18
-STEPS = 150
+SCREEN = 15.0
+STEPS = 300
 RATE = 0.1
-DECAY = 2e-4
+DECAY = 1e-4
 START_BIAS = -5.0
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 64
 
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
 
@@ -48,66 +49,84 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-@lru_cache(maxsize=200_000)
-def _hash(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8")) & ((1 << TABLE_BITS) - 1)
-
-
-def features(word: str) -> list[int]:
-    """Places in the table of weights; a fixed number for each word."""
-    return [_hash(f) for f in ("=" + word, "<" + word[:3], "<" + word[:4], "<" + word[:5], word[-4:] + ">")]
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of the features of a lower-cased word; a fixed number for each word."""
+    return tuple(zlib.crc32(f.encode("utf-8")) for f in ("=" + word, "<" + word[:3], "<" + word[:4], "<" + word[:5], word[-4:] + ">"))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences, at least one."""
-    return [m.span() for m in _SENTENCE.finditer(text) if m.end() > m.start()] or [(0, 0)]
+    return [m.span() for m in _SENTENCE.finditer(text)] or [(0, 0)]
+
+
+def words_in(low: str, span: tuple[int, int]) -> set[str]:
+    return set(_WORD.findall(low, *span))
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the noisy-or log loss (Adam on the whole sample; no random numbers)."""
-    weights = np.zeros(1 << TABLE_BITS)
+def screen(bags: list[list[set[str]]], y: np.ndarray, least: float = SCREEN) -> np.ndarray:
+    """Sorted hashes of the features that go with toxic documents, by the likelihood ratio of document counts."""
+    known: dict[str, tuple[int, ...]] = {}
+    sides = ([], [])
+    for bag, label in zip(bags, y, strict=True):
+        own = {f for w in set().union(*bag) for f in known.setdefault(w, features(w))}
+        sides[label].append(np.fromiter(own, dtype=np.uint32, count=len(own)))
+    counted = [np.unique(np.concatenate(side), return_counts=True) for side in sides]
+    hashes, on = counted[1]
+    other = np.searchsorted(counted[0][0], hashes)
+    other = np.minimum(other, len(counted[0][0]) - 1)
+    off = np.where(counted[0][0][other] == hashes, counted[0][1][other], 0)
+    share, base = on / (on + off), y.mean()
+    ratio = 2 * (on * np.log(share / base) + np.where(off > 0, off * np.log(np.maximum(1 - share, 1e-300) / (1 - base)), 0.0))
+    return hashes[(share > base) & (ratio >= least)]
+
+
+def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[dict[int, float], float]:
+    """Feature weights and bias that minimise the noisy-or log loss (Adam on the whole sample; no random numbers)."""
     y = np.asarray(labels, dtype=np.int8)
     if len(set(labels)) < 2:
-        return weights.astype(np.float32), START_BIAS
-    index: dict[str, int] = {}
-    word_at, words_in, doc_of = [], [], []
-    for d, text in enumerate(texts):
+        return {}, START_BIAS
+    bags = []
+    for text in texts:
         low = text.lower()
-        for a, b in sentences(low):
-            own = [index.setdefault(w, len(index)) for w in _WORD.findall(low, a, b)]
-            word_at += own
-            words_in.append(len(own))
+        bags.append([words_in(low, span) for span in sentences(low)])
+    kept = screen(bags, y)
+    place = {int(h): i for i, h in enumerate(kept)}
+    of_word: dict[str, list[int]] = {}
+    doc_of, sentence_of, feature_at = [], [], []
+    for d, bag in enumerate(bags):
+        for words in bag:
+            for word in words:
+                own = of_word.get(word)
+                if own is None:
+                    own = of_word[word] = [place[f] for f in features(word) if f in place]
+                if own:
+                    feature_at += own
+                    sentence_of += [len(doc_of)] * len(own)
             doc_of.append(d)
-    word_at, doc_of = np.array(word_at, dtype=np.int32), np.array(doc_of, dtype=np.int32)
-    sentence_of = np.repeat(np.arange(len(doc_of), dtype=np.int32), words_in)
-    table = np.array([features(w) for w in index], dtype=np.int32)
-    used, flat = np.unique(table, return_inverse=True)
-    flat = flat.reshape(table.shape)
-    w, bias = np.zeros(len(used)), START_BIAS
+    del bags, of_word
+    doc_of, sentence_of, feature_at = (np.array(x, dtype=np.int64) for x in (doc_of, sentence_of, feature_at))
+    w, bias = np.zeros(len(kept)), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        word_score = w[flat].sum(axis=1)
-        z = bias + np.bincount(sentence_of, word_score[word_at], len(doc_of))
+        z = bias + np.bincount(sentence_of, w[feature_at], len(doc_of))
         total = np.maximum(np.bincount(doc_of, softplus(z), len(texts)), 1e-9)
         slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0)
-        at_sentence = slope[doc_of] / (1.0 + np.exp(-z))
-        at_word = np.bincount(word_at, at_sentence[sentence_of], len(index))
-        grad = np.bincount(flat.ravel(), np.repeat(at_word, table.shape[1]), len(used)) / len(texts) + decay * w
+        at_sentence = slope[doc_of] / (1.0 + np.exp(-np.clip(z, -50.0, 50.0)))
+        grad = np.bincount(feature_at, at_sentence[sentence_of], len(kept)) / len(texts) + decay * w
         grad_bias = at_sentence.sum() / len(texts)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_bias, 0.999 * vb + 0.001 * grad_bias * grad_bias
         a, b = 1 - 0.9 ** step, 1 - 0.999 ** step
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= rate * (mb / a) / (math.sqrt(vb / b) + 1e-8)
-    weights[used] = w
-    return weights.astype(np.float32), float(bias)
+    return dict(zip(map(int, kept), map(float, w), strict=True)), float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[dict[int, float], float]:
     """A model from a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -120,14 +139,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 class Scorer(dict):
     """Word scores by lower-cased word, in two bounded generations, and scores of texts."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         super().__init__()
         self.weights, self.bias, self.old = weights, bias, {}
+        self.base = float(softplus(np.float64(bias)))
 
     def __missing__(self, word: str) -> float:
         score = self.old.get(word)
         if score is None:
-            score = float(self.weights[features(word)].sum())
+            score = sum(self.weights.get(f, 0.0) for f in features(word))
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.old = dict(self)
@@ -138,14 +158,16 @@ class Scorer(dict):
     def score(self, text: str) -> tuple[float, int, int]:
         """Probability, and the span of the sentence that is likeliest to be toxic (first of equals)."""
         low = text.lower()
+        if not any(map(self.__getitem__, set(_WORD.findall(low)))):  # the bias alone, for every sentence
+            n, first = len(_SENTENCE.findall(low)), _SENTENCE.search(text)
+            return -math.expm1(-max(n, 1) * self.base), *(first.span() if first else (0, 0))
         spans = sentences(low)
-        z = np.array([self.bias + sum(map(self.__getitem__, _WORD.findall(low, a, b))) for a, b in spans])
-        worst = int(z.argmax())
-        a, b = spans[worst] if len(low) == len(text) else (0, len(text))
+        z = np.array([self.bias + sum(map(self.__getitem__, words_in(low, span))) for span in spans])
+        a, b = spans[int(z.argmax())] if len(low) == len(text) else (0, len(text))
         return float(-np.expm1(-softplus(z).sum())), a, b
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `score`, `predicted` and the span of the worst sentence of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
