@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, token_counts, toxicity
+from . import bpe, chat, licenses, line_chunks, mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,34 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+_MIX_SQL = """
+WITH RECURSIVE sizes AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source),
+quotas AS (SELECT source, CAST(greatest(round(1000 * w / (SELECT sum(w) FROM sizes)), 1) AS INTEGER) AS quota,
+                  row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM sizes),
+own AS (SELECT list(quota ORDER BY i) AS qs, CAST(sum(quota) AS INTEGER) AS slots FROM quotas),
+fold(t, done, pick) AS (
+  SELECT -1, list_transform(qs, lambda q: 0), 0 FROM own
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda k, j: CASE WHEN j = p THEN k + 1 ELSE k END), p FROM (
+    SELECT t, done, CAST(list_min(list_filter(list_transform(qs, lambda q, j: CASE WHEN done[j] < q AND (done[j] * slots) // q <= t + 1
+             THEN ((done[j] + 1) * slots + q - 1) // q * 100000 + j ELSE NULL END), lambda x: x IS NOT NULL)) % 100000 AS INTEGER) AS p
+    FROM fold, own WHERE t + 1 < slots)),
+turns AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM fold WHERE t >= 0),
+placed AS (SELECT doc_id, d.source, quota, i, row_number() OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place
+           FROM documents d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, source, quota, (SELECT slots FROM own) AS slots, place // 16 AS block,
+       (place // 16) // quota * (SELECT slots FROM own) + slot AS slot,
+       ((place // 16) // quota * (SELECT slots FROM own) + slot) * 16 + place % 16 AS position
+FROM placed JOIN turns ON placed.i = turns.i AND turns.k = (place // 16) % quota"""
+
+
+@_query("op9_source_mix", _MIX_SQL)
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
