@@ -204,7 +204,7 @@ def _linked(shared: int, n: int, m: int) -> bool:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """centre, node, shared, linked from centre, node, tokens, centre_tokens."""
+    """centre, node, distance, linked from node, tokens, centre, centre_tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -225,7 +225,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        node, distance, linked, tokens = second
+        node, distance, tokens = second
         all_tokens, owner, sizes, distances = table
         n = len(tokens)
         at = np.searchsorted(tokens, all_tokens)
@@ -241,21 +241,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
         own, first, table, parent = None, [], None, {}
         for batch in batches:
             found = []
-            for centre, u, m, side, node, distance, linked, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for centre, u, m, side, node, distance, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != (centre, u, m):
                     own, first, table, parent = (centre, u, m), [], None, {}
-                row = (node, distance, linked, np.frombuffer(tokens, "<u8"))
+                row = (node, distance, np.frombuffer(tokens, "<u8"))
                 if side == 0:
                     first.append(row)
                 elif first:
                     if table is None:
-                        table = (np.concatenate([f[3] for f in first]), np.repeat(np.arange(len(first)), [len(f[3]) for f in first]),
-                                 np.array([len(f[3]) for f in first]), np.array([f[1] for f in first]))
+                        table = (np.concatenate([f[2] for f in first]), np.repeat(np.arange(len(first)), [len(f[2]) for f in first]),
+                                 np.array([len(f[2]) for f in first]), np.array([f[1] for f in first]))
                     found += links(first, row, parent, table)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     placed = rows.repartition("centre", "u", "m").sortWithinPartitions("centre", "u", "m", "side")
-    return placed.select("centre", "u", "m", "side", "node", "distance", "linked", "tokens").mapInArrow(run, "a long, b long")
+    return placed.select("centre", "u", "m", "side", "node", "distance", "tokens").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     members = compared.join(parts, "centre").join(sets, "node")
     spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["centre", "u", "m", "side", "node", "distance", "linked", "tokens"]
+    columns = ["centre", "u", "m", "side", "node", "distance", "tokens"]
     first = members.filter("not linked").withColumn("u", spread(F.col("n_u"), 1)).withColumn("m", every(F.col("n_m"))).withColumn("side", F.lit(0))
     second = members.withColumn("m", spread(F.col("n_m"), 2)).withColumn("u", every(F.col("n_u"))).withColumn("side", F.lit(1))
     more = _blocks(first.select(*columns).union(second.select(*columns))).filter("a <> b")
