@@ -89,10 +89,11 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     y = np.asarray(labels, dtype=np.int8)
     if len(set(labels)) < 2:
         return {}, START_BIAS
-    bags = []
+    bags, one_copy = [], {}
     for text in texts:
         low = text.lower()
-        bags.append([words_in(low, span) for span in sentences(low)])
+        bags.append([{one_copy.setdefault(w, w) for w in words_in(low, span)} for span in sentences(low)])
+    del one_copy
     kept = screen(bags, y)
     place = {int(h): i for i, h in enumerate(kept)}
     of_word: dict[str, list[int]] = {}
