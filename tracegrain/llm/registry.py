@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, licenses, line_chunks, mixing, spotsigs, token_counts, toxicity
+from . import bpe, chat, jaccard_join, licenses, line_chunks, mixing, polytope, spotsigs, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,8 @@ FROM placed JOIN turns ON placed.i = turns.i AND turns.k = (place // 16) % quota
 @_query("op9_source_mix", _MIX_SQL)
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_embedding_dedup")
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.dedup(_table(spark, sf_dir, "embeddings"))
