@@ -302,3 +302,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     placed = named.join(least, "part").select(F.col("node").alias("_node"), "component_id")
     return own.join(placed, F.col("node") == F.col("_node"), "left").select(
         F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those whose component has a smaller id."""
+    copies = join(docs, key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_copy")).distinct()
+    return docs.join(copies, F.col(key).cast("long") == F.col("_copy"), "left_anti")

@@ -94,3 +94,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: D
     return blocks.join(turns, F.col("source").eqNullSafe(F.col("turn_source")) & (F.col("k") == F.col("turn_k"))).select(
         F.col("key").alias(key), F.col("source").alias(source), "quota", "slots", "block", slot.alias("slot"),
         (slot * block_rows + F.col("place") % block_rows).alias("position"))
+
+
+def ordered(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of `docs`, all columns, in the order of the mix."""
+    place = mix(docs, key, source).groupBy(F.col(key).alias("_key"), F.col(source).alias("_source")).agg(F.min("position").alias("_position"))
+    placed = docs.join(place, F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")))
+    return placed.orderBy("_position").select(*[docs[c] for c in docs.columns])

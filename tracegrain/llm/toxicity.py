@@ -192,3 +192,16 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains on the labelled rows outside the held-out fold and scores every document."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_start", "worst_stop")
+
+
+def reject(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that are not predicted to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t or "")[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
