@@ -17,7 +17,9 @@ frequent FREQUENT_TOKENS with at least FREQUENT_COUNT documents are broadcast.
 Equal sets are one node from the start.  The sets that share a signature are compared with its smallest node (the centre) first.  Those linked to it are
 connected; the others of a centre are then compared with all sets of that centre, in blocks, where neither size nor distance to
 the centre rules it out (Jaccard distance is a metric).  So a group of thousands of near copies costs one comparison each, and no
-pair is left out that could connect two components.  Comparisons are exact counts of shared shingles.
+pair is left out that could connect two components.  Pairs are screened first by bitmaps of the parities of hashed shingles: the bits in which
+two differ are no more than the shingles in which the sets differ, so what fails is not linked for certain, and shingles
+move only for the rest.  Comparisons are exact counts of shared shingles.
 
 Defined results: null or blank texts have no shingles, n_shingles 0 and their own id as component; texts below five words have one shingle;
 repeated rows belong to the component of their id; rows without an id get none; other columns are not read.
@@ -40,13 +42,15 @@ from .components import components
 from .shingle_sets import digest, shingles, signed
 
 PERCENT = 80
-FREQUENT_COUNT = 24
-FREQUENT_TOKENS = 200_000
-GROUP_TOKENS = 8
+FREQUENT_COUNT = 3
+FREQUENT_TOKENS = 1_000_000
+GROUP_TOKENS = 4
 LEAST_SIZE = 4  # smaller sets link with equal sets only
 FLUSH_TOKENS = 1 << 20
 SEEN_SETS = 200_000
 FIRST_BLOCK, SECOND_BLOCK = 256, 1024
+BROADCAST_NODES = 500_000
+BITS = 2048
 
 
 class Seen(set):
@@ -168,7 +172,7 @@ def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
     top = blocks.mapInArrow(count, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toArrow()
     token, n = top.column("token").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(token, kind="stable")
-    return token[order].astype(np.uint64), n[order]
+    return token[order].astype(np.uint64), np.minimum(n[order], 2 ** 31 - 1).astype(np.int32)
 
 
 def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -203,6 +207,30 @@ def _linked(shared: int, n: int, m: int) -> bool:
     return 100 * shared >= PERCENT * (n + m - shared)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles at each of BITS places."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _possible(bits: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Whether sets with these bitmaps and sizes can be linked to the one with `own` and n."""
+    apart = np.bitwise_count(bits ^ own).sum(axis=1, dtype=np.int64)
+    few = apart * (100 + PERCENT) <= (sizes + n) * (100 - PERCENT)
+    return few & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT)
+
+
+def _screen(rows: DataFrame) -> DataFrame:
+    """centre, node, possible from centre, node, bits, n, centre_bits, centre_n."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (2, 4))
+            possible = _possible(bits, batch.column(3).to_numpy(), other, batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(possible)], names=["centre", "node", "possible"])
+
+    return rows.select("centre", "node", "bits", "n", "centre_bits", "centre_n").mapInArrow(run, "centre long, node long, possible boolean")
+
+
 def _compare(rows: DataFrame) -> DataFrame:
     """centre, node, distance, linked from node, tokens, centre, centre_tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +239,59 @@ def _compare(rows: DataFrame) -> DataFrame:
             shared = [_shared(a, b) for a, b in own]
             linked = [_linked(s, len(a), len(b)) for s, (a, b) in zip(shared, own, strict=True)]
             distance = [1 - s / (len(a) + len(b) - s) for s, (a, b) in zip(shared, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked)],
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())],
                                              names=["centre", "node", "distance", "linked"])
 
     return rows.select("centre", "node", "tokens", "centre_tokens").mapInArrow(run, "centre long, node long, distance double, linked boolean")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between the first-side and second-side sets of each block, those that connect something new in the block."""
+def _dealt(members: DataFrame, payload: list[str]) -> DataFrame:
+    """Members of centres in blocks: the unlinked ones of `u` (side 0) and all of `m` (side 1), sorted, a block in one partition."""
+    open_stars = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n_all"), F.sum((~F.col("linked")).cast("long")).alias("n_open")).filter("n_open > 0")
+    parts = open_stars.select(F.col("centre").alias("_centre"), F.ceil(F.col("n_open") / FIRST_BLOCK).cast("int").alias("n_u"),
+                              F.ceil(F.col("n_all") / SECOND_BLOCK).cast("int").alias("n_m"))
+    own = members.join(parts, F.col("centre") == F.col("_centre"))
+    spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["centre", "u", "m", "side", "node", "distance", *payload]
+    first = own.filter("not linked").withColumn("u", spread(F.col("n_u"), 1)).withColumn("m", every(F.col("n_m"))).withColumn("side", F.lit(0))
+    second = own.withColumn("m", spread(F.col("n_m"), 2)).withColumn("u", every(F.col("n_u"))).withColumn("side", F.lit(1))
+    placed = first.select(*columns).union(second.select(*columns)).repartition("centre", "u", "m")
+    return placed.sortWithinPartitions("centre", "u", "m", "side")
+
+
+def _near(distances: np.ndarray, distance: float) -> np.ndarray:
+    """What distances to the centre allow; an unknown one (NaN) rules nothing out."""
+    return ~(np.abs(distances - distance) > 1 - PERCENT / 100 + 1e-9)
+
+
+def _active(members: DataFrame) -> DataFrame:
+    """centre, node of the members that can be linked to another member, by bitmaps; members has centre, node, distance, linked, bits, n."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, first, table = None, [], None
+        for batch in batches:
+            found = set()
+            for centre, u, m, side, node, distance, bits, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != (centre, u, m):
+                    own, first, table = (centre, u, m), [], None
+                if side == 0:
+                    first.append((node, distance, np.frombuffer(bits, np.uint64), n))
+                elif first:
+                    if table is None:
+                        table = [np.array([f[k] for f in first]) for k in range(4)]
+                    nodes, distances, all_bits, sizes = table
+                    near = _possible(all_bits, sizes, np.frombuffer(bits, np.uint64), n) & _near(distances, distance) & (nodes != node)
+                    if near.any():
+                        found.add((centre, node))
+                        found.update((centre, x) for x in nodes[near].tolist())
+            found = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["centre", "node"])
+
+    return _dealt(members, ["bits", "n"]).mapInArrow(run, "centre long, node long").distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Links (a, b) of unlinked members with others, those that connect something new in their block; members has centre, node, distance, linked, tokens."""
     def links(first: list[tuple], second: tuple, parent: dict[int, int], table: tuple) -> Iterator[tuple[int, int]]:
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -230,7 +303,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         n = len(tokens)
         at = np.searchsorted(tokens, all_tokens)
         shared = np.bincount(owner[tokens[np.minimum(at, n - 1)] == all_tokens], minlength=len(first))
-        near = (100 * shared >= PERCENT * (sizes + n - shared)) & (np.abs(distances - distance) <= 1 - PERCENT / 100 + 1e-9)
+        near = (100 * shared >= PERCENT * (sizes + n - shared)) & _near(distances, distance)
         for i in np.flatnonzero(near):
             a, b = root(first[i][0]), root(node)
             if a != b:
@@ -254,8 +327,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                     found += links(first, row, parent, table)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    placed = rows.repartition("centre", "u", "m").sortWithinPartitions("centre", "u", "m", "side")
-    return placed.select("centre", "u", "m", "side", "node", "distance", "tokens").mapInArrow(run, "a long, b long")
+    return _dealt(members, ["tokens"]).mapInArrow(run, "a long, b long").filter("a <> b")
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -265,28 +337,30 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     centre = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
     stars = index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct()
     stars = stored(stars, "stars")
-    wanted = stars.select("node").union(stars.select("centre")).distinct().join(nodes, "node").select(F.col("key").alias("_key"))
+    wanted = stored(stars.select("node").union(stars.select("centre")).distinct().join(nodes, "node").select(F.col("key").alias("_key")), "wanted")
+    if wanted.count() <= BROADCAST_NODES:  # their ids go to the texts; beyond that both sides are shuffled
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("key") == F.col("_key"), "left_semi")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 sets = [tokens for _, tokens in _sets([part])]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=["node", "tokens"])
-
-    sets = stored(texts.mapInArrow(packed, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-    centres = sets.select(F.col("node").alias("centre"), F.col("tokens").alias("centre_tokens"))
-    compared = stored(_compare(stars.join(sets, "node").join(centres, "centre")), "compared")
-    open_stars = compared.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("linked")).cast("long")).alias("n_open")).filter("n_open > 0")
-    parts = open_stars.select("centre", F.ceil(F.col("n_open") / FIRST_BLOCK).cast("int").alias("n_u"), F.ceil(F.col("n") / SECOND_BLOCK).cast("int").alias("n_m"))
-    members = compared.join(parts, "centre").join(sets, "node")
-    spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n.cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["centre", "u", "m", "side", "node", "distance", "tokens"]
-    first = members.filter("not linked").withColumn("u", spread(F.col("n_u"), 1)).withColumn("m", every(F.col("n_m"))).withColumn("side", F.lit(0))
-    second = members.withColumn("m", spread(F.col("n_m"), 2)).withColumn("u", every(F.col("n_u"))).withColumn("side", F.lit(1))
-    more = _blocks(first.select(*columns).union(second.select(*columns))).filter("a <> b")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "n", "bits", "tokens"])
+
+    sets = stored(texts.mapInArrow(packed, "node long, n long, bits binary, tokens binary").dropDuplicates(["node"]), "sets")
+    tokens, small = sets.select("node", "tokens"), sets.select("node", "n", "bits")
+    around = lambda df: df.select(*[F.col(c).alias("centre" if c == "node" else f"centre_{c}") for c in df.columns])
+    screened = stored(_screen(stars.join(small, "node").join(around(small), "centre")), "screened")
+    checked = _compare(screened.filter("possible").join(tokens, "node").join(around(tokens), "centre"))
+    unlike = screened.filter("not possible").select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
+    compared = stored(checked.union(unlike), "compared")
+    active = _active(compared.join(small, "node"))
+    left = stored(compared.join(active, ["centre", "node"], "left_semi"), "active")
+    more = _blocks(left.join(tokens, "node"))
     return compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(more)
 
 
