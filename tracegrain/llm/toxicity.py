@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,21 +68,17 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def screen(bags: list[list[set[str]]], y: np.ndarray, least: float = SCREEN) -> np.ndarray:
-    """Sorted hashes of the features that go with toxic documents, by the likelihood ratio of document counts."""
-    known: dict[str, tuple[int, ...]] = {}
-    sides = ([], [])
-    for bag, label in zip(bags, y, strict=True):
-        own = {f for w in set().union(*bag) for f in known.setdefault(w, features(w))}
-        sides[label].append(np.fromiter(own, dtype=np.uint32, count=len(own)))
-    counted = [np.unique(np.concatenate(side), return_counts=True) for side in sides]
-    hashes, on = counted[1]
-    other = np.searchsorted(counted[0][0], hashes)
-    other = np.minimum(other, len(counted[0][0]) - 1)
-    off = np.where(counted[0][0][other] == hashes, counted[0][1][other], 0)
+def screen(docs: list[np.ndarray], y: np.ndarray, least: float = SCREEN) -> np.ndarray:
+    """Sorted hashes of the features that go with toxic documents, by the likelihood ratio of document counts; docs are distinct hashes."""
+    on_hash, on = np.unique(np.concatenate([d for d, label in zip(docs, y, strict=True) if label]), return_counts=True)
+    off_hash, off_n = np.unique(np.concatenate([d for d, label in zip(docs, y, strict=True) if not label]), return_counts=True)
+    if not len(off_hash) or not len(on_hash):
+        return on_hash
+    at = np.minimum(np.searchsorted(off_hash, on_hash), len(off_hash) - 1)
+    off = np.where(off_hash[at] == on_hash, off_n[at], 0)
     share, base = on / (on + off), y.mean()
     ratio = 2 * (on * np.log(share / base) + np.where(off > 0, off * np.log(np.maximum(1 - share, 1e-300) / (1 - base)), 0.0))
-    return hashes[(share > base) & (ratio >= least)]
+    return on_hash[(share > base) & (ratio >= least)]
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[dict[int, float], float]:
@@ -89,27 +86,26 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     y = np.asarray(labels, dtype=np.int8)
     if len(set(labels)) < 2:
         return {}, START_BIAS
-    bags, one_copy = [], {}
-    for text in texts:
+    index: dict[str, int] = {}
+    words, lengths, doc_of, bounds = array("i"), array("i"), array("i"), [0]
+    for d, text in enumerate(texts):
         low = text.lower()
-        bags.append([{one_copy.setdefault(w, w) for w in words_in(low, span)} for span in sentences(low)])
-    del one_copy
-    kept = screen(bags, y)
-    place = {int(h): i for i, h in enumerate(kept)}
-    of_word: dict[str, list[int]] = {}
-    doc_of, sentence_of, feature_at = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            for word in words:
-                own = of_word.get(word)
-                if own is None:
-                    own = of_word[word] = [place[f] for f in features(word) if f in place]
-                if own:
-                    feature_at += own
-                    sentence_of += [len(doc_of)] * len(own)
+        for span in sentences(low):
+            own = words_in(low, span)
+            words.extend(index.setdefault(w, len(index)) for w in own)
+            lengths.append(len(own))
             doc_of.append(d)
-    del bags, of_word
-    doc_of, sentence_of, feature_at = (np.array(x, dtype=np.int64) for x in (doc_of, sentence_of, feature_at))
+        bounds.append(len(words))
+    words, lengths, doc_of = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (words, lengths, doc_of))
+    width = len(features(""))
+    table = np.fromiter((f for w in index for f in features(w)), np.uint32, width * len(index)).reshape(-1, width)
+    kept = screen([np.unique(table[np.unique(words[a:b])]) for a, b in zip(bounds, bounds[1:], strict=False)], y)
+    at = np.minimum(np.searchsorted(kept, table), max(len(kept) - 1, 0))
+    known = kept[at] == table if len(kept) else np.zeros(table.shape, bool)
+    useful = known.any(axis=1)[words] if len(words) else np.empty(0, bool)
+    near = words[useful]
+    sentence_of = np.repeat(np.repeat(np.arange(len(lengths)), lengths)[useful], width)[known[near].ravel()]
+    feature_at = at[near].ravel()[known[near].ravel()]
     w, bias = np.zeros(len(kept)), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
