@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import long_words
 from ..ordered import top_k
+from ..session import cut
 from .vectors import hash_embedding, k_centres, mean_distance
 
 IDENTITY = r"\b(?:identity|doc|decision|task|user|goal)-code-\d{4}\b"
@@ -42,7 +43,8 @@ def audit(events: DataFrame, verdicts: DataFrame | None = None, recall_floor: fl
     Identity hits are an equi join of distinct identities with the session's one representative text; the
     spread uses the sum of unit vectors instead of event pairs.
     """
-    rows = event_identities(events)
+    # read four times, and the vectors repeat the text many times over, so its expressions are worked out once
+    rows = cut(event_identities(events).select("session", "seq", "identities", "context", "cited"))
     first = rows.groupBy("session").agg(F.min_by(F.struct("context", "identities"), "seq").alias("r")).select(
         "session", F.lower(F.concat(F.col("r.context"), F.lit("\n"), F.array_join("r.identities", "\n"))).alias("_rep"))
     named = rows.select("session", F.explode("identities").alias("identity")).distinct().join(first, "session")

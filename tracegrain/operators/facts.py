@@ -288,11 +288,11 @@ def retire_source(history: DataFrame, edge_table: DataFrame, retired: DataFrame,
         history.withColumn("path", path_of).join(paths, ["session", "path"], "left")
         .withColumn("_hit", F.col("valid_to").isNull() & F.col("_at").isNotNull())
         .withColumn("valid_to", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("valid_to"))))
-    gone = closed.filter("_hit").groupBy("session", F.col("name").alias("_n")).agg(F.min("_at").alias("_t"))
+    gone = closed.filter("_hit").groupBy("session", "entity_type", F.col("name").alias("_n")).agg(F.min("_at").alias("_t"))
     out = edge_table
     for end in ("source", "target"):
-        side = gone.select("session", F.col("_n").alias(end), F.col("_t").alias(f"_{end}_at"))
-        out = out.join(side, ["session", end], "left")
+        side = gone.select("session", F.col("entity_type").alias(f"{end}_type"), F.col("_n").alias(end), F.col("_t").alias(f"_{end}_at"))
+        out = out.join(side, ["session", f"{end}_type", end], "left")
     at = F.least("_source_at", "_target_at")
     out = out.withColumn("valid_to", F.when(F.col("valid_to").isNull(), at).otherwise(F.col("valid_to")))
     return closed.drop("_hit", "_at", "path"), out.drop("_source_at", "_target_at")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +11,26 @@ from ..session import cut
 BLOCK_LEVELS = 12  # one task folds at most 2 ** 12 nodes
 
 
-def _fold_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("idx")
-    base, level = int(pdf["block"].iloc[0]), int(pdf["level"].iloc[0])
-    layer = list(pdf["hash"])
-    first = base << BLOCK_LEVELS
-    out = [(level, first + i, h) for i, h in enumerate(layer)]
-    for step in range(1, BLOCK_LEVELS + 1):
-        nxt = []
-        for i in range(0, len(layer), 2):
-            if i + 1 < len(layer):
-                nxt.append(hashlib.sha256(b"\x01" + bytes.fromhex(layer[i]) + bytes.fromhex(layer[i + 1])).hexdigest())
-            else:
-                nxt.append(layer[i])  # an unpaired node is carried up
-        layer = nxt
-        out += [(level + step, (first >> step) + i, h) for i, h in enumerate(layer)]
-    return pd.DataFrame(out, columns=["level", "idx", "hash"])
+def _fold_blocks(level_rows: DataFrame, level: int) -> DataFrame:
+    """Nodes (level, idx, hash) of BLOCK_LEVELS levels above aligned blocks of nodes, the blocks' own nodes included."""
+    joined = lambda a, b: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda n: n["hash"])
+    rows = level_rows.groupBy(F.shiftright("idx", BLOCK_LEVELS).alias("block")).agg(in_order.alias("n0"))
+
+    def above(below: str) -> Column:
+        def parent(i):
+            left, right = F.get(below, 2 * i), F.get(below, 2 * i + 1)
+            return F.when(right.isNull(), left).otherwise(joined(left, right))  # an unpaired node is carried up
+
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(below) - 1, 1)), parent)
+
+    def placed(step: int) -> Column:
+        first = F.shiftleft("block", BLOCK_LEVELS - step)
+        return F.transform(f"n{step}", lambda h, i: F.struct(F.lit(level + step).alias("level"), (first + i).alias("idx"), h.alias("hash")))
+
+    for step in range(BLOCK_LEVELS):
+        rows = rows.withColumn(f"n{step + 1}", above(f"n{step}"))
+    return rows.select(F.inline(F.concat(*[placed(step) for step in range(BLOCK_LEVELS + 1)])))
 
 
 def merkle_nodes(entries: DataFrame, order: list[str], content: Column) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +46,7 @@ def merkle_nodes(entries: DataFrame, order: list[str], content: Column) -> tuple
         raise ValueError("a tree needs at least one entry")
     level_rows, nodes, level = leaves.select(F.lit(0).alias("level"), "idx", "hash"), None, 0
     while True:
-        blocks = level_rows.withColumn("block", F.shiftright("idx", BLOCK_LEVELS))
-        made = cut(blocks.groupBy("block").applyInPandas(_fold_block, "level int, idx long, hash string"))
+        made = cut(_fold_blocks(level_rows.select("idx", "hash"), level))
         nodes = made if nodes is None else nodes.unionByName(made.filter(F.col("level") > level))
         level += BLOCK_LEVELS
         size >>= BLOCK_LEVELS
@@ -63,7 +63,7 @@ def merkle_root(nodes: DataFrame) -> DataFrame:
 def inclusion_proofs(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """Siblings from leaf to root per leaf idx: (idx, level, side, sibling); a carried node has none at that level."""
     top = nodes.agg(F.max("level").alias("m")).scalar()
-    path = leaves.select("idx", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("level")).filter(F.col("level") < top)
+    path = leaves.select("idx", top.alias("_top")).filter("_top > 0").select("idx", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)).alias("level"))
     path = path.withColumn("_node", F.expr("shiftright(idx, level)")).withColumn("_sib", F.col("_node").bitwiseXOR(F.lit(1).cast("bigint")))
     side = F.when(F.col("_node") % 2 == 0, "R").otherwise("L")
     siblings = nodes.select("level", F.col("idx").alias("_sib"), F.col("hash").alias("sibling"))

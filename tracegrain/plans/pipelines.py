@@ -23,7 +23,8 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
     asked = vectors.hash_embedding(queries, query_id, text, dim).withColumnRenamed(query_id, "query_id")
     stored = vectors.hash_embedding(docs, doc_id, text, dim).withColumnRenamed(doc_id, "vec_id")
     near = vectors.exact_search(stored, asked, pool)
-    same = queries.select(F.col(query_id).alias("query"), text.alias("_t")).join(docs.select(F.col(doc_id).alias("name"), text.alias("_t")), "_t")
+    asked_texts = queries.select(F.col(query_id).alias("query"), F.sha2(text, 256).alias("_d"), text.alias("_asked"))
+    same = docs.select(F.col(doc_id).alias("name"), F.sha2(text, 256).alias("_d"), text.alias("_t")).join(asked_texts, "_d").filter("_t = _asked")
     lane = lambda df, name, score: df.select("query", "name", F.lit("document").alias("type"), F.lit(name).alias("lane"), score.cast("double").alias("raw_score"))
     rows = lane(same, "exact", F.lit(1.0)).unionByName(
         lane(keyword.withColumnRenamed("doc", "name"), "keyword", F.col("score"))).unionByName(
@@ -41,7 +42,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
 
 
 def checkout(contexts: DataFrame, governance: DataFrame, outcomes: DataFrame, salience: DataFrame, budget: int, as_of_seq: int | None = None, floor: float = 0.15) -> dict[str, DataFrame]:
-    """Governed evidence: as-of filter, withheld rows out, outcome learning, recall set, cognitive order.
+    """Governed evidence: as-of filter, withheld rows out, outcome learning, one row per key, cognitive order over all of them.
 
     Contexts carry the columns of `fusion.cognitive_rank` plus session, seq, key, ord, lane_priority, citation and profile.
     Returns ranked evidence and the excluded rows with their reason.
@@ -51,7 +52,7 @@ def checkout(contexts: DataFrame, governance: DataFrame, outcomes: DataFrame, sa
     kept = replay.drop_withheld(rows, withheld)
     learned = replay.apply_outcomes(kept, outcomes)
     live = learned.filter("NOT suppress")
-    pool = fusion.recall_set(live, max(3 * budget, 16)).drop("rank")
+    pool = fusion.best_per_key(live, ["query", "key"], [F.col("ord")])
     ranked, faint = fusion.cognitive_rank(pool, salience, floor)
     reason = lambda df, why: df.select("query", "item", F.lit(why).alias("reason"))
     excluded = reason(rows.join(withheld, ["session", "seq"], "left_semi"), "governance").unionByName(
@@ -63,35 +64,29 @@ def nightly_pass(log: DataFrame, actionable: Column, step: Column, ok: Column, m
                  known_candidates: DataFrame | None = None) -> dict[str, DataFrame]:
     """Consolidation pass: propose, mine, gate, plan re-verification, audit; one summary row.
 
-    Stages are independent jobs; a failing stage is reported in `errors` and leaves the others standing.
+    Stages are independent jobs; a failure ends the pass.
     """
     out: dict[str, DataFrame] = {}
-    errors: list[tuple[str, str]] = []
 
     def stage(name, make):
-        try:
-            out[name] = cut(make())
-        except Exception as exc:  # noqa: BLE001
-            errors.append((name, str(exc)[:500]))
+        out[name] = cut(make())
 
     def proposals() -> DataFrame:
         windows = sequences.consolidation_windows(log.filter(actionable))
-        rows = sequences.consolidation_proposals(windows).withColumn(
+        # cut first: the id repeats its inputs many times, and each would bring the whole proposal expression along
+        rows = cut(sequences.consolidation_proposals(windows)).withColumn(
             "candidate_id", compaction.deterministic_id("candidate:", F.col("candidate_type"), F.col("segment_id")))
         return rows if known_candidates is None else setops.unseen(rows, known_candidates, ["candidate_id"])
 
     stage("proposals", proposals)
     stage("procedures", lambda: sequences.mine_procedures(sequences.session_traces(log, step, ok)))
-    if "proposals" in out:
-        stage("gated", lambda: compaction.evolution_gate(
-            out["proposals"].select("candidate_id", F.concat(F.lit("consolidation."), "candidate_type").alias("op"), "confidence"), policy))
+    stage("gated", lambda: compaction.evolution_gate(
+        out["proposals"].select("candidate_id", F.concat(F.lit("consolidation."), "candidate_type").alias("op"), "confidence"), policy))
     stage("reverify", lambda: replay.plan_reverify(meta))
     stage("audit", lambda: compaction.audit(log))
-    spark = log.sparkSession
     counts = [df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("rows")) for name, df in out.items()]
-    failed = spark.createDataFrame(errors, "stage string, error string")
-    summary = counts[0] if counts else spark.createDataFrame([], "stage string, rows long")
+    summary = counts[0]
     for part in counts[1:]:
         summary = summary.unionByName(part)
-    out["summary"] = summary.withColumn("error", F.lit(None).cast("string")).unionByName(failed.withColumn("rows", F.lit(None).cast("bigint")))
+    out["summary"] = summary
     return out

@@ -199,8 +199,8 @@ def entity_invalidate_open(src):
 @query("source_retirement", f"""WITH {_VERSIONS}, {_UPSERTED},
  v2 AS (SELECT *, regexp_extract(props_text, 'source_path=([^;]+)', 1) AS path FROM vers),
  hit AS (SELECT *, valid_to IS NULL AND path IN ('src/f1.py', 'src/f2.py') AS h FROM v2),
- gone AS (SELECT DISTINCT session, name FROM hit WHERE h),
- e2 AS (SELECT u.session, CASE WHEN (u.session, u.source) IN (SELECT (session, name) FROM gone) OR (u.session, u.target) IN (SELECT (session, name) FROM gone) THEN 1 ELSE 0 END AS c FROM ups u)
+ gone AS (SELECT DISTINCT session, entity_type, name FROM hit WHERE h),
+ e2 AS (SELECT u.session, CASE WHEN (u.session, u.source_type, u.source) IN (SELECT (session, entity_type, name) FROM gone) OR (u.session, u.target_type, u.target) IN (SELECT (session, entity_type, name) FROM gone) THEN 1 ELSE 0 END AS c FROM ups u)
  SELECT a.session, a.closed_entities, coalesce(b.closed_edges, 0) AS closed_edges FROM (SELECT session, count(*) FILTER (WHERE h) AS closed_entities FROM hit GROUP BY session) a
  LEFT JOIN (SELECT session, sum(c)::BIGINT AS closed_edges FROM e2 GROUP BY session) b ON a.session = b.session""")
 def source_retirement(src):

@@ -146,7 +146,7 @@ def packet_summaries(src):
 
 
 _RECORDS = """SELECT 'conv' || conv_id AS session, turn AS line, CASE WHEN role = 'user' THEN 'tool_use' ELSE 'tool_result' END AS kind,
- 'call' || CAST(floor((turn + 1) / 2) AS BIGINT) AS call_id, 'tool' || (conv_id % 6) AS name, substr(text, 1, 40) AS content,
+ 'call' || CAST(floor((turn + 1) / 2) AS BIGINT) AS call_id, 'tool' || (conv_id % 6) AS name, text AS content,
  CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END AS is_error, conv_id || ':' || turn AS ref FROM @conversations WHERE role <> 'system'"""
 
 

@@ -118,12 +118,12 @@ def temporal_sequence(src):
 
 
 @query("long_horizon_split", f"""WITH t AS (SELECT session, max(seq) AS n FROM @log GROUP BY session), sp AS (SELECT session, n - 20 AS split_seq FROM t WHERE n > 20),
- c AS (SELECT session, seq AS item_id, 'note ' || type || ' item ' || (k % 9) AS text, k % 12 AS sources, seq AS max_seq, CASE WHEN k % 4 = 0 THEN NULL ELSE (k % 10) / 10.0 END AS confidence FROM @log WHERE k % 5 = 0),
+ c AS (SELECT session, seq AS item_id, 'note ' || type || ' item ' || (k % 9) AS text, k % 12 AS sources, seq AS max_seq, CASE WHEN k % 4 = 0 THEN NULL ELSE (k % 10) / 10.0 END AS confidence FROM @log),
  j AS (SELECT c.session, c.item_id, round(0.4 * ((CASE WHEN type_ok THEN 1 ELSE 0 END + 1) / 2.0) + 0.25 * least(1.0, sources / 8.0) + 0.2 * least(1.0, greatest(0.0, max_seq::DOUBLE / split_seq)) + 0.15 * coalesce(confidence, 0.5), 6)::DOUBLE AS score
   FROM (SELECT *, contains(text, 'purchase') AS type_ok FROM c) c JOIN sp ON sp.session = c.session AND max_seq <= split_seq)
  SELECT session, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, item_id) AS rank FROM j) WHERE rank <= 5""")
 def long_horizon_split(src):
-    items = src.log.filter("k % 5 = 0").select(
+    items = src.log.select(
         "session", F.col("seq").alias("item_id"), F.expr("'note ' || type || ' item ' || (k % 9)").alias("text"), (F.col("k") % 12).alias("sources"),
         F.col("seq").alias("max_seq"), F.when(F.expr("k % 4 <> 0"), (F.col("k") % 10) / 10.0).alias("confidence"))
     asked = src.log.select("session").distinct().withColumns({"query_id": F.lit(1), "text": F.lit("purchase item")})

@@ -23,7 +23,6 @@ RECORD = T.StructType([
     T.StructField("integrity", T.StructType([T.StructField("hash", T.StringType()), T.StructField("previousHash", T.StringType())])),
 ])
 SESSION_ID = r"^[A-Za-z0-9_.-]{1,128}$"
-MAX_PAYLOAD_BYTES = 1024 * 1024
 
 
 def _normalise(raw: DataFrame) -> DataFrame:
@@ -65,8 +64,7 @@ def valid_and_rejected(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~F.col("session").rlike(SESSION_ID), "session_id")
         .when(F.col("seq").isNull() | (F.col("seq") < 1), "seq")
         .when(F.col("ts_us").isNull(), "timestamp")
-        .when(F.coalesce(F.length(F.trim("type")), F.lit(0)) == 0, "type")
-        .when(F.octet_length("payload") > MAX_PAYLOAD_BYTES, "payload_size"))
+        .when(F.coalesce(F.length(F.trim("type")), F.lit(0)) == 0, "type"))
     judged = log.withColumn("reject_reason", reason)
     return judged.filter("reject_reason IS NULL").drop("reject_reason"), judged.filter("reject_reason IS NOT NULL")
 
@@ -102,11 +100,11 @@ def link(prev: Column, digest: Column) -> Column:
 
 
 def redact_batch(batch: DataFrame) -> DataFrame:
-    """Payloads with secrets replaced, their class and redacted paths."""
-    safe = redact_json("payload")
+    """Payloads with secrets replaced, their class, redacted paths, and whether they are not JSON."""
+    safe = redact_json(F.col("payload"))
     return batch.withColumn("_safe", safe).withColumns({
         "payload": F.col("_safe.payload"), "sensitivity": F.col("_safe.sensitivity"),
-        "redacted_paths": F.col("_safe.redacted_paths")}).drop("_safe")
+        "redacted_paths": F.col("_safe.redacted_paths"), "malformed": F.col("_safe.malformed")}).drop("_safe")
 
 
 def _chain_slice(pdf: pd.DataFrame) -> pd.DataFrame:
