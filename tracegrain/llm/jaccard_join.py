@@ -115,15 +115,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """key, n_shingles and node (digest of the set; null for an empty set) of every row of (key, text)."""
+    """key, n_shingles, node (digest of the set; null for an empty set) and bits (its bitmap) of every row of (key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [tokens for _, tokens in _sets([batch])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())],
-                names=["key", "n_shingles", "node"])
+            for part in pieces(batch, "text"):
+                sets = [tokens for _, tokens in _sets([part])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([bitmap(s).tobytes() if len(s) >= LEAST_SIZE else None for s in sets], pa.binary())], names=["key", "n_shingles", "node", "bits"])
 
-    return docs.mapInArrow(run, "key long, n_shingles long, node long")
+    return docs.mapInArrow(run, "key long, n_shingles long, node long, bits binary")
 
 
 def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,13 +332,22 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that give the components of all links; `docs` has key and text, `nodes` node and its smallest key."""
+    """Links (a, b) between nodes that give the components of all links; `docs` has key and text, `nodes` node, its smallest key, n and bits."""
     buckets = 1 << min(20, max(8, (max(1, docs.count()) // 256).bit_length()))
     index = _index(docs, frequent_tokens(docs, buckets))
     centre = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
-    stars = index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct()
-    stars = stored(stars, "stars")
-    wanted = stored(stars.select("node").union(stars.select("centre")).distinct().join(nodes, "node").select(F.col("key").alias("_key")), "wanted")
+    stars = stored(index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct(), "stars")
+    around = lambda df: df.select(*[F.col(c).alias("centre" if c == "node" else f"centre_{c}") for c in df.columns])
+    small = nodes.select("node", "n", "bits")
+    screened = stored(_screen(stars.join(small, "node").join(around(small), "centre")), "screened")
+
+    # shingles are fetched for the pairs that passed, and for members that may be linked to others than their centre
+    unlike = screened.filter("not possible").select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
+    hopeful = screened.filter("possible").select("centre", "node")
+    members = unlike.union(hopeful.select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(True).alias("linked")))
+    chosen = stored(hopeful.union(_active(members.join(small, "node"))).distinct(), "chosen")
+    wanted = chosen.select("node").union(hopeful.select("centre")).distinct().join(nodes, "node").select(F.col("key").alias("_key"))
+    wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_NODES:  # their ids go to the texts; beyond that both sides are shuffled
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("key") == F.col("_key"), "left_semi")
@@ -347,20 +357,12 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for part in pieces(batch, "text", 1 << 20):
                 sets = [tokens for _, tokens in _sets([part])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "bits", "tokens"])
+                    [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    sets = stored(texts.mapInArrow(packed, "node long, n long, bits binary, tokens binary").dropDuplicates(["node"]), "sets")
-    tokens, small = sets.select("node", "tokens"), sets.select("node", "n", "bits")
-    around = lambda df: df.select(*[F.col(c).alias("centre" if c == "node" else f"centre_{c}") for c in df.columns])
-    screened = stored(_screen(stars.join(small, "node").join(around(small), "centre")), "screened")
-    checked = _compare(screened.filter("possible").join(tokens, "node").join(around(tokens), "centre"))
-    unlike = screened.filter("not possible").select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
+    tokens = stored(texts.mapInArrow(packed, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
+    checked = _compare(hopeful.join(tokens, "node").join(around(tokens), "centre"))
     compared = stored(checked.union(unlike), "compared")
-    active = _active(compared.join(small, "node"))
-    left = stored(compared.join(active, ["centre", "node"], "left_semi"), "active")
-    more = _blocks(left.join(tokens, "node"))
+    more = _blocks(compared.join(chosen, ["centre", "node"], "left_semi").join(tokens, "node"))
     return compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(more)
 
 
@@ -368,13 +370,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_shingles`, `component_id` of every row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = stored(classes(rows), "classes")
-    nodes = own.filter("node is not null and key is not null").groupBy("node").agg(F.min("key").alias("key"))
+    nodes = own.filter("node is not null and key is not null").groupBy("node").agg(
+        F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
     parts = components(links(rows, nodes))
-    named = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    named = nodes.select("node", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))
     placed = named.join(least, "part").select(F.col("node").alias("_node"), "component_id")
-    return own.join(placed, F.col("node") == F.col("_node"), "left").select(
+    return own.drop("bits").join(placed, F.col("node") == F.col("_node"), "left").select(
         F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
