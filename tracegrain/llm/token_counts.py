@@ -31,6 +31,7 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 LIMIT = 1024
 TABLE_SIZE = 20_000
 SKETCH_ITEMS = 60_000
+MERGE_WIDTH = 64
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 
@@ -83,10 +84,13 @@ def lengths(tokenizer_file: str) -> Lengths:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", table_size: int = TABLE_SIZE, sketch_items: int = SKETCH_ITEMS) -> list[str]:
-    """The most frequent blank-separated words of all texts, by one bounded sketch per task; at most `table_size`."""
+    """The most frequent blank-separated words of all texts, by one bounded sketch per task, merged in two steps; at most `table_size`."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), " ")).alias("w")).filter(F.length("w").between(1, CACHE_CHARS))
-    top = words.agg(F.expr(f"approx_top_k(w, {table_size}, {sketch_items})").alias("top")).first()["top"]
-    return [row["item"] for row in top or []]
+    parts = words.groupBy((F.spark_partition_id() % MERGE_WIDTH).alias("part")).agg(F.expr(f"approx_top_k_accumulate(w, {sketch_items})").alias("s"))
+    # grouped by a column that is always true, which gives no row, and no sketch to read, for an empty table
+    whole = parts.groupBy((F.col("part") >= 0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {sketch_items})").alias("s"))
+    top = whole.select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("top")).collect()
+    return [row["item"] for row in top[0]["top"]] if top else []
 
 
 def frequent_lengths(words: list[str], tokenizer_file: str) -> tuple[list[str], list[int]]:
