@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 from ..ordered import top_k
 from ..session import cut
 
-QUERY_BATCH = 2048  # queries scanned per pass; their vectors ride with the task, so the number is bounded
+QUERY_BLOCK = 2048  # queries and vectors that meet in one cell
+CORPUS_BLOCK = 16384
 OVERSAMPLE = 4
 
 
@@ -36,68 +38,114 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(size > 0, dot(left, right) / size).otherwise(F.lit(0.0))
 
 
-def _scan(queries: pd.DataFrame, k: int, int8: bool):
-    """A partition scan that keeps the k best rows per query of the whole partition in memory (queries x k)."""
-    ids = queries["query_id"].to_numpy()
-    q = np.array([np.asarray(v, dtype=np.float64) for v in queries["vector"]])
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-    if int8:
-        peak = np.abs(q).max(axis=1, keepdims=True)
-        q8 = np.clip(np.rint(q * (127.0 / np.where(peak == 0, 1, peak))), -127, 127).astype(np.int32)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple]] = [[] for _ in ids]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.array([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-            keys = pdf["vec_id"].to_numpy()
-            if int8:
-                top = np.abs(m).max(axis=1, keepdims=True)
-                m8 = np.clip(np.rint(m * (127.0 / np.where(top == 0, 1, top))), -127, 127).astype(np.int32)
-                scores = (q8 @ m8.T) * (top[:, 0] / 127.0)[None, :]
-                scores = np.round(scores, 9)
-            else:
-                scores = np.round(q @ m.T, 6)
-            for i in range(len(ids)):
-                row = scores[i]
-                if row.size > k:
-                    edge = np.partition(-row, k - 1)[k - 1]
-                    take = np.flatnonzero(-row <= edge)
-                else:
-                    take = np.arange(row.size)
-                found = best[i] + [(-row[j], keys[j]) for j in take if int8 or row[j] > 0]
-                found.sort()
-                best[i] = found[:k]
-        out = [(ids[i], key, -neg) for i in range(len(ids)) for neg, key in best[i]]
-        if out:
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    return run
+def _cells(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Both sides dealt into cells (space, block, shard), queries first; a cell lies in one partition.
+
+    A space is a dimension and, where both sides have the column, a version: vectors of different spaces never meet.  Blocks of
+    queries and shards of the corpus follow the counts of each space, so a cell holds about QUERY_BLOCK x CORPUS_BLOCK.
+    """
+    tagged = "version" in corpus.columns and "version" in queries.columns
+
+    def rows(df: DataFrame, key: str, side: int) -> DataFrame:
+        version = F.coalesce(F.col("version").cast("string"), F.lit("")) if tagged else F.lit("")
+        space = F.concat_ws(":", F.size("vector").cast("string"), version)
+        return df.filter("vector is not null").select(space.alias("space"), F.lit(side).alias("side"), F.col(key).alias(key), F.col("vector").cast("array<double>").alias("vector"))
+
+    asked, held = rows(queries, "query_id", 0), rows(corpus, "vec_id", 1)
+    parts = lambda df, size, out: df.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(out))
+    shape = parts(asked, QUERY_BLOCK, "blocks").join(parts(held, CORPUS_BLOCK, "shards"), "space")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(shape, "space").withColumn("block", own("query_id", "blocks")).withColumn("shard", every("shards"))
+    held = held.join(shape, "space").withColumn("shard", own("vec_id", "shards")).withColumn("block", every("blocks"))
+    both = asked.drop("blocks", "shards").unionByName(held.drop("blocks", "shards"), allowMissingColumns=True)
+    return both.repartition("space", "block", "shard").sortWithinPartitions("space", "block", "shard", "side")
+
+
+def _units(vectors: list) -> np.ndarray:
+    rows = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _int8(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers up to 127 and the scale of each row; kept as floats, whose products are exact at these sizes and fast."""
+    peak = np.abs(units).max(axis=1, keepdims=True)
+    whole = np.clip(np.rint(units * (127.0 / np.where(peak == 0, 1, peak))), -127, 127)
+    return whole.astype(np.float32 if units.shape[1] < 1000 else np.float64), peak[:, 0] / 127.0
+
+
+class _Cell:
+    """The k best rows per query of one cell."""
+
+    def __init__(self, k: int, int8: bool):
+        self.k, self.int8, self.ids, self.asked, self.held, self.matrix = k, int8, [], [], [], None
+        self.best: list[list[tuple]] = []
+
+    def score(self) -> None:
+        if not self.ids or not self.held:
+            return
+        if self.matrix is None:
+            unit = _units(self.asked)
+            self.matrix, self.best = (_int8(unit)[0] if self.int8 else unit), [[] for _ in self.ids]
+        keys, unit = [key for key, _ in self.held], _units([v for _, v in self.held])
+        if self.int8:
+            whole, scale = _int8(unit)
+            scores = np.round((self.matrix @ whole.T).astype(np.float64) * scale[None, :], 9)
+        else:
+            scores = np.round(self.matrix @ unit.T, 6)
+        for i, row in enumerate(scores):
+            edge = -np.partition(-row, self.k - 1)[self.k - 1] if row.size > self.k else -np.inf
+            near = np.flatnonzero((row >= edge) & (self.int8 or row > 0))
+            self.best[i] = sorted(self.best[i] + [(-row[j], keys[j]) for j in near])[:self.k]
+        self.held = []
+
+    def rows(self) -> list[tuple]:
+        self.score()
+        return [(query, key, float(-value)) for query, best in zip(self.ids, self.best, strict=False) for value, key in best]
 
 
 def _partial_top(corpus: DataFrame, queries: DataFrame, k: int, int8: bool = False) -> DataFrame:
-    """k best rows per query and partition.  A batch of queries beyond QUERY_BATCH is split by hash and scanned in passes."""
+    """k best rows per query and cell: query_id, vec_id, score."""
     types = dict(corpus.select("vec_id").dtypes) | dict(queries.select("query_id").dtypes)
-    schema = f"query_id {types['query_id']}, vec_id {types['vec_id']}, score double"
-    passes = max(1, -(-queries.count() // QUERY_BATCH))
-    out = None
-    for p in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        rows = part.select("query_id", "vector").toPandas()
-        found = corpus.select("vec_id", "vector").mapInPandas(_scan(rows, k, int8), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    names = ["query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, cell, kinds = None, _Cell(k, int8), None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            kinds = [batch.schema.field("query_id").type, batch.schema.field("vec_id").type, pa.float64()]
+            vectors = batch.column("vector")
+            flat, bounds = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            out = []
+            for i, (space, block, shard, side, query, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("space", "block", "shard", "side", *names[:2])), strict=True)):
+                if place != (space, block, shard):
+                    out += cell.rows()
+                    place, cell = (space, block, shard), _Cell(k, int8)
+                vector = np.nan_to_num(flat[bounds[i]:bounds[i + 1]])
+                if side == 0:
+                    cell.ids.append(query)
+                    cell.asked.append(vector)
+                elif cell.ids:
+                    cell.held.append((key, vector))
+                    if len(cell.held) == 4096:
+                        cell.score()
+            yield table(out)
+        if kinds:
+            yield table(cell.rows())
+
+    return _cells(corpus, queries).mapInArrow(run, f"query_id {types['query_id']}, vec_id {types['vec_id']}, score double")
 
 
 def exact_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Cosine top-k per query, positive scores only, ties by id: (query_id, vec_id, score, rank).
 
-    Each task scans its vectors against the query matrix and ships only k rows per query; no pair of rows
-    crosses the network.  Corpus: vec_id, vector; queries: query_id, vector.
+    Cells of queries and vectors are scored by matrix products and give k rows per query; no pair of rows crosses the network.
+    Corpus: vec_id, vector; queries: query_id, vector; either may have version, and only equal dimensions and versions are compared.
     """
     return top_k(_partial_top(corpus, queries, k), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
