@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by token-combination prefixes (operator 6).
 
 Sets of word shingles link when their Jaccard measure is at least THRESHOLD.  All shingles have one global order: rare ones first, by
-hash, then frequent ones by count.  A set's prefix is its beginning in this order, and its signatures are
+length (long words seldom meet by chance) and hash, then frequent ones by count.  A set's prefix is its beginning in this order, and its signatures are
 
 * each rare shingle of the prefix by itself, and
 * each pair of frequent shingles of the prefix that lie in the same group.
