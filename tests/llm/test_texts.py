@@ -137,6 +137,61 @@ def test_line_dedup(spark):
     assert sum((t or "").count(inner) for t in got.values()) == 1
 
 
+def plain_runs(rows, least):
+    """Every run of lines, by brute force."""
+    def spans(text):
+        lines, at = text.split("\n"), [0]
+        for line in lines:
+            at.append(at[-1] + len(line) + 1)
+        words = [len(line.split()) for line in lines]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(words[i:j + 1]) >= least:
+                    yield i, j, text[at[i]:at[j + 1] - 1]
+
+    first, out = {}, {}
+    for key, text in sorted(rows):
+        for i, _, run in spans(text):
+            first.setdefault(run, (key, i))
+    for key, text in rows:
+        gone = {x for i, j, run in spans(text) if first[run] != (key, i) for x in range(i, j + 1)}
+        lines = text.split("\n")
+        out[key] = "\n".join(line for x, line in enumerate(lines) if x not in gone)
+    return out
+
+
+def test_line_dedup_removes_whole_runs_between_other_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_chunks, "chunks", lambda text: iter(()))
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    passages = [[line(rng.choice([0, 1, 9, 17, 26, 40, 49, 55])) for _ in range(rng.randrange(1, 9))] for _ in range(12)]
+    rows = []
+    for key in range(60):
+        lines = [line(rng.randrange(1, 20)) for _ in range(rng.randrange(3))]
+        for _ in range(rng.randrange(1, 4)):
+            own = rng.choice(passages)
+            a = rng.randrange(len(own))
+            lines += own[a:] if rng.random() < 0.3 else own
+            lines += [line(rng.randrange(1, 20)) for _ in range(rng.randrange(3))]
+        rows.append((key, "\n".join(lines)))
+    rows.append((70, "same line here\n" * 40))
+    got = {r.doc_id: r.text for r in line_chunks.line_dedup(table(spark, rows), run_words=50).collect()}
+    want = plain_runs(rows, 50)
+    worded = lambda texts: {k: [x for x in t.split("\n") if x] for k, t in texts.items()}
+    assert worded(got) == worded(want)
+
+
+def test_line_dedup_leaves_no_part_of_a_repeated_passage(spark):
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    for lines in (2, 3, 5, 10):
+        passage = [line(30) for _ in range(lines)]
+        rows = [(i, "\n".join([line(8), *passage, line(9)])) for i in range(20)]
+        got = {r.doc_id: r.text for r in line_chunks.line_dedup(table(spark, rows), run_words=line_chunks.RUN_WORDS).collect()}
+        assert got[0] == rows[0][1]
+        assert all(got[i].split("\n") == [t.split("\n")[0], t.split("\n")[-1]] for i, t in rows[1:])
+
+
 def test_line_dedup_keeps_other_columns_and_repeated_rows(spark):
     text = "\n".join(f"some words of line {i} of many" for i in range(8))
     docs = spark.createDataFrame([(1, text, "start", 3, 9), (1, text, "start", 3, 9), (2, text, "stop", 4, 9), (None, None, None, None, None)],

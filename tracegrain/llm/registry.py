@@ -69,7 +69,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup(_table(spark, sf_dir, "documents"))
+    return line_chunks.line_dedup(_table(spark, sf_dir, "documents"), run_words=line_chunks.RUN_WORDS)
 
 
 _MIX_SQL = """
