@@ -11,7 +11,7 @@ import pytest
 
 from tracegrain.llm import chat, jaccard_join, mixing, polytope
 from tracegrain.llm.components import components
-from tracegrain.llm.shingle_sets import shingles
+from tracegrain.llm.shingle_sets import digest, shingles
 
 
 def grouped(nodes, links):
@@ -93,6 +93,20 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.one_of_each(docs).count() == 4
 
 
+def test_jaccard_join_past_a_near_copy_without_id(spark):
+    rng = random.Random(3)
+    docs = []
+    for group in range(6):
+        texts = []
+        while not texts or min(texts, key=lambda t: digest(shingles(t))) != texts[0]:
+            base = [f"n{rng.randrange(10 ** 6)}" for _ in range(200)]
+            texts = [" ".join(base), *[" ".join(base[:at] + [f"e{at}"] + base[at + 1:]) for at in (20, 180)]]
+        docs += [(None, texts[0]), (10 * group + 1, texts[1]), (10 * group + 2, texts[2])]
+    got = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(10 * g + i, 10 * g + 1) for g in range(6) for i in (1, 2)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None] * 6
+
+
 def test_signatures_lose_no_pair():
     rng = random.Random(4)
     every = [f"t{i}" for i in range(300)]

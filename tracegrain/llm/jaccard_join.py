@@ -373,7 +373,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     nodes = own.filter("node is not null and key is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
-    parts = components(links(rows, nodes))
+    parts = components(links(rows.filter("key is not null"), nodes))  # a set without an id is no node and must not be a centre
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))
     placed = named.join(least, "part").select(F.col("node").alias("_node"), "component_id")
