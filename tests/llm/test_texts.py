@@ -235,6 +235,36 @@ def test_toxicity_learns_held_out_labels_and_sentences(spark):
     assert kept == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_of_long_clean_texts():
+    rng = random.Random(12)
+    plain = lambda: " ".join(f"ok{rng.randrange(300)}" for _ in range(8))
+    texts, labels = [], []
+    for i in range(900):
+        own = [plain() + (" current" if rng.random() < 0.05 else "") for _ in range(rng.randrange(1, 30))]
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] += " curse"
+        texts.append(". ".join(own))
+        labels.append(int(i % 3 == 0))
+    scorer = toxicity.Scorer(*toxicity.fit(texts, labels))
+    long = [plain() + (" current" if i % 20 == 0 else "") for i in range(50_000)]
+    assert scorer["curse"] > scorer["current"] > 0
+    assert scorer.score(". ".join(long))[0] < 0.5 and scorer.score(". ".join([plain()] * 50_000))[0] < 0.5
+    long[49_000] += " curse"
+    text = ". ".join(long)
+    score, a, b = scorer.score(text)
+    assert score >= 0.5 and "curse" in text[a:b]
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(13)
+    plain = " ".join(f"ok{i % 300}" for i in range(3000))
+    docs = [(i, f"{plain} {rng.random()}." + " foulword now." * (i % 2)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    weights, _ = toxicity.train(table(spark, docs), labels)
+    assert all(len(t) > 12_000 for _, t in docs) and weights[toxicity.features("foulword")[0]] > 0
+    assert toxicity.train(table(spark, docs), labels, chars=20_000)[0] == {}  # one text fits: one kind of label
+
+
 def test_toxicity_without_labels(spark):
     frame = table(spark, [(1, "a. b"), (1, "a. b"), (None, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
