@@ -47,6 +47,17 @@ def test_fingerprints_of_edited_texts(spark):
     assert got[2].fingerprint == "" and got[7].fingerprint != ""
 
 
+def test_fingerprints_cover_texts_without_common_words(spark):
+    rng = random.Random(14)
+    body = lambda: [f"kod{rng.randrange(10 ** 6)}" for _ in range(60)]
+    one, two = body(), body()
+    edited = one[:30] + ["other"] + one[31:]
+    texts = [" ".join(["shared", "heading", *words]) for words in (one, two, edited)]
+    got = {r.doc_id: set(r.signatures) for r in spotsigs.fingerprints(table(spark, list(enumerate(texts)))).collect()}
+    assert all(len(s) > 8 for s in got.values())
+    assert jaccard(got[0], got[1]) < 0.2 and 0.6 < jaccard(got[0], got[2]) <= 1
+
+
 def test_fingerprints_without_rows_or_ids(spark):
     assert spotsigs.compare_edited(table(spark, [(1, "a b")]).filter("false")).count() == 0
     assert spotsigs.compare_edited(table(spark, [(None, "a"), (None, "b"), (1, "c"), (1, "c")])).count() == 4

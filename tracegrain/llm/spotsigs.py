@@ -1,7 +1,9 @@
 """Document fingerprints by SpotSigs (operator 1), in DataFrame functions only.
 
 A spot is a common word (an anchor) that a content word follows; its signature is the anchor with the chain of the next CHAIN
-content words, common words between them skipped.  The beginning of a text is an anchor too.  A fingerprint is the set of the hashed
+content words, common words between them skipped.  The beginning of a text is an anchor too.  Where no common word stands among REACH words on
+either side (other languages, tables, code), a content word whose hash is below those of all these words is an anchor itself, before the
+content words that follow it, so signatures cover such stretches as well and an edit changes those nearby only.  A fingerprint is the set of the hashed
 signatures, written as their sorted list.  Likeness is the Jaccard measure of two sets.
 
 `near_pairs` finds pairs at or above a threshold t in a whole corpus: sets are dealt into partitions by length whose bounds grow by 1/t, so a pair lies
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import parallelism, stored
 
 CHAIN = 2
+REACH = 2
 THRESHOLD = 0.8
 
 # Frequent function words of the four languages.
@@ -48,14 +51,24 @@ def spots(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame
     pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i - 1), F.lit("the")).alias("before")))
     spot = lambda s, i: F.when(common(s["before"]), F.hash(
         s["before"], s["w"], *[F.get(content, i + j)["w"] for j in range(1, chain)]))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(content, spot))))
+    hashed, own = f"_{out}_hashed", f"_{out}_own"
+    code = F.transform(words, lambda w: F.when(~common(w), F.xxhash64(w)))  # null for a common word
+    near = lambda i: [F.get(hashed, i + j) for j in range(-REACH, REACH + 1) if j]
+    inside = lambda i: F.greatest(i - REACH, F.lit(0))
+    bare = lambda i: ~F.exists(F.slice(hashed, inside(i) + 1, i + REACH + 1 - inside(i)), lambda h: h.isNull())
+    least = lambda h, i: h < F.coalesce(F.least(*near(i)), F.lit((1 << 63) - 1))
+    anchored = F.transform(words, lambda w, i: F.when((i > 0) & bare(i) & least(F.get(hashed, i), i), F.hash(
+        F.lit(""), w, *[F.get(words, i + j) for j in range(1, CHAIN + 1)])))
+    found = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.transform(content, spot)), F.array_compact(own))))
     whole = F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
     return (
         docs.withColumn(words, split)
         .withColumn(content, F.filter(pairs, lambda s: ~common(s["w"])))
+        .withColumn(hashed, code)
+        .withColumn(own, anchored)
         .withColumn(out, found)
         .withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole))
-        .drop(words, content)
+        .drop(words, content, hashed, own)
     )
 
 
