@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fill_middle, jaccard_join, licenses, line_chunks, mixing, periodic_runs, polytope, spotsigs, token_counts, toxicity
+from . import bpe, brown, chat, fill_middle, jaccard_join, licenses, line_chunks, mixing, periodic_runs, polytope, spotsigs, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_periodic_runs")
 def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_class_lm")
+def class_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexities(_table(spark, sf_dir, "documents"))
