@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fusion as U
 from ..operators import graph as G
+from ..operators import keyword_index as K
 from ..operators import replay as R
 from ..operators import retrieval as B
 from ..operators import setops as O
 from ..operators import vectors as V
+from ..session import shared_folder
 from .base import query
 
 _T = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: len(w) > 1)"
@@ -50,6 +52,31 @@ def bm25_keyword_search(src):
     return _keyword(src)
 
 
+def _stored_index(src):
+    """An index of two segments, the second appended to the first."""
+    path, t = shared_folder(src.spark, "keyword-index"), F.col("text")
+    K.append(path, src.documents.filter("doc_id % 3 <> 0"), "doc_id", t, "first")
+    K.append(path, src.documents.filter("doc_id % 3 = 0"), "doc_id", t, "second")
+    return path
+
+
+@query("keyword_index_search", f"WITH {_BM25} SELECT query, doc, score, rank FROM kw WHERE rank <= 10")
+def keyword_index_search(src):
+    return K.search(src.spark, _stored_index(src), B.query_terms(src.benchmark, "item_id", F.col("text")), 10)
+
+
+@query("keyword_index_impacts", f"""WITH {_BM25} SELECT term, any_value(df) AS df, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS best
+ FROM post JOIN df USING (term), st GROUP BY term""")
+def keyword_index_impacts(src):
+    return K.term_impacts(src.spark, _stored_index(src))
+
+
+# the blocks of a query's terms are counted by SQL; how many of them are read depends on the index and is tested against the floor
+@query("keyword_index_blocks")
+def keyword_index_blocks(src):
+    return K.blocks_read(K.plan(src.spark, _stored_index(src), B.query_terms(src.benchmark, "item_id", F.col("text")), 10))
+
+
 @query("verbatim_bm25_incremental", f"""WITH ch AS (SELECT 'conv' || conv_id || ':' || turn AS doc, text FROM conversations),
  docs AS (SELECT doc, {_T.format('text')} AS t FROM ch), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM docs),
  q AS (SELECT DISTINCT item_id AS query, unnest({_T.format('text')}) AS term FROM benchmark), qt AS (SELECT * FROM q WHERE term NOT IN {_STOP}),

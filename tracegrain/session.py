@@ -30,7 +30,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts; a private one only where the cluster names none."""
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_CHECKPOINT_KEY, root)
@@ -45,16 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; it goes when the application ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet below the shared checkpoint folder and read it back.
 
     Unlike a checkpoint the result is columnar, pruned and compressed.  The folder goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = shared_folder(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
