@@ -1,10 +1,12 @@
 """Fingerprints, license scan, line chunks and toxicity against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import regex
 
@@ -266,6 +268,50 @@ def test_toxicity_of_long_clean_texts():
     assert score >= 0.5 and "curse" in text[a:b]
 
 
+def test_noisy_or_against_plain_sums():
+    weights, leak = {f: 1.5 for f in toxicity.features("vile")} | {toxicity.features("mild")[0]: 2.0}, -4.0
+    scorer = toxicity.Scorer(weights, leak)
+
+    def plain(text):
+        g = lambda z: math.log1p(math.exp(toxicity.BIAS + z)) - math.log1p(math.exp(toxicity.BIAS))
+        stays = 1 - 1 / (1 + math.exp(-leak))
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            z = sum(weights.get(f, 0.0) for w in set(re.findall(r"\w+", sentence)) for f in toxicity.features(w))
+            stays *= math.exp(-g(z) ** 2)
+        return 1 - stays
+
+    near, far = "mild word. " * 8 + "plain words here. " * 400, ("mild word. " + "plain words here. " * 50) * 8
+    for text in ("", "Vile. mild mild!", "a mild day\nof vile things? yes", near, far):
+        assert math.isclose(scorer.score(text)[0], plain(text), rel_tol=1e-9)
+    assert math.isclose(scorer.score(near)[0], scorer.score(far)[0], rel_tol=1e-9)  # where evidence stands does not matter
+
+
+def test_slopes_of_the_loss():
+    rng = np.random.default_rng(8)
+    weights, leak, y = rng.random(6) * 3, -3.0, np.array([1, 0, 1, 0])
+    doc_of = np.array([0, 0, 1, 2, 2, 2, 3])
+    sentence_of, feature_at = rng.integers(0, 7, 25), rng.integers(0, 6, 25)
+
+    def plain(w, leak):
+        loss = 0.0
+        for d, label in enumerate(y):
+            stays = 1 - 1 / (1 + math.exp(-leak))
+            for s in np.flatnonzero(doc_of == d):
+                z = w[feature_at[sentence_of == s]].sum()
+                stays *= math.exp(-(math.log1p(math.exp(toxicity.BIAS + z)) - math.log1p(math.exp(toxicity.BIAS))) ** 2)
+            loss -= math.log(1 - stays if label else stays)
+        return loss / len(y) + 0.01 / 2 * (w ** 2).sum()
+
+    loss, slopes, slope_leak = toxicity.loss_and_slopes(weights, leak, feature_at, sentence_of, doc_of, y, 0.01)
+    assert math.isclose(loss, plain(weights, leak), rel_tol=1e-9)
+    step = 1e-6
+    for i, slope in enumerate(slopes):
+        moved = weights.copy()
+        moved[i] += step
+        assert math.isclose(slope, (plain(moved, leak) - loss) / step, rel_tol=1e-3, abs_tol=1e-5)
+    assert math.isclose(slope_leak, (plain(weights, leak + step) - loss) / step, rel_tol=1e-3, abs_tol=1e-5)
+
+
 def test_toxicity_learns_from_long_texts(spark):
     rng = random.Random(13)
     plain = " ".join(f"ok{i % 300}" for i in range(3000))

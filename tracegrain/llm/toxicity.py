@@ -1,11 +1,13 @@
 """Toxicity by multiple-instance learning (operator 8).
 
-A document is a bag of sentences and only the bag has a label.  A sentence is toxic with p = sigmoid(bias + sum of its words' weights); a
-document is toxic unless none of its sentences is: 1 - prod(1 - p), the noisy-or.  Weights are learned from document labels
-through that product, so the model finds by itself which sentences explain a label, and scoring names the worst one.
+A document is a bag of sentences and only the bag has a label.  Each sentence is toxic with a probability p of its own, the document with
+1 - (1 - leak) * prod(1 - p) over all its sentences: the noisy-or.  Weights are learned from document labels through that product, so the
+model finds by itself which sentences explain a label, and scoring names the worst one.  Fit and score use this one formula:
 
-Scoring takes a text for as toxic as its worst passage of PASSAGE sentences in a row, and the bias counts once: a sentence without evidence adds
-nothing, and slight evidence here and there does not add up over a whole book, so a clean text's score does not grow with its length.
+* -log(1 - p) = g(z) ** 2, where z is the sum of the weights of the sentence's words and g(z) = softplus(BIAS + z) - softplus(BIAS);
+* weights are positive (exp of what is learned), so a sentence without evidence has p = 0 and adds nothing, wherever it stands;
+* the square keeps slight evidence slight: thousands of sentences with a weak word do not add up to a toxic book, a few plain ones do;
+* leak = sigmoid of a bias per document, so a text's length alone does not raise its score.
 
 A word's weight is the sum over its features (the word, its first letters, its last letters), so unseen forms of a known stem score as
 well; a word counts once in a sentence.  Features are screened first: only those whose documents are labelled toxic clearly more often
@@ -13,7 +15,7 @@ than others (likelihood ratio of at least SCREEN) get a weight at all.  Learning
 (the TRAIN_ROWS whose hashed ids are smallest, up to TRAIN_CHARS together), never a row whose crc32 falls in the held-out fifth.
 Scoring is one narrow Arrow pass over all texts, whole.
 
-Defined results: a null or empty text is one empty sentence and gets the score of the bias alone; several labels for one document
+Defined results: a null or empty text is one empty sentence and gets the score of the leak alone; several labels for one document
 count as toxic if one does; null labels are none; without labelled rows of both kinds no feature has a weight.
 Repeated rows give repeated results; other columns are not read.
 """
@@ -37,13 +39,14 @@ from .arrow import pieces
 FOLDS = 5
 TRAIN_ROWS = 8_000
 TRAIN_CHARS = 32_000_000
-PASSAGE = 64
 SCREEN = 15.0
 STEPS = 300
 RATE = 0.1
 DECAY = 1e-4
-START_BIAS = -5.0
-CACHE_ENTRIES = 300_000
+BIAS = -5.0
+START_LEAK = -5.0
+START_WEIGHT = 0.7
+CACHE_ENTRIES = 100_000
 CACHE_CHARS = 64
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -72,6 +75,25 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def hazard(z: np.ndarray) -> np.ndarray:
+    """-log(1 - p) of sentences."""
+    return (softplus(BIAS + z) - softplus(np.float64(BIAS))) ** 2
+
+
+def loss_and_slopes(weights: np.ndarray, leak: float, feature_at: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray,
+                    y: np.ndarray, decay: float) -> tuple[float, np.ndarray, float]:
+    """Mean noisy-or log loss with its slopes by weight and by leak; `feature_at` and `sentence_of` hold a row for each feature of each sentence."""
+    z = np.bincount(sentence_of, weights[feature_at], len(doc_of))
+    total = softplus(np.float64(leak)) + np.bincount(doc_of, hazard(z), len(y))
+    total = np.maximum(total, 1e-9)
+    loss = np.where(y == 1, -np.log(-np.expm1(-total)), total).mean() + decay / 2 * (weights ** 2).sum()
+    slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) / len(y)
+    sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -50.0, 50.0)))
+    at_sentence = slope[doc_of] * 2 * (softplus(BIAS + z) - softplus(np.float64(BIAS))) * sigmoid(BIAS + z)
+    grad = np.bincount(feature_at, at_sentence[sentence_of], len(weights)) + decay * weights
+    return float(loss), grad, float(slope.sum() * sigmoid(leak))
+
+
 def screen(docs: list[np.ndarray], y: np.ndarray, least: float = SCREEN) -> np.ndarray:
     """Sorted hashes of the features that go with toxic documents, by the likelihood ratio of document counts; docs are distinct hashes."""
     on_hash, on = np.unique(np.concatenate([d for d, label in zip(docs, y, strict=True) if label]), return_counts=True)
@@ -86,10 +108,10 @@ def screen(docs: list[np.ndarray], y: np.ndarray, least: float = SCREEN) -> np.n
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[dict[int, float], float]:
-    """Feature weights and bias that minimise the noisy-or log loss (Adam on the whole sample; no random numbers)."""
+    """Feature weights and leak that minimise the noisy-or log loss (Adam on the whole sample; no random numbers)."""
     y = np.asarray(labels, dtype=np.int8)
     if len(set(labels)) < 2:
-        return {}, START_BIAS
+        return {}, START_LEAK
     index: dict[str, int] = {}
     words, lengths, doc_of, bounds = array("i"), array("i"), array("i"), [0]
     for d, text in enumerate(texts):
@@ -110,21 +132,18 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     near = words[useful]
     sentence_of = np.repeat(np.repeat(np.arange(len(lengths)), lengths)[useful], width)[known[near].ravel()]
     feature_at = at[near].ravel()[known[near].ravel()]
-    w, bias = np.zeros(len(kept)), START_BIAS
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    log_w, leak = np.full(len(kept), math.log(START_WEIGHT)), START_LEAK
+    m, v, ml, vl = np.zeros_like(log_w), np.zeros_like(log_w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sentence_of, w[feature_at], len(doc_of))
-        total = np.maximum(np.bincount(doc_of, softplus(z), len(texts)), 1e-9)
-        slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0)
-        at_sentence = slope[doc_of] / (1.0 + np.exp(-np.clip(z, -50.0, 50.0)))
-        grad = np.bincount(feature_at, at_sentence[sentence_of], len(kept)) / len(texts) + decay * w
-        grad_bias = at_sentence.sum() / len(texts)
+        w = np.exp(log_w)
+        _, grad, grad_leak = loss_and_slopes(w, leak, feature_at, sentence_of, doc_of, y, decay)
+        grad = grad * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * grad_bias, 0.999 * vb + 0.001 * grad_bias * grad_bias
+        ml, vl = 0.9 * ml + 0.1 * grad_leak, 0.999 * vl + 0.001 * grad_leak * grad_leak
         a, b = 1 - 0.9 ** step, 1 - 0.999 ** step
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= rate * (mb / a) / (math.sqrt(vb / b) + 1e-8)
-    return dict(zip(map(int, kept), map(float, w), strict=True)), float(bias)
+        log_w -= rate * (m / a) / (np.sqrt(v / b) + 1e-12)
+        leak -= rate * (ml / a) / (math.sqrt(vl / b) + 1e-12)
+    return dict(zip(map(int, kept), map(float, np.exp(log_w)), strict=True)), float(leak)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[dict[int, float], float]:
@@ -148,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 class Scorer(dict):
     """Word scores by lower-cased word, in two bounded generations, and scores of texts."""
 
-    def __init__(self, weights: dict[int, float], bias: float):
+    def __init__(self, weights: dict[int, float], leak: float):
         super().__init__()
-        self.weights, self.bias, self.old = weights, bias, {}
-        self.base = float(softplus(np.float64(bias)))
+        self.weights, self.old = weights, {}
+        self.base = float(softplus(np.float64(leak)))
 
     def __missing__(self, word: str) -> float:
         score = self.old.get(word)
@@ -167,15 +186,13 @@ class Scorer(dict):
     def score(self, text: str) -> tuple[float, int, int]:
         """Probability, and the span of the sentence that is likeliest to be toxic (first of equals)."""
         low = text.lower()
-        if not any(map(self.__getitem__, set(_WORD.findall(low)))):  # the bias alone
+        if not any(map(self.__getitem__, set(_WORD.findall(low)))):  # the leak alone
             first = _SENTENCE.search(text)
             return -math.expm1(-self.base), *(first.span() if first else (0, 0))
         spans = sentences(low)
-        z = np.array([self.bias + sum(map(self.__getitem__, words_in(low, span))) for span in spans])
+        z = np.array([sum(map(self.__getitem__, words_in(low, span))) for span in spans], dtype=float)
         a, b = spans[int(z.argmax())] if len(low) == len(text) else (0, len(text))
-        so_far = np.concatenate([[0.0], np.cumsum(np.maximum(softplus(z) - self.base, 0.0))])
-        worst = so_far[-1] if len(z) <= PASSAGE else (so_far[PASSAGE:] - so_far[:-PASSAGE]).max()
-        return float(-np.expm1(-self.base - worst)), a, b
+        return float(-np.expm1(-self.base - hazard(z).sum())), a, b
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,11 +223,11 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted to be toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t or "")[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in pieces(batch, text):
+                yield part.filter(pa.array([own.score(t or "")[0] < 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
