@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fusion as U
 from ..operators import graph as G
+from ..operators import ivf as I
 from ..operators import keyword_index as K
 from ..operators import replay as R
 from ..operators import retrieval as B
@@ -153,6 +154,37 @@ def vector_recall(src):
     return V.recall_at_k(V.exact_search(corpus, asked, 10), V.quantised_search(corpus, asked, 10), 10)
 
 
+def _inverted_file(src, corpus):
+    """Tables and a folder with two segments."""
+    path, tables = shared_folder(src.spark, "inverted-file"), I.train(corpus)
+    I.append(path, corpus.filter("vec_id % 2 = 0"), tables, "first")
+    I.append(path, corpus.filter("vec_id % 2 <> 0"), tables, "second")
+    return path, tables
+
+
+@query("vector_ivf_search")
+def vector_ivf_search(src):
+    corpus = _vectors(src)
+    path, tables = _inverted_file(src, corpus)
+    return I.search(src.spark, path, tables, _centres(src), 10)
+
+
+# every stored row is found from its own cell
+@query("vector_ivf_findable", """SELECT vec_id, 1.0::DOUBLE AS score FROM embeddings WHERE list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0""")
+def vector_ivf_findable(src):
+    corpus = _vectors(src)
+    path, tables = _inverted_file(src, corpus)
+    found = I.search(src.spark, path, tables, corpus.select(F.col("vec_id").alias("query_id"), "vector"), 1, I.Setting(1, I.TUNE_ROWS))
+    return found.select(F.col("query_id").alias("vec_id"), "score")
+
+
+@query("vector_ivf_recall")
+def vector_ivf_recall(src):
+    corpus, asked = _vectors(src), _centres(src)
+    path, tables = _inverted_file(src, corpus)
+    return V.recall_at_k(V.exact_search(corpus, asked, 10), I.search(src.spark, path, tables, asked, 10), 10)
+
+
 _UV = "u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
 
 
