@@ -9,6 +9,14 @@ import pyarrow as pa
 BATCH_BYTES = 4 << 20
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; afterwards the worker, which lives on for other tasks, gives back the memory that Arrow holds for reuse."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def pieces(batch: pa.RecordBatch, text_column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of `batch` whose texts take `most` bytes or hold a single row."""
     column = batch.column(batch.schema.get_field_index(text_column))

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces
+from .arrow import pieces, released
 from .pretokens import split
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 64
 _NO_PAIR = 1 << 60
 
@@ -142,7 +142,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, "text"):
                 packed = [own.encode(t) for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array(packed, pa.binary())]
@@ -160,7 +160,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", rank_file:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, "ids"):
                 texts = [own.decode(p) for p in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=[key, "decoded"])

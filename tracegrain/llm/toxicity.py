@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces
+from .arrow import pieces, released
 
 FOLDS = 5
 TRAIN_ROWS = 8_000
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*shared.value)
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, "text"):
                 p, a, b = zip(*map(own.score, part.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +226,7 @@ def reject(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*shared.value)
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, text):
                 yield part.filter(pa.array([own.score(t or "")[0] < 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
