@@ -231,13 +231,8 @@ def props_text(props: Column) -> Column:
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 
-def versions(assertions: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    """SCD-2 history per (session, entity_type, name) ordered by seq.
-
-    An assertion equal to the *active* state is a no-op.  A tombstone (key, seq, ts_us) closes the open
-    window, and the same state asserted after it opens a new one, because tombstones take part in the
-    ordered sequence before states are compared.
-    """
+def points(assertions: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """What each event says of a key: the key, seq, ts_us, source_hash, summary, props_text, gone (a tombstone)."""
     last = F.max_by(F.struct("ts_us", "source_hash", "summary", "props_text"), "idx")
     rows = (
         assertions.withColumn("props_text", props_text(F.col("props")))
@@ -247,14 +242,28 @@ def versions(assertions: DataFrame, tombstones: DataFrame | None = None) -> Data
     if tombstones is not None:
         rows = rows.unionByName(
             tombstones.select(*_KEY, "seq", "ts_us", F.lit(True).alias("gone")), allowMissingColumns=True)
+    return rows
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """Points with `changed` (not a repetition of the active state)."""
     state = F.when(~F.col("gone"), F.struct("summary", "props_text"))
     # each neighbour pass reads its input twice, so extraction and the first pass are cut instead of run again
     rows = cut(rows.withColumn("_slice", slice_of("seq")))
     rows = neighbour(rows, _KEY, ["seq", "gone"], state, "_prev")
-    changed = F.col("gone") | F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state)
-    points = cut(rows.filter(changed).drop("_prev"))
-    points = neighbour(points, _KEY, ["seq", "gone"], F.col("ts_us"), "valid_to", forward=True)
-    return points.filter("NOT gone").select(
+    return rows.withColumn("changed", F.col("gone") | F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state)).drop("_prev")
+
+
+def versions(assertions: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """SCD-2 history per (session, entity_type, name) ordered by seq.
+
+    An assertion equal to the *active* state is a no-op.  A tombstone (key, seq, ts_us) closes the open
+    window, and the same state asserted after it opens a new one, because tombstones take part in the
+    ordered sequence before states are compared.
+    """
+    found = cut(changes(points(assertions, tombstones)).filter("changed").drop("changed"))
+    found = neighbour(found, _KEY, ["seq", "gone"], F.col("ts_us"), "valid_to", forward=True)
+    return found.filter("NOT gone").select(
         *_KEY, "summary", "props_text", F.col("ts_us").alias("valid_from"), "valid_to",
         F.col("seq").alias("source_seq"), "source_hash")
 

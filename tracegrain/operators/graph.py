@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..ordered import salted_join
-from ..session import cut, parallelism
+from ..session import cut, parallelism, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -63,15 +63,8 @@ def causal_neighbours(edges: DataFrame, starts: DataFrame, direction: str, depth
 TEST_EVERY = 5
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 20, tol: float = 1e-8,
-             hub_edges: int = 100_000, cut_every: int = 5) -> DataFrame:
-    """Personalised PageRank (node, mass) on directed `edges` (src, dst; parallel edges count); zero mass is left out.
-
-    Dangling mass goes back to the seeds.  Edges are laid out once by (src, salt) with their share 1 / degree;
-    a node gets one salt per `hub_edges` neighbours, so a hub's edges never meet in one task and only mass rows move
-    per iteration.  Lineage is cut every `cut_every` iterations; convergence is tested at every TEST_EVERY-th one, against the
-    mass TEST_EVERY iterations before, whatever the graph and the cuts are like.
-    """
+def _laid_out(edges: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges by (src, salt) with share 1 / degree and the fan (salts) of their target, persisted; and all nodes with their fan."""
     links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))  # parallel edges travel as one weighted row
     degree = links.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("salts"))
     layout = links.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
@@ -83,6 +76,19 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
     layout = cut(layout).repartition(parallelism(edges.sparkSession), "src", "salt").sortWithinPartitions("src", "salt")
     layout = layout.persist(StorageLevel.MEMORY_AND_DISK)
     nodes = layout.select(F.col("dst").alias("node"), "fan").unionByName(degree.select(F.col("src").alias("node"), F.col("salts").alias("fan"))).distinct()
+    return layout, nodes
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 20, tol: float = 1e-8,
+             hub_edges: int = 100_000, cut_every: int = 5) -> DataFrame:
+    """Personalised PageRank (node, mass) on directed `edges` (src, dst; parallel edges count); zero mass is left out.
+
+    Dangling mass goes back to the seeds.  Edges are laid out once by (src, salt) with their share 1 / degree;
+    a node gets one salt per `hub_edges` neighbours, so a hub's edges never meet in one task and only mass rows move
+    per iteration.  Lineage is cut every `cut_every` iterations; convergence is tested at every TEST_EVERY-th one, against the
+    mass TEST_EVERY iterations before, whatever the graph and the cuts are like.
+    """
+    layout, nodes = _laid_out(edges, hub_edges)
     start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
     count = start.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not count:
@@ -117,6 +123,45 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations
     return mass.filter("mass > 0").select("node", "mass")
 
 
+def push_walks(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tol: float = 1e-3, rounds: int = 200, hub_edges: int = 100_000) -> DataFrame:
+    """Personalised PageRank of many queries at once by forward push: query, node, mass, error.
+
+    `seeds`: query, node; a query walks from its seeds in the graph, all alike, and one without such a seed has no rows.  Every (query, node) holds
+    what the walk has settled (mass) and what it has still to pass on (rest).  A round settles 1 - alpha of the rest of all nodes whose rest is
+    large for their query and pushes alpha of it along their edges; dead ends push to the seeds.  A query is done when its rests sum to
+    `tol` or less; `error` is that sum, and exactly the L1 distance to the walk's limit.  A rest is large if it exceeds tol / 2 over
+    the query's number of rests, so those that stay behind never hold more than tol / 2 together.
+
+    Queries share each round's job.  Edges lie by (node, salt) as for `pagerank`, so a hub's edges are spread and only rests move; the
+    state has a row for each node that a query's walk has reached.  With tol = 0 each round pushes all rests: `rounds` steps exactly.
+    """
+    layout, nodes = _laid_out(edges, hub_edges)
+    start = nodes.join(seeds.select("query", "node").distinct(), "node")
+    count = start.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
+    restart = stored(start.join(count, "query").select("query", "node", "fan", (1 / F.col("_n")).alias("restart")), "restart")
+    state = restart.select("query", "node", "fan", F.lit(0.0).alias("mass"), F.col("restart").alias("rest"))
+    left = F.sum("rest").alias("left")
+    for _ in range(rounds):
+        totals = stored(state.filter("rest > 0").groupBy("query").agg(left, F.count(F.lit(1)).alias("_n")), "rests")
+        active = totals.filter(F.col("left") > tol).select("query", (F.lit(tol / 2) / F.col("_n")).alias("_least"))
+        if active.isEmpty():
+            break
+        judged = state.join(active, "query", "left").withColumn("_push", F.coalesce(F.col("rest") > F.col("_least"), F.lit(False)))
+        judged = stored(judged.drop("_least"), "pushed")
+        pushed = judged.filter("_push")
+        settled = judged.select("query", "node", "fan", F.when(F.col("_push"), F.col("mass") + (1 - alpha) * F.col("rest")).otherwise(F.col("mass")).alias("mass"),
+                                F.when(F.col("_push"), 0.0).otherwise(F.col("rest")).alias("rest"))
+        spread = pushed.filter("fan > 0").select("query", F.col("node").alias("src"), "rest", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+        moved = layout.join(spread, ["src", "salt"]).select("query", F.col("dst").alias("node"), "fan", F.lit(0.0).alias("mass"), (alpha * F.col("rest") * F.col("share")).alias("rest"))
+        back = pushed.filter("fan = 0").groupBy("query").agg((alpha * F.sum("rest")).alias("_back"))
+        again = restart.join(back, "query").select("query", "node", "fan", F.lit(0.0).alias("mass"), (F.col("_back") * F.col("restart")).alias("rest"))
+        both = settled.unionByName(moved).unionByName(again)
+        state = stored(both.groupBy("query", "node", "fan").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest")), "walks")
+    layout.unpersist()
+    error = state.groupBy("query").agg(F.sum("rest").alias("error"))
+    return state.filter("mass > 0").join(error, "query").select("query", "node", "mass", "error")
+
+
 def top_mass(mass: DataFrame, n: int) -> DataFrame:
     return mass.orderBy(F.desc("mass"), "node").limit(n)
 

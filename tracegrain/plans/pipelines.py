@@ -11,10 +11,11 @@ from ..session import cut
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: Column, k: int = 10, profile: str = "balanced",
-                  dim: int = 64, edges: DataFrame | None = None) -> DataFrame:
+                  dim: int = 64, edges: DataFrame | None = None, walk: float = 0.0) -> DataFrame:
     """Batch of text queries over documents: exact, keyword, vector and traversal lanes, fused, then MMR.
 
-    Each lane is one job over the shared tables; every lane is cut to a candidate pool per query before fusion.
+    Each lane is one job over the shared tables; every lane is cut to a candidate pool per query before fusion.  With edges and a `walk`
+    weight, each query also walks from its fused hits, all queries in the same jobs, and the walk's mass is blended into their scores.
     """
     pool = max(3 * k, 16)
     terms = retrieval.query_terms(queries, query_id, text)
@@ -37,6 +38,11 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
         rows = rows.unionByName(lane(best.withColumnRenamed("node", "name"), "traversal", score))
     rows = rows.withColumns({"query_weight": F.lit(1.0), "valid_from": F.lit(None).cast("bigint"), "salience": F.lit(None).cast("string")})
     fused = cut(fusion.fuse(rows, profile))
+    if edges is not None and walk > 0:
+        hits = fused.select("query", F.col("name").alias("node"), "score")
+        walked = graph.push_walks(graph.undirected(edges), hits.select("query", "node"), tol=0.05).select("query", "node", "mass")
+        blended = fusion.blend_walk(hits, walked, walk).withColumnRenamed("node", "name")
+        fused = fused.drop("score").join(blended, ["query", "name"])
     words = docs.select(F.col(doc_id).alias("name"), F.array_distinct(long_words(text)).alias("words"))
     return fusion.mmr(fused.join(words, "name").select("query", F.col("name").alias("item"), "score", "lane", "words"), k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts as K
+from ..operators import history as H
+from ..session import shared_folder, stored
 from ..sources import logs as L
 from .base import query
 
@@ -159,6 +161,29 @@ def entity_versions(src):
     return _history(src)
 
 
+def _batches(rows):
+    """Three batches, the later ones full of late rows."""
+    return [rows.filter(F.col("seq") % 3 == i) for i in (1, 0, 2)]
+
+
+@query("entity_versions_incremental", f"WITH {_VERSIONS} SELECT session, entity_type, name, summary, props_text, valid_from, valid_to, source_seq, source_hash FROM vers")
+def entity_versions_incremental(src):
+    path, ents = shared_folder(src.spark, "history"), stored(_entities(src), "assertions")
+    for batch in _batches(ents):
+        H.merge(path, batch)
+    return H.read(src.spark, path)
+
+
+@query("edge_upsert_incremental", f"WITH {_VERSIONS}, {_UPSERTED} SELECT session, source_type, source, relation, target_type, target, valid_from, confidence, inferred, method, source_seq FROM ups")
+def edge_upsert_incremental(src):
+    ents, eds = K.entities_and_edges(src.mlog)
+    path, typed = shared_folder(src.spark, "edge-history"), stored(K.typed_edges(eds, ents), "typed-edges")
+    for batch in _batches(typed):
+        H.merge_edges(path, batch)
+    return H.read_edges(src.spark, path).select("session", "source_type", "source", "relation", "target_type", "target", "valid_from", "confidence",
+                                                "inferred", "method", "source_seq")
+
+
 @query("entities_as_of", f"""WITH {_VERSIONS} SELECT session, entity_type, name, summary, source_seq FROM vers
  WHERE valid_from <= {_T} AND (valid_to IS NULL OR {_T} < valid_to)""")
 def entities_as_of(src):

@@ -531,6 +531,34 @@ def walk_score_blend(src):
     return U.blend_walk(base, _walk(src).withColumn("query", F.lit(1))).select("node", F.round("score", 6).alias("score"))
 
 
+# one walk per region, from its richer suppliers
+_PUSH = """e AS (SELECT src, dst FROM @edges UNION ALL SELECT dst, src FROM @edges), d AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
+ sd AS (SELECT n_regionkey AS query, 's' || s_suppkey AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY n_regionkey) AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier) AND 's' || s_suppkey IN (SELECT src FROM e)), r0 AS MATERIALIZED (SELECT query, node, r AS rest FROM sd)"""
+for _i in range(1, 3):
+    _PUSH += f", r{_i} AS MATERIALIZED (SELECT query, e.dst AS node, sum(0.85::DOUBLE * rest / deg) AS rest FROM r{_i - 1} m JOIN e ON e.src = m.node JOIN d ON d.src = e.src GROUP BY ALL)"
+
+
+def _walk_seeds(src):
+    suppliers = src.supplier
+    rich = suppliers.filter(F.col("s_acctbal") > suppliers.agg(F.avg("s_acctbal").alias("m")).scalar())
+    return rich.join(src.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        F.col("n_regionkey").alias("query"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+
+
+@query("walk_push_steps", f"""WITH {_PUSH}, p AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)
+ SELECT query, node, round(sum(0.15::DOUBLE * rest), 9) AS mass, round(0.85::DOUBLE ** 3, 9) AS error FROM p GROUP BY query, node""")
+def walk_push_steps(src):
+    found = G.push_walks(G.undirected(src.edges), _walk_seeds(src), tol=0.0, rounds=3)
+    return found.select("query", "node", F.round("mass", 9).alias("mass"), F.round("error", 9).alias("error"))
+
+
+# walks to a bound; tests compare them with the limit
+@query("walk_push_bounded")
+def walk_push_bounded(src):
+    return G.push_walks(G.undirected(src.edges), _walk_seeds(src), tol=0.05)
+
+
 # --- set operators -------------------------------------------------------------------------------------------------------
 @query("fact_deduplication", f"""WITH l AS ({_LANES}) SELECT query, name, type, lane, seq FROM (SELECT *, row_number() OVER (PARTITION BY query, name, type ORDER BY raw_score DESC, seq) AS rn FROM l) WHERE rn = 1""")
 def fact_deduplication(src):
