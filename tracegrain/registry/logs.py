@@ -132,6 +132,10 @@ def source_refresh_plan(src):
   CASE WHEN length(u1) <= 240 THEN u1 ELSE rtrim(substr(u1, 1, 237)) || '...' END AS request_text,
   CASE WHEN length(a1) <= 240 THEN a1 ELSE rtrim(substr(a1, 1, 237)) || '...' END AS response_text FROM e""")
 def packet_summaries(src):
+    return L.packet_summaries(packets(src)).select("session", "source_seq", "model", "status_code", "request_text", "response_text")
+
+
+def packets(src):
     turns = src.conversations
     asked = turns.filter("role = 'user'")
     replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
@@ -140,9 +144,8 @@ def packet_summaries(src):
         F.concat(F.lit("model"), F.expr("conv_id % 3")).alias("model"), F.when(F.expr("turn % 5 = 4"), 500).otherwise(200).alias("status_code"),
         F.struct(F.struct(F.array(message("system", F.lit("rules")), message("user", F.col("text"))).alias("messages")).alias("body")).alias("request"),
         F.struct(F.struct(F.array(F.struct(F.struct(F.col("reply").alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
-    packets = asked.join(replies, ["conv_id", "turn"], "left").select(
+    return asked.join(replies, ["conv_id", "turn"], "left").select(
         F.concat(F.lit("conv"), "conv_id").alias("session"), (F.col("turn") + 1).alias("seq"), F.lit("h").alias("hash"), payload.alias("payload"))
-    return L.packet_summaries(packets).select("session", "source_seq", "model", "status_code", "request_text", "response_text")
 
 
 _RECORDS = """SELECT 'conv' || conv_id AS session, turn AS line, CASE WHEN role = 'user' THEN 'tool_use' ELSE 'tool_result' END AS kind,

@@ -25,7 +25,7 @@ RECORD = T.StructType([
 SESSION_ID = r"^[A-Za-z0-9_.-]{1,128}$"
 
 
-def _normalise(raw: DataFrame) -> DataFrame:
+def normalise(raw: DataFrame) -> DataFrame:
     v1 = F.col("integrity").isNotNull() & F.col("actorId").isNotNull()
     bare = lambda c: F.regexp_replace(c, "^sha256:", "")
     id_seq = F.regexp_extract("id", r"^evt_[a-z]+_(\d{12})_[a-f0-9]{16}$", 1)
@@ -50,7 +50,7 @@ def read_log(spark: SparkSession, path: str, line_order: bool = False) -> DataFr
         spark.read.schema(RECORD).json(path)
         .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
         .withColumn("_row", F.monotonically_increasing_id()))
-    rows = _normalise(raw)
+    rows = normalise(raw)
     if line_order:
         rows = row_numbers(rows, ["_file"], ["_block", "_row"], out="_line")
         rows = rows.withColumn("seq", F.coalesce("seq", "_line")).drop("_line")
