@@ -26,7 +26,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,20 +94,15 @@ def loss_and_slopes(weights: np.ndarray, leak: float, feature_at: np.ndarray, se
     return float(loss), grad, float(slope.sum() * sigmoid(leak))
 
 
-def screen(docs: list[np.ndarray], y: np.ndarray, least: float = SCREEN) -> np.ndarray:
-    """Sorted hashes of the features that go with toxic documents, by the likelihood ratio of document counts; docs are distinct hashes."""
-    on_hash, on = np.unique(np.concatenate([d for d, label in zip(docs, y, strict=True) if label]), return_counts=True)
-    off_hash, off_n = np.unique(np.concatenate([d for d, label in zip(docs, y, strict=True) if not label]), return_counts=True)
-    if not len(off_hash) or not len(on_hash):
-        return on_hash
-    at = np.minimum(np.searchsorted(off_hash, on_hash), len(off_hash) - 1)
-    off = np.where(off_hash[at] == on_hash, off_n[at], 0)
-    share, base = on / (on + off), y.mean()
-    ratio = 2 * (on * np.log(share / base) + np.where(off > 0, off * np.log(np.maximum(1 - share, 1e-300) / (1 - base)), 0.0))
-    return on_hash[(share > base) & (ratio >= least)]
+def screen(on: np.ndarray, off: np.ndarray, base: float, least: float = SCREEN) -> np.ndarray:
+    """Which features go with toxic documents, by the likelihood ratio of the counts of toxic and other documents that have them."""
+    share = on / np.maximum(on + off, 1)
+    ratio = 2 * (np.where(on > 0, on * np.log(np.maximum(share, 1e-300) / base), 0.0)
+                 + np.where(off > 0, off * np.log(np.maximum(1 - share, 1e-300) / (1 - base)), 0.0))
+    return (share > base) & (ratio >= least)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[dict[int, float], float]:
+def fit(texts: Iterable[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[dict[int, float], float]:
     """Feature weights and leak that minimise the noisy-or log loss (Adam on the whole sample; no random numbers)."""
     y = np.asarray(labels, dtype=np.int8)
     if len(set(labels)) < 2:
@@ -125,13 +120,21 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     words, lengths, doc_of = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (words, lengths, doc_of))
     width = len(features(""))
     table = np.fromiter((f for w in index for f in features(w)), np.uint32, width * len(index)).reshape(-1, width)
-    kept = screen([np.unique(table[np.unique(words[a:b])]) for a, b in zip(bounds, bounds[1:], strict=False)], y)
-    at = np.minimum(np.searchsorted(kept, table), max(len(kept) - 1, 0))
-    known = kept[at] == table if len(kept) else np.zeros(table.shape, bool)
-    useful = known.any(axis=1)[words] if len(words) else np.empty(0, bool)
+    del index
+    hashes = np.unique(table)
+    table = np.searchsorted(hashes, table).astype(np.int32)
+    counts = np.zeros((2, len(hashes)))
+    for label, a, b in zip(labels, bounds, bounds[1:], strict=False):  # document by document, so nothing of all documents is built
+        counts[label, np.unique(table[np.unique(words[a:b])])] += 1
+    chosen = screen(counts[1], counts[0], y.mean())
+    kept = hashes[chosen]
+    place = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+    known = chosen[table]
+    useful = np.flatnonzero(known.any(axis=1)[words]) if len(words) else np.empty(0, np.int64)
     near = words[useful]
-    sentence_of = np.repeat(np.repeat(np.arange(len(lengths)), lengths)[useful], width)[known[near].ravel()]
-    feature_at = at[near].ravel()[known[near].ravel()]
+    sentence_at = np.searchsorted(np.cumsum(lengths), useful, side="right")  # of the words that have a chosen feature
+    row, column = np.nonzero(known[near])
+    sentence_of, feature_at = sentence_at[row], place[table[near[row], column]]
     log_w, leak = np.full(len(kept), math.log(START_WEIGHT)), START_LEAK
     m, v, ml, vl = np.zeros_like(log_w), np.zeros_like(log_w), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -160,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         if total > chars:
             break
         count += 1
-    chosen = labelled.orderBy(*order, "digest").limit(count).select("text", "toxic").collect()
-    return fit([r["text"] for r in chosen], [int(r["toxic"] > 0) for r in chosen])
+    chosen = labelled.orderBy(*order, "digest").limit(count).select("text", "toxic").toArrow()
+    return fit((t.as_py() for t in chosen.column("text")), [int(n > 0) for n in chosen.column("toxic").to_pylist()])
 
 
 class Scorer(dict):
