@@ -151,7 +151,7 @@ def test_line_dedup(spark):
 
 
 def plain_runs(rows, least):
-    """Every run of lines, by brute force."""
+    """Every run of lines, by brute force; one that begins inside its own first place goes from that place's end on."""
     def spans(text):
         lines, at = text.split("\n"), [0]
         for line in lines:
@@ -167,7 +167,11 @@ def plain_runs(rows, least):
         for i, _, run in spans(text):
             first.setdefault(run, (key, i))
     for key, text in rows:
-        gone = {x for i, j, run in spans(text) if first[run] != (key, i) for x in range(i, j + 1)}
+        gone = set()
+        for i, j, run in spans(text):
+            first_key, at = first[run]
+            if (first_key, at) != (key, i):
+                gone.update(range(max(i, at + j - i + 1) if first_key == key else i, j + 1))
         lines = text.split("\n")
         out[key] = "\n".join(line for x, line in enumerate(lines) if x not in gone)
     return out
@@ -328,3 +332,19 @@ def test_toxicity_without_labels(spark):
     got = toxicity.predict(frame, none).collect()
     assert len(got) == 3 and all(r.predicted == 0 for r in got)
     assert toxicity.predict(frame.filter("false"), none).count() == 0
+
+
+def test_line_dedup_keeps_the_first_place_of_a_repeat_that_overlaps_it(spark):
+    line = "thirteen equal words " * 6 + "end"
+    texts = {1: "\n".join([line] * 10), 2: "\n".join(["own words"] + [line] * 3 + ["last one"]), 3: "\n".join([line] * 5)}
+    got = {r.doc_id: r.text for r in line_chunks.line_dedup(table(spark, list(texts.items())), run_words=line_chunks.RUN_WORDS).collect()}
+    assert got[1] == "\n".join([line] * 3)  # 57 words: the shortest run
+    assert got[2] == "own words\nlast one" and got[3] == ""
+
+
+def test_line_dedup_compares_bytes_where_hashes_agree(spark, monkeypatch):
+    a, b = "\n".join(f"first text line {i} of words" for i in range(12)), "\n".join(f"other text line {i} of words" for i in range(12))
+    monkeypatch.setattr(line_chunks, "_span_hash", lambda content: len(content).to_bytes(16, "little"))
+    got = {r.doc_id: (r.text, r.removed_chars) for r in line_chunks.line_dedup(table(spark, [(1, a), (2, b), (3, a)]), run_words=line_chunks.RUN_WORDS).collect()}
+    assert got[1] == (a, 0) and got[2] == (b, 0)
+

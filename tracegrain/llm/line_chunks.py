@@ -9,8 +9,11 @@ With `run_words`, every line goes that lies in a run of whole lines of so many w
 neighbours are.  It is enough to index the shortest such run from each line on and the shortest one up to each line: a longer
 run is covered by those inside it, line by line, and each of them stands earlier where the longer one does.
 
-Only hashes are counted over the whole corpus, combined before the shuffle.  Chunks and runs are compared with their first place by 128 bits of
-their bytes' hash; a passage that a third of all documents hold is one row on that side.
+Only hashes are counted over the whole corpus, combined before the shuffle; a passage that a third of all documents hold is one row on that
+side.  What agrees with its first place in 128 bits of hash is then compared with it byte by byte: spans of one text that lie at one distance from
+one first text are merged, and only these stretches, each once, are fetched and meet the stretches of the first text.
+
+A repeat that begins inside its own first place (equal lines in a row) loses only what lies past that place.
 
 Defined results: a null text stays null and an empty one empty; a text all of whose chunks go becomes empty; repeated rows (same id, same text) count
 as one document and get the same result; single short lines outside such runs stay, however frequent;
@@ -26,7 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import stored
 from .arrow import pieces
 
 BOUNDARY = 3
@@ -34,7 +39,8 @@ LONG_WORDS = 50
 MIN_WORDS = 10
 RUN_WORDS = 50
 
-_SCHEMA = "key long, digest long, start long, stop long, hash long, check long"
+_SCHEMA = "key long, digest long, start long, end long, stop long, hash long, check long"
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
 def chunks(text: str, boundary: int = BOUNDARY, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bool]]:
@@ -81,68 +87,131 @@ def runs(text: str, least: int = RUN_WORDS) -> Iterator[tuple[int, int, int]]:
             yield lines[first - 1][0], stop, end
 
 
+def _span_hash(content: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(content)
+
+
 def _find(docs: DataFrame, run_words: int | None) -> DataFrame:
     """Removable chunks and runs: key, digest (of the whole text), start, stop, and two halves of their hash."""
     rows = docs.select(F.col("key"), F.xxhash64("text").alias("digest"), "text").filter("text is not null")
-    names = ["key", "digest", "start", "stop", "hash", "check"]
+    hashed = _span_hash
+    names = ["key", "digest", "start", "end", "stop", "hash", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                keys, digests, starts, stops, hashes = [], [], [], [], []
+                keys, digests, starts, ends, stops, hashes = [], [], [], [], [], []
                 for key, digest, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     spans = {(start, stop, end) for start, stop, end, removable in chunks(text) if removable}
                     if run_words is not None:
                         spans.update(runs(text, run_words))
                     for start, stop, end in spans:
                         starts.append(start)
+                        ends.append(end)
                         stops.append(stop)
-                        hashes.append(xxhash.xxh3_128_digest(text[start:end].encode("utf-8")))
+                        hashes.append(hashed(text[start:end].encode("utf-8")))
                     keys += [key] * len(spans)
                     digests += [digest] * len(spans)
                 halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                columns = [pa.array(c, pa.int64()) for c in (keys, digests, starts, stops)] + [pa.array(halves[:, i].copy()) for i in (0, 1)]
+                columns = [pa.array(c, pa.int64()) for c in (keys, digests, starts, ends, stops)] + [pa.array(halves[:, i].copy()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], stop)
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _span_lists(column: pa.Array) -> list[list[tuple[int, int]]]:
+    return [[(s["start"], s["stop"]) for s in own or ()] for own in column.to_pylist()]
+
+
+@F.arrow_udf(_SPANS)
+def _merge(spans: pa.Array) -> pa.Array:
+    return pa.array([[{"start": a, "stop": b} for a, b in merged(own)] for own in _span_lists(spans)], spans.type)
+
+
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without the spans; where the last of it went, also without the line break that stood before."""
+    out, at = [], 0
+    for start, stop in merged(cuts):
+        out.append(text[at:start])
+        at = stop
+    rest = "".join(out)
+    return rest.removesuffix("\n") if at >= len(text) else rest + text[at:]
+
+
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else without(t, own) for t, own in zip(texts.to_pylist(), _span_lists(cuts), strict=True)], pa.string())
+
+
+_COPY = ["key", "digest", "first_key", "first_digest", "distance"]
+
+
+def _unequal(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """The alignments (of a text with a first text at a distance) whose bytes do not agree, although their hashes do."""
+    spans = F.explode(_merge(F.collect_set(F.struct("start", F.col("end").alias("stop")))))
+    joint = stored(matches.groupBy(*_COPY).agg(spans.alias("s")).select(*_COPY, "s.start", "s.stop"), "stretches")
+    first = joint.select(F.col("first_key").alias("key"), F.col("first_digest").alias("digest"),
+                         (F.col("start") - F.col("distance")).alias("start"), (F.col("stop") - F.col("distance")).alias("stop"))
+    asked = joint.select(*first.columns).unionByName(first).groupBy(F.col("key").alias("_key"), F.col("digest").alias("_digest")).agg(
+        F.collect_set(F.struct("start", "stop")).alias("asked"))
+    texts = docs.select("key", F.xxhash64("text").alias("digest"), "text")
+    rows = texts.join(asked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select("key", "digest", "text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                out = [(key, digest, a, b, text[a:b].encode("utf-8")) for key, digest, text, own in zip(
+                    *(c.to_pylist() for c in part.columns[:3]), _span_lists(part.column("asked")), strict=True) for a, b in own]
+                columns = zip(*out, strict=True) if out else ([],) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)],
+                                                 names=["_k", "_d", "_a", "_b", "bytes"])
+
+    found = stored(rows.mapInArrow(run, "_k long, _d long, _a long, _b long, bytes binary").dropDuplicates(["_k", "_d", "_a", "_b"]), "stretch-bytes")
+
+    def met(rows: DataFrame, key: str, digest: str, shift: Column, name: str) -> DataFrame:
+        at = F.col(key).eqNullSafe(F.col("_k")) & (F.col(digest) == F.col("_d")) & (F.col("start") - shift == F.col("_a")) & (F.col("stop") - shift == F.col("_b"))
+        return rows.join(found.withColumnRenamed("bytes", name), at).drop("_k", "_d", "_a", "_b")
+
+    both = met(met(joint, "key", "digest", F.lit(0), "own"), "first_key", "first_digest", F.col("distance"), "other")
+    return both.filter("own <> other").select(*_COPY).distinct()
+
+
 def repeated(docs: DataFrame, run_words: int | None = None) -> DataFrame:
     """Spans to remove: key, digest, start, stop.  `docs` has key and text."""
     place = F.struct("key", "digest", "start")
-    known = _find(docs, run_words).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "digest", "start", "check")).alias("first")).filter("n > 1")
-    copies = _find(docs, run_words).join(known.select("hash", "first"), "hash").filter(F.col("check") == F.col("first.check"))
-    return copies.filter(~place.eqNullSafe(F.struct("first.key", "first.digest", "first.start"))).select("key", "digest", "start", "stop")
-
-
-def _merged(spans: Column) -> Column:
-    """Sorted spans with those that touch each other made one."""
-    last = lambda s: F.element_at(s, -1)
-    joined = lambda s, c: F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(
-        last(s)["start"].alias("start"), F.greatest(last(s)["stop"], c["stop"]).alias("stop"))))
-    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>"), lambda s, c: F.when(
-        F.when(F.size(s) > 0, c["start"] <= last(s)["stop"]).otherwise(False), joined(s, c)).otherwise(F.concat(s, F.array(c))))
+    found = stored(_find(docs, run_words), "line-spans")
+    first = F.min(F.struct("key", "digest", "start", "stop"))
+    known = found.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").drop("n")
+    copies = found.join(known, ["hash", "check"]).filter(~place.eqNullSafe(F.struct("first.key", "first.digest", "first.start")))
+    inside = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("digest") == F.col("first.digest")) & (F.col("start") < F.col("first.stop"))
+    matches = stored(copies.select(
+        "key", "digest", "start", "end", "stop", F.when(inside, F.col("first.stop")).otherwise(F.col("start")).alias("from"),
+        F.col("first.key").alias("first_key"), F.col("first.digest").alias("first_digest"), (F.col("start") - F.col("first.start")).alias("distance")), "line-matches")
+    wrong = stored(_unequal(docs, matches), "unequal")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _COPY]
+    sure = matches.join(wrong.withColumnsRenamed({c: f"_{c}" for c in _COPY}), on, "left_anti")
+    return sure.filter(F.col("from") < F.col("stop")).select("key", "digest", F.col("from").alias("start"), "stop")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int | None = None) -> DataFrame:
     """`docs` without the repeated chunks and runs; the columns `_removed` (passages) and `_was` (code points before) follow those of `docs`."""
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    span = F.array_sort(F.collect_set(F.struct("start", "stop")))
-    cuts = repeated(own, run_words).groupBy(F.col("key").alias("_key"), F.col("digest").alias("_digest")).agg(span.alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", _merged(F.col("_cuts")))
-    length = F.length(F.col(text)).cast("long")
-    piece = lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def finish(state):
-        """The rest of the text, or, where the last chunk went, no line break that stood before it."""
-        bare = F.regexp_replace(state["out"], r"\n\z", "")
-        return F.when(state["at"] >= length, bare).otherwise(F.concat(state["out"], piece(state["at"], length)))
-
-    rest = F.aggregate("_cuts", empty, lambda s, c: F.struct(
-        F.greatest(s["at"], c["stop"]).alias("at"), F.concat(s["out"], piece(s["at"], c["start"])).alias("out")), finish)
+    cuts = repeated(own, run_words).groupBy(F.col("key").alias("_key"), F.col("digest").alias("_digest")).agg(F.collect_set(F.struct("start", "stop")).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", _merge(F.col("_cuts")))
     joined = docs.join(cuts, F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_digest")), "left")
-    cleaned = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(rest)
+    joined = joined.withColumn("_clean", _without(F.when(F.col("_cuts").isNotNull(), F.col(text)), F.col("_cuts")))  # only texts with cuts go to Python
+    cleaned = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.col("_clean"))
     return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns],
                          F.coalesce(F.size("_cuts"), F.lit(0)).alias("_removed"), F.length(F.col(text)).alias("_was"))
 
