@@ -6,6 +6,7 @@ Each stage reads what its predecessor kept, as Parquet, and its decisions take e
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracegrain.llm import bpe, jaccard_join, line_chunks, mixing, toxicity
 from tracegrain.session import stored
@@ -32,8 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of token ids and of what they decode to."""
-    return bpe.digests(docs)
+    """Token counts, digests of token ids and of what they decode to, and each row's position in the mix."""
+    place = mixing.mix(docs).groupBy(F.col("doc_id").alias("_key")).agg(F.min("position").alias("position"))
+    return bpe.digests(docs).join(place, F.col("doc_id").eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 STAGES = [
