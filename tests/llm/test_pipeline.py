@@ -7,7 +7,9 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
+from tracegrain.llm import mixing
 from tracegrain.session import stored
 
 from .test_groups import plain_join
@@ -62,3 +64,12 @@ def test_stages_take_empty_tables(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_the_mix_decides_positions(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 300").withColumn("source", F.expr("if(doc_id % 10 < 7, 'a', 'b')"))
+    own = {r.doc_id: r.position for r in corpus_pipeline.encode(spark, docs, folder).collect()}
+    assert own == {r.doc_id: r.position for r in mixing.mix(docs).collect()} and len(own) == docs.count()
+    plain = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda rows: plain(rows, exponent=-3.0))
+    assert {r.doc_id: r.position for r in corpus_pipeline.encode(spark, docs, folder).collect()} != own
