@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, long_words
 from ..ordered import running_sum, top_k
 from ..session import cut
+from . import membership
 
 K1, B = 1.5, 0.75
 
@@ -287,17 +288,20 @@ def baseline_rank(mode: str, cue: DataFrame, index: DataFrame, idf: DataFrame, f
 # ---------------------------------------------------------------------------------------------------------------------
 # feeling of knowing
 
-def feeling_of_knowing(queries: DataFrame, names: DataFrame, cues: DataFrame, salience: DataFrame) -> DataFrame:
+def feeling_of_knowing(queries: DataFrame, names: DataFrame, cues: DataFrame, salience: DataFrame, known_terms: membership.Filter | None = None) -> DataFrame:
     """Would a lookup likely return something?  .6 known-term ratio + .25 cue ratio + .15 salience share.
 
-    Queries: query, term; names: name; cues: term, hits; salience: name, score.  Known terms are an exact table
-    instead of a Bloom filter, so there are no false positives.
+    Queries: query, term; names: name; cues: term, hits; salience: name, score.  Known terms are an exact table, or a `known_terms` filter kept
+    from earlier, which may know a term too many but never one too few.
     """
     words = names.select("name", F.explode(F.array_distinct(long_words(F.col("name")))).alias("term"))
-    known = words.select("term").distinct().withColumn("_k", F.lit(1))
+    if known_terms is None:
+        queries = queries.join(words.select("term").distinct().withColumn("_k", F.lit(1)), "term", "left")
+    else:
+        queries = membership.might_contain(queries, "term", known_terms).withColumn("_k", F.col("maybe").cast("int")).drop("maybe")
     mass = words.join(salience, "name").groupBy("term").agg(F.sum("score").alias("_m"))
     total = salience.agg(F.sum("score").alias("t")).scalar()
-    rows = queries.join(known, "term", "left").join(cues.filter("hits > 0").select("term", F.lit(1).alias("_c")), "term", "left").join(mass, "term", "left")
+    rows = queries.join(cues.filter("hits > 0").select("term", F.lit(1).alias("_c")), "term", "left").join(mass, "term", "left")
     out = rows.groupBy("query").agg(F.avg(F.coalesce("_k", F.lit(0))).alias("known"), F.avg(F.coalesce("_c", F.lit(0))).alias("cued"),
                                     F.coalesce(F.sum("_m"), F.lit(0.0)).alias("_mass"))
     share = F.coalesce(F.least(F.lit(1.0), F.col("_mass") / total), F.lit(0.0))

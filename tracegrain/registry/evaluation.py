@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import plugins
 from ..functions import text as tx
+from ..operators import bootstrap as S
 from ..operators import compaction as C
 from ..operators import evaluation as E
 from ..operators import portable as P
@@ -72,6 +73,23 @@ def paired_comparison(src):
     return E.paired_comparison(src.sql(_RUNS), "view")
 
 
+_PAIRS = f"""SELECT b.backend AS baseline, a.case_id || '/' || a.run AS pair, a.score - b.score AS delta, a.score AS mine, b.score AS theirs FROM ({_RUNS}) a JOIN ({_RUNS}) b ON a.case_id = b.case_id AND a.run = b.run
+ WHERE a.backend = 'view' AND b.backend <> 'view'"""
+_DRAWS = f"""p AS ({_PAIRS}), d AS (SELECT p.*, blk, md5(pair || ':' || blk) AS h FROM p, range(0, 10) t(blk)),
+ u AS (SELECT d.*, i, ('0x' || substr(h, 8 * CAST(i AS INTEGER) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(0, 4) t(i)),
+ w AS (SELECT baseline, delta, mine, theirs, blk * 4 + i AS replicate, {" + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in S.STEPS)} AS w FROM u)"""
+
+
+@query("bootstrap_intervals", f"""WITH {_DRAWS}, r AS (SELECT baseline, replicate, sum(w * delta) / sum(w) AS m, sum(w * mine) / sum(w * theirs) AS q FROM w GROUP BY ALL)
+ SELECT baseline, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(quantile_cont(q, 0.025), 6) AS ratio_low, round(quantile_cont(q, 0.975), 6) AS ratio_high FROM r GROUP BY baseline""")
+def bootstrap_intervals(src):
+    pairs = src.sql(_PAIRS)
+    mean = S.intervals(pairs, ["baseline"], F.col("pair"), F.col("delta"), count=40)
+    ratio = S.intervals(pairs, ["baseline"], F.col("pair"), F.col("mine"), F.col("theirs"), count=40)
+    return mean.join(ratio.withColumnsRenamed({"low": "ratio_low", "high": "ratio_high"}), "baseline").select(
+        "baseline", *[F.round(c, 6).alias(c) for c in ("low", "high", "ratio_low", "ratio_high")])
+
+
 _THRESH = "SELECT * FROM (VALUES ('score_floor', 'score', 'min', 0.4), ('latency_budget', 'latency', 'max', 60.0), ('latency_regression', 'latency', 'ratio', 0.25), ('recall_floor', 'recall', 'min', 0.5)) t(check_name, metric, kind, bound)"
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import coresets as C
 from ..operators import fusion as U
 from ..operators import graph as G
 from ..operators import ivf as I
 from ..operators import keyword_index as K
+from ..operators import membership as M
 from ..operators import replay as R
 from ..operators import retrieval as B
 from ..operators import setops as O
@@ -206,6 +208,11 @@ def embedding_exemplars(src):
     return V.k_centres(_vectors(src), "label", 4)
 
 
+@query("embedding_exemplars_coreset", f"WITH {_KC} " + " UNION ALL ".join(f"SELECT label, vec_id, {i} AS position FROM p{i}" for i in range(1, 5)))
+def embedding_exemplars_coreset(src):
+    return C.k_centres(_vectors(src), "label", 4)
+
+
 _HASH = """tk AS (SELECT item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS t FROM benchmark), hx AS (SELECT id, sha256(t) AS h FROM tk),
  ce AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substr(h, 10, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM hx GROUP BY ALL),
  nr AS (SELECT id, sqrt(sum(x * x)) AS n FROM ce GROUP BY id)"""
@@ -443,12 +450,15 @@ def baseline_one_hop(src):
     return B.baseline_rank("one_hop", cue, index, idf, None, packets.agg(F.count(F.lit(1)).alias("n")).scalar(), 5)
 
 
-@query("feeling_of_knowing", """WITH nm AS (SELECT DISTINCT k, 'topic' || (k % 40) || ' ' || type AS name FROM @log), w AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS term FROM nm),
+_FOK = """WITH nm AS (SELECT DISTINCT k, 'topic' || (k % 40) || ' ' || type AS name FROM @log), w AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS term FROM nm),
  sal AS (SELECT name, max((k % 9) / 4.0) AS score FROM nm GROUP BY name), ms AS (SELECT term, sum(score) AS m FROM w JOIN sal USING (name) GROUP BY term),
  q AS (SELECT DISTINCT event_id AS query, unnest(['topic' || (cents % 60), type, 'word' || (k % 3)]) AS term FROM @log), c AS (SELECT DISTINCT type AS term FROM @log WHERE type <> 'view'),
  s AS (SELECT query, avg(CASE WHEN term IN (SELECT term FROM w) THEN 1 ELSE 0 END) AS kn, avg(CASE WHEN term IN (SELECT term FROM c) THEN 1 ELSE 0 END) AS cu, sum((SELECT m FROM ms WHERE ms.term = q.term)) AS mass FROM q GROUP BY query),
  z AS (SELECT query, round(0.6 * kn + 0.25 * cu + 0.15 * coalesce(least(1.0, mass / (SELECT sum(score) FROM sal)), 0.0), 6)::DOUBLE AS score FROM s)
- SELECT query, score, CASE WHEN score >= 0.55 THEN 'likely' WHEN score >= 0.2 THEN 'possible' ELSE 'unlikely' END AS verdict FROM z""")
+ SELECT query, score, CASE WHEN score >= 0.55 THEN 'likely' WHEN score >= 0.2 THEN 'possible' ELSE 'unlikely' END AS verdict FROM z"""
+
+
+@query("feeling_of_knowing", _FOK)
 def feeling_of_knowing(src):
     log = src.log
     named = log.select("k", F.expr("'topic' || (k % 40) || ' ' || type").alias("name")).distinct()
@@ -458,6 +468,26 @@ def feeling_of_knowing(src):
     return B.feeling_of_knowing(asked, named.select("name").distinct(), cues, sal).select("query", "score", "verdict")
 
 
+# the known terms as a filter of two merged parts, with a rate at which none of these queries meets a false positive
+@query("feeling_of_knowing_filtered", _FOK)
+def feeling_of_knowing_filtered(src):
+    log = src.log
+    named = log.select("k", F.expr("'topic' || (k % 40) || ' ' || type").alias("name")).distinct()
+    sal = named.groupBy("name").agg(F.max((F.col("k") % 9) / 4.0).alias("score"))
+    asked = log.select(F.col("event_id").alias("query"), F.explode(F.array(F.expr("'topic' || (cents % 60)"), F.col("type"), F.expr("'word' || (k % 3)"))).alias("term")).distinct()
+    cues = log.filter("type <> 'view'").groupBy(F.col("type").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
+    terms = named.select("k", F.explode(tx.long_words(F.col("name"))).alias("term"))
+    blocks = M.blocks_for(terms.select("term").distinct().count(), 1e-6)
+    known = M.merge(*[M.build(terms.filter(F.col("k") % 2 == i), blocks=blocks) for i in (0, 1)])
+    return B.feeling_of_knowing(asked, named.select("name").distinct(), cues, sal, known).select("query", "score", "verdict")
+
+
+@query("membership_filter", f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_T.format('text')}) AS term FROM documents) SELECT term, TRUE AS maybe FROM w WHERE doc_id % 2 = 0 GROUP BY term""")
+def membership_filter(src):
+    words = src.documents.filter("doc_id % 2 = 0").select(F.explode(tx.long_words(F.col("text"))).alias("term")).distinct()
+    return M.might_contain(words, "term", M.build(words))
+
+
 # --- graph ---------------------------------------------------------------------------------------------------------------
 @query("graph_traversal", """WITH RECURSIVE e AS (SELECT src, dst, relation FROM @geo UNION ALL SELECT dst, src, relation FROM @geo), st AS (SELECT 'r' || r_regionkey AS start FROM region),
  b AS (SELECT start, start AS node, 0 AS hops, [start] AS path, CAST([] AS VARCHAR[]) AS relations FROM st
