@@ -432,22 +432,36 @@ def baseline_cosine(src):
     return B.baseline_rank("cosine", cue, index, idf, None, 0, 5).withColumn("score", F.round("score", 6))
 
 
-@query("baseline_authority")
+_SAYS = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+@query("baseline_authority", f"""WITH {_IDX}, qn AS (SELECT query, sqrt(sum(coalesce(idf, 1.0) * coalesce(idf, 1.0))) AS qn FROM cue LEFT JOIN idf USING (term) GROUP BY query),
+ fl AS (SELECT doc, {_SAYS(B.BOOST_WORDS)} AS boost, {_SAYS(B.STALE_WORDS)} AS stale FROM pk),
+ s AS (SELECT query, doc, round(sum(idf) + sum(idf * idf) / (any_value(norm) * any_value(qn)) + CASE WHEN any_value(boost) THEN 0.35 ELSE 0 END - CASE WHEN any_value(stale) THEN 0.75 ELSE 0 END, 9) AS score
+  FROM cue JOIN tm USING (term) JOIN idf USING (term) JOIN nrm USING (doc) JOIN qn USING (query) JOIN fl USING (doc) GROUP BY ALL)
+ SELECT query, doc, round(score, 4)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def baseline_authority(src):
     cue = src.benchmark.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tx.long_words(F.col("text")))).alias("term"))
     packets = _packets(src)
     index, idf = B.packet_index(packets, "doc", F.col("text"))
     says = lambda words: F.greatest(*[F.contains(F.lower("text"), F.lit(w)) for w in words])
     flags = packets.select("doc", says(B.BOOST_WORDS).alias("boost"), says(B.STALE_WORDS).alias("stale"))
-    return B.baseline_rank("authority", cue, index, idf, flags, 0, 5)
+    return B.baseline_rank("authority", cue, index, idf, flags, 0, 5).withColumn("score", F.round("score", 4))
 
 
-@query("baseline_one_hop")
+@query("baseline_one_hop", f"""WITH {_IDX}, direct AS (SELECT query, doc, sum(idf) / any_value(norm) AS direct FROM cue JOIN tm USING (term) JOIN idf USING (term) JOIN nrm USING (doc) GROUP BY ALL),
+ seed AS (SELECT query, doc FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(direct, 9) DESC, doc) AS rn FROM direct WHERE direct > 0) WHERE rn = 1),
+ dfs AS (SELECT term, count(*) AS df FROM tm GROUP BY term), hop AS (SELECT query, term FROM seed JOIN tm USING (doc) JOIN dfs USING (term), nn WHERE df <= greatest(3, n // 2)),
+ act AS (SELECT query, term, coalesce(idf, 1.0) AS weight FROM (SELECT query, term FROM cue UNION SELECT query, term FROM hop) LEFT JOIN idf USING (term)),
+ an AS (SELECT query, sqrt(sum(weight * weight)) AS an FROM act GROUP BY query),
+ sp AS (SELECT query, doc, sum(weight * idf) / any_value(norm) AS s FROM act JOIN tm USING (term) JOIN idf USING (term) JOIN nrm USING (doc) GROUP BY ALL),
+ sc AS (SELECT sp.query, sp.doc, round(0.35 * coalesce(direct, 0.0) + s / an + sqrt(coalesce(direct, 0.0) * s / an), 9) AS score FROM sp JOIN an ON an.query = sp.query LEFT JOIN direct d ON d.query = sp.query AND d.doc = sp.doc)
+ SELECT query, doc, round(score, 4)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc WHERE score > 0) WHERE rank <= 5""")
 def baseline_one_hop(src):
     cue = src.benchmark.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tx.long_words(F.col("text")))).alias("term"))
     packets = _packets(src)
     index, idf = B.packet_index(packets, "doc", F.col("text"))
-    return B.baseline_rank("one_hop", cue, index, idf, None, packets.agg(F.count(F.lit(1)).alias("n")).scalar(), 5)
+    return B.baseline_rank("one_hop", cue, index, idf, None, packets.agg(F.count(F.lit(1)).alias("n")).scalar(), 5).withColumn("score", F.round("score", 4))
 
 
 _FOK = """WITH nm AS (SELECT DISTINCT k, 'topic' || (k % 40) || ' ' || type AS name FROM @log), w AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS term FROM nm),

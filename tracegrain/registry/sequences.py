@@ -51,11 +51,20 @@ def successful_runs(src):
         F.count(F.lit(1)).alias("length"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-_MINE = """WITH r AS (SELECT session, seq, CASE WHEN type = 'error' THEN '!' ELSE type END AS step FROM @log),
- w AS (SELECT session, seq, list(step) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM r),
- u AS (SELECT session, seq, ahead, CASE WHEN list_position(ahead, '!') > 0 THEN list_position(ahead, '!') - 1 ELSE len(ahead) END AS len FROM w),
- g AS (SELECT session, seq, array_to_string(ahead[1:n], '>') AS steps, n FROM (SELECT session, seq, ahead, unnest(range(2, CAST(len + 1 AS BIGINT))) AS n FROM u WHERE len >= 2)),
- m AS (SELECT steps, n, count(DISTINCT session) AS support, count(*) AS occurrences, min(seq) AS first_seq, list_sort(list(DISTINCT session)) AS sessions FROM g GROUP BY steps, n HAVING count(DISTINCT session) >= 2)"""
+def _mine(tag: str = "", where: str = "") -> str:
+    return f"""r{tag} AS (SELECT session, seq, CASE WHEN type = 'error' THEN '!' ELSE type END AS step FROM @log {where}),
+ w{tag} AS (SELECT session, seq, list(step) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM r{tag}),
+ u{tag} AS (SELECT session, seq, ahead, CASE WHEN list_position(ahead, '!') > 0 THEN list_position(ahead, '!') - 1 ELSE len(ahead) END AS len FROM w{tag}),
+ g{tag} AS (SELECT session, seq, array_to_string(ahead[1:n], '>') AS steps, n FROM (SELECT session, seq, ahead, unnest(range(2, CAST(len + 1 AS BIGINT))) AS n FROM u{tag} WHERE len >= 2)),
+ m{tag} AS (SELECT steps, n, count(DISTINCT session) AS support, count(*) AS occurrences, min(seq) AS first_seq, list_sort(list(DISTINCT session)) AS sessions FROM g{tag} GROUP BY steps, n HAVING count(DISTINCT session) >= 2)"""
+
+
+def _mined(tag: str = "") -> str:
+    return f"FROM m{tag} m WHERE NOT EXISTS (SELECT 1 FROM m{tag} o WHERE o.n > m.n AND o.support = m.support AND o.sessions = m.sessions AND contains('>' || o.steps || '>', '>' || m.steps || '>'))"
+
+
+_MINE = "WITH " + _mine()
+_EVEN = "WHERE CAST(regexp_extract(session, '[0-9]+') AS BIGINT) % 2 = 0"
 
 
 @query("procedure_ngrams", _MINE + " SELECT steps, count(*) AS occurrences, count(DISTINCT session) AS support FROM g GROUP BY steps")
@@ -64,13 +73,12 @@ def procedure_ngrams(src):
     return grams.groupBy("steps").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("session").alias("support"))
 
 
-@query("procedure_mining", _MINE + """ SELECT steps, n AS length, support, occurrences, first_seq, round(least(0.85, 0.5 + 0.05 * (support - 2)), 2)::DOUBLE AS confidence FROM m
- WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.n > m.n AND o.support = m.support AND o.sessions = m.sessions AND contains('>' || o.steps || '>', '>' || m.steps || '>'))""")
+@query("procedure_mining", _MINE + " SELECT steps, n AS length, support, occurrences, first_seq, round(least(0.85, 0.5 + 0.05 * (support - 2)), 2)::DOUBLE AS confidence " + _mined())
 def procedure_mining(src):
     return S.mine_procedures(_traces(src)).select("steps", "length", "support", "occurrences", "first_seq", "confidence")
 
 
-@query("procedure_mining_rerun", None)
+@query("procedure_mining_rerun", f"{_MINE}, {_mine('e', _EVEN)} SELECT steps, support FROM (SELECT steps, support {_mined()}) WHERE steps NOT IN (SELECT steps {_mined('e')})")
 def procedure_mining_rerun(src):
     """A second run leaves out what was proposed before; here before means sessions of even users."""
     mined = S.mine_procedures(_traces(src)).select("steps", "support")
