@@ -15,6 +15,7 @@ from ..plans import pipelines
 from ..streaming import jobs
 from .base import query
 from .facts import _entities
+from .replay import _GOV, _OUTCOMES, _outcomes
 from .retrieval import _BM25
 
 _RUNS = """SELECT type AS backend, k AS case_id, 'cat' || (k % 5) AS category, event_id % 10 AS run, CAST(max(cents % 10001) / 10000.0 AS DOUBLE) AS score, CAST(max(cents % 977) / 10.0 AS DOUBLE) AS latency_ms,
@@ -298,18 +299,29 @@ _CTX = """SELECT session AS query, event_id AS item, 'g' || (cents % 15) AS targ
 
 
 def _checkout(src):
-    from .replay import _GOV, _outcomes
     empty = F.array().cast("array<string>")
     contexts = src.sql(_CTX).withColumns({"query_cues": empty, "cues": empty})
     salience = src.log.select(F.expr("'g' || (cents % 15)").alias("target")).distinct().withColumn("salience", F.substring("target", 2, 9).cast("double") / 8.0)
     return pipelines.checkout(contexts, src.sql(_GOV), _outcomes(src), salience, budget=8, as_of_seq=60)
 
 
-@query("governed_checkout")
+_CHECKOUT = _OUTCOMES + f""", cg AS ({_GOV}), cw AS (SELECT session, seq FROM cg WHERE kind = 'rule' AND lower(trim(review_status)) IN ('pending', 'rejected', 'deferred')
+  UNION SELECT a.session, a.seq FROM cg a JOIN cg r ON r.session = a.session AND r.target_seq = a.seq AND r.kind = 'rollback' WHERE a.kind IN ('rule', 'correction')),
+ c0 AS (SELECT * FROM ({_CTX}) WHERE seq <= 60), ck AS (SELECT * FROM c0 WHERE (session, seq) NOT IN (SELECT (session, seq) FROM cw)),
+ cl AS (SELECT ck.* REPLACE (ck.score * coalesce(m.multiplier, 1.0) AS score), coalesce(m.suppress, FALSE) AS gone FROM ck LEFT JOIN m ON m.profile = ck.profile AND m.target = ck.target),
+ cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY ord) AS rn FROM cl WHERE NOT gone) WHERE rn = 1),
+ cs AS (SELECT cp.*, sal, least(10.0, greatest(0.01, coalesce(sal, 1.0)))::DOUBLE AS f FROM cp LEFT JOIN (SELECT DISTINCT 'g' || (cents % 15) AS target, (cents % 15) / 8.0 AS sal FROM @log) x ON x.target = cp.target),
+ cj AS (SELECT *, round(overlap * f, 6) AS prim, round(score * f, 6) AS fin, coalesce(sal < 0.15, FALSE) AS faint FROM cs)"""
+
+
+@query("governed_checkout", _CHECKOUT + """ SELECT query, item, key, prim AS "primary", rank FROM (SELECT *, row_number() OVER (PARTITION BY query
+  ORDER BY prim DESC, cited DESC, source_lane DESC, typed DESC, outcome DESC, valid_from DESC, fin DESC, item) AS rank FROM cj WHERE NOT faint OR exempt) WHERE rank <= 8""")
 def governed_checkout(src):
     return _checkout(src)["evidence"].select("query", "item", "key", "primary", "rank")
 
 
-@query("checkout_exclusions")
+@query("checkout_exclusions", _CHECKOUT + """ SELECT query, reason, count(*) AS rows FROM (
+  SELECT query, 'governance' AS reason FROM c0 WHERE (session, seq) IN (SELECT (session, seq) FROM cw) UNION ALL SELECT query, 'outcome_suppressed' FROM cl WHERE gone
+  UNION ALL SELECT query, 'attenuated' FROM cj WHERE faint AND NOT exempt) GROUP BY query, reason""")
 def checkout_exclusions(src):
     return _checkout(src)["excluded"].groupBy("query", "reason").agg(F.count(F.lit(1)).alias("rows"))
