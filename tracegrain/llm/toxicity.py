@@ -163,8 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         if total > chars:
             break
         count += 1
-    chosen = labelled.orderBy(*order, "digest").limit(count).select("text", "toxic").toArrow()
-    return fit((t.as_py() for t in chosen.column("text")), [int(n > 0) for n in chosen.column("toxic").to_pylist()])
+    chosen = labelled.orderBy(*order, "digest").limit(count).select("text", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(released(batches))
+        labels = [int(n > 0) for batch in held for n in batch.column("toxic").to_pylist()]
+        weights, leak = fit((t.as_py() for batch in held for t in batch.column("text")), labels)
+        yield pa.RecordBatch.from_arrays([pa.array([*weights, None], pa.int64()), pa.array([*weights.values(), leak], pa.float64())], names=["feature", "value"])
+
+    # one task, for the sample is bounded; repartitioned so that there is one also where the sample is empty
+    learned = chosen.repartition(1).sortWithinPartitions("text", "toxic").mapInArrow(learn, "feature long, value double").collect()
+    weights = {r["feature"]: r["value"] for r in learned if r["feature"] is not None}
+    return weights, next((r["value"] for r in learned if r["feature"] is None), START_LEAK)
 
 
 class Scorer(dict):
