@@ -14,12 +14,13 @@ class of the set (sizes grow by 1/0.8), so that a group holds a few shingles, an
 Whether a shingle is frequent is counted over all documents: tasks send the counts' hashes in packed blocks by hash range.  The most
 frequent FREQUENT_TOKENS with at least FREQUENT_COUNT documents are broadcast.  The choice moves work only, never a result.
 
-Equal sets are one node from the start.  The sets that share a signature are compared with its smallest node (the centre) first.  Those linked to it are
-connected; the others of a centre are then compared with all sets of that centre, in blocks, where neither size nor distance to
-the centre rules it out (Jaccard distance is a metric).  So a group of thousands of near copies costs one comparison each, and no
-pair is left out that could connect two components.  Pairs are screened first by bitmaps of the parities of hashed shingles: the bits in which
-two differ are no more than the shingles in which the sets differ, so what fails is not linked for certain, and shingles
-move only for the rest.  Comparisons are exact counts of shared shingles.
+Equal sets are one node from the start.  The sets that share a signature are compared with its smallest node (the centre) first.  The links found
+give components; the sets of a centre that are not linked to it are then compared with all sets of that centre which are in another component, in
+blocks, where neither size nor distance to the centre rules it out (Jaccard distance is a metric).  So a group of thousands of near copies costs
+one comparison each, and no pair is left out that could connect two components.  Pairs are screened first by sizes, then by bitmaps of the parities
+of hashed shingles: the bits in which two differ are no more than the shingles in which the sets differ, so what fails is not linked for certain, and
+shingles move only for the rest.  A bitmap has at least two bits for each shingle; of two lengths the longer is folded.  Comparisons are exact counts of
+shared shingles.
 
 Defined results: null or blank texts have no shingles, n_shingles 0 and their own id as component; texts below five words have one shingle;
 repeated rows belong to the component of their id; rows without an id get none; other columns are not read.
@@ -50,7 +51,7 @@ FLUSH_TOKENS = 1 << 20
 SEEN_SETS = 200_000
 FIRST_BLOCK, SECOND_BLOCK = 256, 1024
 BROADCAST_NODES = 500_000
-BITS = 2048
+LEAST_BITS = 2048
 
 
 class Seen(set):
@@ -209,14 +210,24 @@ def _linked(shared: int, n: int, m: int) -> bool:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles at each of BITS places."""
-    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Parity of the number of shingles at each of so many places: a power of two, at least LEAST_BITS and two for each shingle."""
+    bits = max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (along the last axis) as they are at a smaller number of places."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _possible(bits: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """Whether sets with these bitmaps and sizes can be linked to the one with `own` and n."""
-    apart = np.bitwise_count(bits ^ own).sum(axis=1, dtype=np.int64)
+    """Whether sets with these bitmaps (of one length) and sizes can be linked to the one with `own` and n."""
+    words = min(bits.shape[-1], own.shape[-1])
+    apart = np.bitwise_count(folded(bits, words) ^ folded(own, words)).sum(axis=-1, dtype=np.int64)
     few = apart * (100 + PERCENT) <= (sizes + n) * (100 - PERCENT)
     return few & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT)
 
@@ -225,9 +236,10 @@ def _screen(rows: DataFrame) -> DataFrame:
     """centre, node, possible from centre, node, bits, n, centre_bits, centre_n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (2, 4))
-            possible = _possible(bits, batch.column(3).to_numpy(), other, batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(possible)], names=["centre", "node", "possible"])
+            bits, other = ([np.frombuffer(b, np.uint64) for b in batch.column(k).to_pylist()] for k in (2, 4))
+            n, m = (batch.column(k).to_pylist() for k in (3, 5))
+            possible = [bool(_possible(*row)) for row in zip(bits, n, other, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(possible, pa.bool_())], names=["centre", "node", "possible"])
 
     return rows.select("centre", "node", "bits", "n", "centre_bits", "centre_n").mapInArrow(run, "centre long, node long, possible boolean")
 
@@ -246,15 +258,17 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.select("centre", "node", "tokens", "centre_tokens").mapInArrow(run, "centre long, node long, distance double, linked boolean")
 
 
-def _dealt(members: DataFrame, payload: list[str]) -> DataFrame:
-    """Members of centres in blocks: the unlinked ones of `u` (side 0) and all of `m` (side 1), sorted, a block in one partition."""
-    open_stars = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n_all"), F.sum((~F.col("linked")).cast("long")).alias("n_open")).filter("n_open > 0")
-    parts = open_stars.select(F.col("centre").alias("_centre"), F.ceil(F.col("n_open") / FIRST_BLOCK).cast("int").alias("n_u"),
-                              F.ceil(F.col("n_all") / SECOND_BLOCK).cast("int").alias("n_m"))
-    own = members.join(parts, F.col("centre") == F.col("_centre"))
+def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members of centres in blocks, with the columns of `payload` (node and others): the unlinked ones of `u` (side 0) and all of `m` (side 1), sorted, a
+    block in one partition.  Centres whose members are all in one component have nothing left to find."""
+    stars = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n_all"), F.sum((~F.col("linked")).cast("long")).alias("n_open"),
+                                          F.min("part").alias("low"), F.max("part").alias("high"))
+    parts = stars.filter("n_open > 0 and low <> high").select(
+        F.col("centre").alias("_centre"), F.ceil(F.col("n_open") / FIRST_BLOCK).cast("int").alias("n_u"), F.ceil(F.col("n_all") / SECOND_BLOCK).cast("int").alias("n_m"))
+    own = members.join(parts, F.col("centre") == F.col("_centre")).join(payload, "node")
     spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["centre", "u", "m", "side", "node", "distance", *payload]
+    columns = ["centre", "u", "m", "side", "node", "part", "distance", *(c for c in payload.columns if c != "node")]
     first = own.filter("not linked").withColumn("u", spread(F.col("n_u"), 1)).withColumn("m", every(F.col("n_m"))).withColumn("side", F.lit(0))
     second = own.withColumn("m", spread(F.col("n_m"), 2)).withColumn("u", every(F.col("n_u"))).withColumn("side", F.lit(1))
     placed = first.select(*columns).union(second.select(*columns)).repartition("centre", "u", "m")
@@ -266,47 +280,53 @@ def _near(distances: np.ndarray, distance: float) -> np.ndarray:
     return ~(np.abs(distances - distance) > 1 - PERCENT / 100 + 1e-9)
 
 
-def _active(members: DataFrame) -> DataFrame:
-    """centre, node of the members that can be linked to another member, by bitmaps; members has centre, node, distance, linked, bits, n."""
+def _active(members: DataFrame, small: DataFrame) -> DataFrame:
+    """centre, node of the members that, by bitmaps, can be linked to a member in another component; members has centre, node, distance, linked, part."""
+    def tables(first: list[tuple]) -> list[tuple]:
+        lengths = {}
+        for row in first:
+            lengths.setdefault(len(row[3]), []).append(row)
+        return [tuple(np.array([row[k] for row in rows]) for k in range(5)) for rows in lengths.values()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, first, table = None, [], None
+        own, first, held = None, [], None
         for batch in batches:
             found = set()
-            for centre, u, m, side, node, distance, bits, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for centre, u, m, side, node, part, distance, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != (centre, u, m):
-                    own, first, table = (centre, u, m), [], None
+                    own, first, held = (centre, u, m), [], None
+                bits = np.frombuffer(bits, np.uint64)
                 if side == 0:
-                    first.append((node, distance, np.frombuffer(bits, np.uint64), n))
+                    first.append((node, part, distance, bits, n))
                 elif first:
-                    if table is None:
-                        table = [np.array([f[k] for f in first]) for k in range(4)]
-                    nodes, distances, all_bits, sizes = table
-                    near = _possible(all_bits, sizes, np.frombuffer(bits, np.uint64), n) & _near(distances, distance) & (nodes != node)
-                    if near.any():
-                        found.add((centre, node))
-                        found.update((centre, x) for x in nodes[near].tolist())
+                    held = held or tables(first)
+                    for nodes, parts, distances, all_bits, sizes in held:
+                        near = _possible(all_bits, sizes, bits, n) & _near(distances, distance) & (parts != part)
+                        if near.any():
+                            found.add((centre, node))
+                            found.update((centre, x) for x in nodes[near].tolist())
             found = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["centre", "node"])
 
-    return _dealt(members, ["bits", "n"]).mapInArrow(run, "centre long, node long").distinct()
+    return _dealt(members, small.select("node", "n", "bits")).mapInArrow(run, "centre long, node long").distinct()
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Links (a, b) of unlinked members with others, those that connect something new in their block; members has centre, node, distance, linked, tokens."""
+def _blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) of unlinked members with others, those that connect components of their block; members has centre, node, distance, linked, part."""
     def links(first: list[tuple], second: tuple, parent: dict[int, int], table: tuple) -> Iterator[tuple[int, int]]:
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        node, distance, tokens = second
+        node, part, distance, tokens = second
         all_tokens, owner, sizes, distances = table
         n = len(tokens)
         at = np.searchsorted(tokens, all_tokens)
         shared = np.bincount(owner[tokens[np.minimum(at, n - 1)] == all_tokens], minlength=len(first))
         near = (100 * shared >= PERCENT * (sizes + n - shared)) & _near(distances, distance)
         for i in np.flatnonzero(near):
-            a, b = root(first[i][0]), root(node)
+            a, b = root(first[i][1]), root(part)
             if a != b:
                 parent[a] = b
                 yield first[i][0], node
@@ -315,20 +335,20 @@ def _blocks(members: DataFrame) -> DataFrame:
         own, first, table, parent = None, [], None, {}
         for batch in batches:
             found = []
-            for centre, u, m, side, node, distance, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for centre, u, m, side, node, part, distance, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != (centre, u, m):
                     own, first, table, parent = (centre, u, m), [], None, {}
-                row = (node, distance, np.frombuffer(tokens, "<u8"))
+                row = (node, part, distance, np.frombuffer(tokens, "<u8"))
                 if side == 0:
                     first.append(row)
                 elif first:
                     if table is None:
-                        table = (np.concatenate([f[2] for f in first]), np.repeat(np.arange(len(first)), [len(f[2]) for f in first]),
-                                 np.array([len(f[2]) for f in first]), np.array([f[1] for f in first]))
+                        table = (np.concatenate([f[3] for f in first]), np.repeat(np.arange(len(first)), [len(f[3]) for f in first]),
+                                 np.array([len(f[3]) for f in first]), np.array([f[2] for f in first]))
                     found += links(first, row, parent, table)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return _dealt(members, ["tokens"]).mapInArrow(run, "a long, b long").filter("a <> b")
+    return _dealt(members, tokens).mapInArrow(run, "a long, b long").filter("a <> b")
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -338,19 +358,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     centre = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
     stars = stored(index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct(), "stars")
     around = lambda df: df.select(*[F.col(c).alias("centre" if c == "node" else f"centre_{c}") for c in df.columns])
-    small = nodes.select("node", "n", "bits")
-    screened = stored(_screen(stars.join(small, "node").join(around(small), "centre")), "screened")
-
-    # shingles are fetched for the pairs that passed, and for members that may be linked to others than their centre
-    unlike = screened.filter("not possible").select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
+    sizes, small = nodes.select("node", "n"), nodes.select("node", "n", "bits")
+    fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * PERCENT
+    sized = stored(stars.join(sizes, "node").join(around(sizes), "centre").select("centre", "node", fits.alias("fits")), "sized")
+    screened = stored(_screen(sized.filter("fits").join(small, "node").join(around(small), "centre")), "screened")
+    unlike = sized.filter("not fits").select("centre", "node").union(screened.filter("not possible").select("centre", "node"))
+    unlike = unlike.select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
     hopeful = screened.filter("possible").select("centre", "node")
-    members = unlike.union(hopeful.select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(True).alias("linked")))
-    chosen = stored(hopeful.union(_active(members.join(small, "node"))).distinct(), "chosen")
-    wanted = chosen.select("node").union(hopeful.select("centre")).distinct().join(nodes, "node").select(F.col("key").alias("_key"))
-    wanted = stored(wanted, "wanted")
-    if wanted.count() <= BROADCAST_NODES:  # their ids go to the texts; beyond that both sides are shuffled
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("key") == F.col("_key"), "left_semi")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,11 +373,23 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    tokens = stored(texts.mapInArrow(packed, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
-    checked = _compare(hopeful.join(tokens, "node").join(around(tokens), "centre"))
-    compared = stored(checked.union(unlike), "compared")
-    more = _blocks(compared.join(chosen, ["centre", "node"], "left_semi").join(tokens, "node"))
-    return compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(more)
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """node and tokens of the nodes in `wanted`."""
+        ids = stored(wanted.distinct().join(nodes, "node").select(F.col("key").alias("_key")), "wanted")
+        if ids.count() <= BROADCAST_NODES:  # their ids go to the texts; beyond that both sides are shuffled
+            ids = F.broadcast(ids)
+        texts = docs.join(ids, F.col("key") == F.col("_key"), "left_semi")
+        return stored(texts.mapInArrow(packed, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
+
+    # shingles are fetched for the pairs that passed, then for members that may link two components
+    tokens = fetched(hopeful.select("node").union(hopeful.select("centre")))
+    compared = stored(_compare(hopeful.join(tokens, "node").join(around(tokens), "centre")).union(unlike), "compared")
+    tree = stored(components(compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "tree")
+    members = stored(compared.join(tree, "node", "left").select(
+        "centre", "node", "distance", "linked", F.coalesce("component", "node").alias("part")), "members")
+    active = stored(_active(members, small), "active")
+    more = _blocks(members.join(active, ["centre", "node"], "left_semi"), fetched(active.select("node")))
+    return tree.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
