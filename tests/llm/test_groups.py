@@ -219,3 +219,19 @@ def test_chat_folds_events(spark):
     small = chat.render(events, most=10)
     assert small.count() == 2
     assert chat.read_back(small).first().turns_sha256 == hashlib.sha256(b"user\nHi\nassistant\nright\n").hexdigest()
+
+
+def test_jaccard_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (4, 9, 60, 700, 1030, 5000, 20000):
+        whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.8, 0.81, 0.9, 1.0):  # a subset of this share has this Jaccard measure; bitmaps of the two may differ in length
+            part = whole[: -(-len(whole) * int(share * 100) // 100)]
+            for a, b in ((whole, part), (part, whole)):
+                assert jaccard_join._possible(jaccard_join.bitmap(a)[None], np.array([len(a)]), jaccard_join.bitmap(b), len(b)).all()
+        other = np.unique(rng.integers(0, 1 << 63, int(n * 0.9), dtype=np.uint64))
+        if n >= 700:  # large sets are told apart as well as small ones
+            assert not jaccard_join._possible(jaccard_join.bitmap(whole)[None], np.array([len(whole)]), jaccard_join.bitmap(other), len(other)).any()
+        bits = jaccard_join.bitmap(whole)
+        odd = np.bincount((whole & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+        assert (jaccard_join.folded(bits, 16) == np.packbits(odd.astype(np.uint8)).view(np.uint64)).all()
