@@ -114,3 +114,17 @@ def test_push_without_edges_or_seeds(spark):
     edges, seeds = spark.createDataFrame(EDGES, "src string, dst string"), spark.createDataFrame(SEEDS, "query int, node string")
     assert graph.push_walks(edges.filter("false"), seeds).count() == 0
     assert graph.push_walks(edges, seeds.filter("query = 3")).count() == 0
+
+
+def test_walks_in_many_cells_agree_and_leave_no_files_of_past_rounds(spark, monkeypatch):
+    import glob
+
+    from tracegrain.session import checkpoint_root
+    edges, seeds = spark.createDataFrame(EDGES, "src string, dst string"), spark.createDataFrame(SEEDS[:4], "query int, node string")
+    folders = lambda: set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/walks-*"))
+    plain = lambda rows: {(r.query, r.node): round(r.mass, 12) for r in rows}
+    whole, before = plain(graph.push_walks(edges, seeds, tol=0.0, rounds=3).collect()), folders()
+    monkeypatch.setattr(graph, "CELL_EDGES", 8, raising=False)
+    cells = plain(graph.push_walks(edges, seeds, tol=0.0, rounds=3, hub_edges=7).collect())
+    assert cells == whole
+    assert len(folders() - before) == 1

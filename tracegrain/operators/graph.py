@@ -6,17 +6,20 @@ spread by (node, salt) and the small frontier or mass row is repeated per salt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..ordered import salted_join
-from ..session import cut, parallelism, stored
+from ..session import cut, discard, parallelism, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    back = edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
-    return edges.unionByName(back)
+    """Every edge in both directions; `edges` is read once."""
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return edges.withColumn("_way", both).withColumns({"src": F.col("_way.src"), "dst": F.col("_way.dst")}).drop("_way")
 
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, relation: str | None = None, salts: int = 8) -> DataFrame:
@@ -61,66 +64,107 @@ def causal_neighbours(edges: DataFrame, starts: DataFrame, direction: str, depth
 
 
 TEST_EVERY = 5
+CELL_EDGES = 1 << 22
+
+
+class _Layout:
+    """Edges dealt into side x side cells by hashes of both ends, a cell in one partition, sorted by source; kept while a walk runs.
 
+    A node's mass goes to the `side` cells of its row, and a cell sends one sum per node it reaches: nodes x side rows move in a step, not one per edge.
+    A node of more than `hub_edges` edges has several rows and columns (`fan`), so a hub's edges are spread.
+    """
 
-def _laid_out(edges: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame]:
-    """Edges by (src, salt) with share 1 / degree and the fan (salts) of their target, persisted; and all nodes with their fan."""
-    links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))  # parallel edges travel as one weighted row
-    degree = links.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("salts"))
-    layout = links.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
-                                              (F.col("m") / F.col("deg")).alias("share"))
-    # every edge row knows how many salts its target has, so a step needs no lookup of the nodes it reaches
-    fan = degree.select(F.col("src").alias("dst"), F.col("salts").alias("fan"))
-    layout = layout.join(fan, "dst", "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
-    # kept partitioned and sorted by (src, salt): a cached table keeps both, a checkpoint would not
-    layout = cut(layout).repartition(parallelism(edges.sparkSession), "src", "salt").sortWithinPartitions("src", "salt")
-    layout = layout.persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = layout.select(F.col("dst").alias("node"), "fan").unionByName(degree.select(F.col("src").alias("node"), F.col("salts").alias("fan"))).distinct()
-    return layout, nodes
+    def __init__(self, edges: DataFrame, hub_edges: int):
+        self.spark = edges.sparkSession
+        edges = stored(edges.select("src", "dst"), "edges")
+        self.side = max(1, math.ceil(math.sqrt(edges.count() / CELL_EDGES)))
+        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+        degree = stored(degree.withColumn("fan", F.ceil(F.col("deg") / hub_edges).cast("int")), "degrees")
+        hubs = degree.filter("fan > 1")
+        rows = edges.join(hubs.select("src", F.col("fan").alias("_out")), "src", "left")
+        rows = rows.join(hubs.select(F.col("src").alias("dst"), F.col("fan").alias("_in")), "dst", "left")
+        one = F.lit(1)
+        salt = F.pmod(F.xxhash64("dst"), F.coalesce("_out", one)).cast("int")
+        column = self._place(F.col("dst"), F.pmod(F.xxhash64("src"), F.coalesce("_in", one)).cast("int"))
+        rows = rows.withColumn("salt", salt).select(self._cell(self._place(F.col("src"), F.col("salt")), column).alias("cell"), "src", "salt", "dst")
+        cells = rows.repartition(max(parallelism(self.spark), 2 * self.side ** 2), "cell")
+        # parallel edges travel as one weighted row; a cell holds all copies of an edge, so this moves nothing
+        cells = cells.groupBy("cell", "src", "salt", "dst").agg(F.count(F.lit(1)).alias("m")).sortWithinPartitions("cell", "src", "salt")
+        self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        ends = self.cells.select(F.col("dst").alias("node")).distinct()
+        nodes = ends.join(degree.withColumnRenamed("src", "node"), "node", "full")
+        self.nodes = stored(nodes.select("node", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("fan", F.lit(0)).alias("fan")), "nodes")
+        self.dangling = not self.nodes.filter("fan = 0").isEmpty()
+        discard(edges)
+
+    def _place(self, node: Column, salt: Column) -> Column:
+        return F.pmod(F.xxhash64(node, salt, F.lit(17)), F.lit(self.side)).cast("int")
+
+    def _cell(self, row: Column, column: Column) -> Column:
+        return row * self.side + column
+
+    def pushed(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """What nodes pass on in equal shares to the ends of their edges: keys, node, amount of rows with keys, node, amount, deg, fan."""
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        share = (F.col("amount") / F.col("deg")).alias("share")
+        spread = rows.filter("fan > 0").select(*keys, F.col("node").alias("src"), share, every(F.col("fan")).alias("salt"))
+        spread = spread.select(*keys, "src", "share", "salt", every(F.lit(self.side)).alias("_column"))
+        spread = spread.withColumn("cell", self._cell(self._place(F.col("src"), F.col("salt")), F.col("_column"))).drop("_column")
+        return self.cells.join(spread, ["cell", "src", "salt"]).select(*keys, F.col("dst").alias("node"), (F.col("m") * F.col("share")).alias("amount"))
+
+    def __enter__(self) -> _Layout:
+        # the cells lie by `cell` alone, a part of the join's key; the mass is then sent to them and they stay where they are
+        self.before = self.spark.conf.get(_WHOLE_KEY)
+        self.spark.conf.set(_WHOLE_KEY, "false")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(_WHOLE_KEY, self.before)
+        self.cells.unpersist()
+
+
+_WHOLE_KEY = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 20, tol: float = 1e-8,
              hub_edges: int = 100_000, cut_every: int = 5) -> DataFrame:
     """Personalised PageRank (node, mass) on directed `edges` (src, dst; parallel edges count); zero mass is left out.
 
-    Dangling mass goes back to the seeds.  Edges are laid out once by (src, salt) with their share 1 / degree;
-    a node gets one salt per `hub_edges` neighbours, so a hub's edges never meet in one task and only mass rows move
-    per iteration.  Lineage is cut every `cut_every` iterations; convergence is tested at every TEST_EVERY-th one, against the
+    Dangling mass goes back to the seeds.  Edges are laid out once in cells (`_Layout`), and only mass rows move per
+    iteration.  Lineage is cut every `cut_every` iterations; convergence is tested at every TEST_EVERY-th one, against the
     mass TEST_EVERY iterations before, whatever the graph and the cuts are like.
     """
-    layout, nodes = _laid_out(edges, hub_edges)
-    start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
-    count = start.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not count:
-        layout.unpersist()
-        if edges.isEmpty():
-            return edges.select(F.col("src").alias("node"), F.lit(0.0).alias("mass"))
-        raise ValueError("none of the seeds is a node of the graph")
-    restart = cut(start.withColumn("restart", F.lit(1.0 / count)))
-    mass = anchor = restart.select("node", "fan", F.col("restart").alias("mass"))
-    dangling = not layout.filter("fan = 0").isEmpty()
-    for step in range(1, iterations + 1):
-        back = F.lit(1 - alpha)
-        if dangling:
-            back = back + alpha * mass.filter("fan = 0").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d")).scalar()
-        spread = mass.filter("fan > 0").select(F.col("node").alias("src"), "mass", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-        pushed = layout.join(spread, ["src", "salt"]).select(F.col("dst").alias("node"), "fan", (alpha * F.col("mass") * F.col("share")).alias("mass"))
-        moved = pushed.unionByName(restart.select("node", "fan", (back * F.col("restart")).alias("mass"))).groupBy("node", "fan").agg(F.sum("mass").alias("mass"))
-        # a dangling total reads the mass a second time, so then every step is cut
-        tested = step % TEST_EVERY == 0 or step == iterations
-        if dangling or tested or step % cut_every == 0:
-            moved = cut(moved)
-        if tested:
-            change = F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))
-            # against the previous cut, so no uncut step is computed twice
-            delta = moved.join(anchor.select("node", F.col("mass").alias("_old")), "node", "full").agg(change.alias("d")).first()["d"] if step < iterations else 1.0
-            anchor = moved
+    with _Layout(edges, hub_edges) as layout:
+        start = layout.nodes.join(seeds.select("node").distinct(), "node", "left_semi")
+        count = start.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        if not count:
+            if layout.nodes.isEmpty():
+                return layout.nodes.select("node", F.lit(0.0).alias("mass"))
+            raise ValueError("none of the seeds is a node of the graph")
+        restart = stored(start.select("node", F.lit(1.0 / count).alias("restart")), "restart")
+        mass = anchor = restart.select("node", F.col("restart").alias("mass"))
+        for step in range(1, iterations + 1):
+            back = F.lit(1 - alpha)
+            if layout.dangling:
+                lost = mass.join(layout.nodes.filter("fan = 0"), "node", "left_semi")
+                back = back + alpha * lost.agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("d")).scalar()
+            amounts = mass.select("node", (alpha * F.col("mass")).alias("amount")).join(layout.nodes, "node")
+            again = restart.select("node", (back * F.col("restart")).alias("amount"))
+            moved = layout.pushed(amounts, []).unionByName(again).groupBy("node").agg(F.sum("amount").alias("mass"))
+            # a dangling total reads the mass a second time, so then every step is cut
+            tested = step % TEST_EVERY == 0 or step == iterations
+            if layout.dangling or tested or step % cut_every == 0:
+                moved = stored(moved, "mass")
+            if tested:
+                change = F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))
+                # against the previous cut, so no uncut step is computed twice
+                delta = moved.join(anchor.select("node", F.col("mass").alias("_old")), "node", "full").agg(change.alias("d")).first()["d"] if step < iterations else 1.0
+                anchor = moved
+                mass = moved
+                if delta < tol:
+                    break
             mass = moved
-            if delta < tol:
-                break
-        mass = moved
-    layout.unpersist()  # the last step was cut, nothing reads the layout any more
-    return mass.filter("mass > 0").select("node", "mass")
+        return mass.filter("mass > 0").select("node", "mass")
 
 
 def push_walks(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tol: float = 1e-3, rounds: int = 200, hub_edges: int = 100_000) -> DataFrame:
@@ -132,34 +176,35 @@ def push_walks(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tol: flo
     `tol` or less; `error` is that sum, and exactly the L1 distance to the walk's limit.  A rest is large if it exceeds tol / 2 over
     the query's number of rests, so those that stay behind never hold more than tol / 2 together.
 
-    Queries share each round's job.  Edges lie by (node, salt) as for `pagerank`, so a hub's edges are spread and only rests move; the
-    state has a row for each node that a query's walk has reached.  With tol = 0 each round pushes all rests: `rounds` steps exactly.
+    Queries share each round's job.  Edges lie in cells as for `pagerank`, so a hub's edges are spread and only rests move; the
+    state has a row for each node that a query's walk has reached, and the files of a round go when the next has been written.
+    With tol = 0 each round pushes all rests: `rounds` steps exactly.
     """
-    layout, nodes = _laid_out(edges, hub_edges)
-    start = nodes.join(seeds.select("query", "node").distinct(), "node")
-    count = start.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
-    restart = stored(start.join(count, "query").select("query", "node", "fan", (1 / F.col("_n")).alias("restart")), "restart")
-    state = restart.select("query", "node", "fan", F.lit(0.0).alias("mass"), F.col("restart").alias("rest"))
-    left = F.sum("rest").alias("left")
-    for _ in range(rounds):
-        totals = stored(state.filter("rest > 0").groupBy("query").agg(left, F.count(F.lit(1)).alias("_n")), "rests")
-        active = totals.filter(F.col("left") > tol).select("query", (F.lit(tol / 2) / F.col("_n")).alias("_least"))
-        if active.isEmpty():
-            break
-        judged = state.join(active, "query", "left").withColumn("_push", F.coalesce(F.col("rest") > F.col("_least"), F.lit(False)))
-        judged = stored(judged.drop("_least"), "pushed")
-        pushed = judged.filter("_push")
-        settled = judged.select("query", "node", "fan", F.when(F.col("_push"), F.col("mass") + (1 - alpha) * F.col("rest")).otherwise(F.col("mass")).alias("mass"),
-                                F.when(F.col("_push"), 0.0).otherwise(F.col("rest")).alias("rest"))
-        spread = pushed.filter("fan > 0").select("query", F.col("node").alias("src"), "rest", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-        moved = layout.join(spread, ["src", "salt"]).select("query", F.col("dst").alias("node"), "fan", F.lit(0.0).alias("mass"), (alpha * F.col("rest") * F.col("share")).alias("rest"))
-        back = pushed.filter("fan = 0").groupBy("query").agg((alpha * F.sum("rest")).alias("_back"))
-        again = restart.join(back, "query").select("query", "node", "fan", F.lit(0.0).alias("mass"), (F.col("_back") * F.col("restart")).alias("rest"))
-        both = settled.unionByName(moved).unionByName(again)
-        state = stored(both.groupBy("query", "node", "fan").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest")), "walks")
-    layout.unpersist()
-    error = state.groupBy("query").agg(F.sum("rest").alias("error"))
-    return state.filter("mass > 0").join(error, "query").select("query", "node", "mass", "error")
+    with _Layout(edges, hub_edges) as layout:
+        start = layout.nodes.join(seeds.select("query", "node").distinct(), "node")
+        count = start.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
+        restart = stored(start.join(count, "query").select("query", "node", (1 / F.col("_n")).alias("restart")), "restart")
+        state = restart.select("query", "node", F.lit(0.0).alias("mass"), F.col("restart").alias("rest"))
+        left = F.sum("rest").alias("left")
+        for _ in range(rounds):
+            totals = stored(state.filter("rest > 0").groupBy("query").agg(left, F.count(F.lit(1)).alias("_n")), "rests")
+            active = totals.filter(F.col("left") > tol).select("query", (F.lit(tol / 2) / F.col("_n")).alias("_least"))
+            if active.isEmpty():
+                break
+            judged = state.join(active, "query", "left").withColumn("_push", F.coalesce(F.col("rest") > F.col("_least"), F.lit(False)))
+            pushed = judged.filter("_push").select("query", "node", (alpha * F.col("rest")).alias("amount")).join(layout.nodes, "node")
+            nothing = F.lit(0.0)
+            settled = judged.select("query", "node", F.when(F.col("_push"), F.col("mass") + (1 - alpha) * F.col("rest")).otherwise(F.col("mass")).alias("mass"),
+                                    F.when(F.col("_push"), 0.0).otherwise(F.col("rest")).alias("rest"))
+            both = settled.unionByName(layout.pushed(pushed, ["query"]).select("query", "node", nothing.alias("mass"), F.col("amount").alias("rest")))
+            if layout.dangling:
+                back = pushed.filter("fan = 0").groupBy("query").agg(F.sum("amount").alias("_back"))
+                both = both.unionByName(restart.join(back, "query").select("query", "node", nothing.alias("mass"), (F.col("_back") * F.col("restart")).alias("rest")))
+            done, state = state, stored(both.groupBy("query", "node").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest")), "walks")
+            discard(done)
+            discard(totals)
+        error = state.groupBy("query").agg(F.sum("rest").alias("error"))
+        return state.filter("mass > 0").join(error, "query").select("query", "node", "mass", "error")
 
 
 def top_mass(mass: DataFrame, n: int) -> DataFrame:
