@@ -271,3 +271,20 @@ def test_retirement_closes_edges_of_its_type_only(spark):
     retired = spark.createDataFrame([("s", "p1", 9)], "session string, path string, invalid_at long")
     _, out = facts.retire_source(history, edges, retired, F.col("src"))
     assert {r.source_type: r.valid_to for r in out.collect()} == {"file": 9, "task": None}
+
+
+def test_nearest_overlap_over_many_cells(spark, monkeypatch):
+    from tracegrain.operators import overlap
+    for name, value in (("BLOCK", 7), ("SHARD", 5), ("CHUNK", 3)):
+        monkeypatch.setattr(overlap, name, value)
+    rnd = random.Random(9)
+    text = lambda: " ".join(f"w{min(int(rnd.expovariate(0.12)), 40)}" for _ in range(rnd.choice([2, 5, 12, 30])))
+    new, old = [(i, text()) for i in range(60)], [(i, text()) for i in range(100, 190)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.overlap, r.nearest) for r in retrieval.nearest_overlap(frame(new), frame(old), 0.4).collect()}
+    want = {}
+    for i, a in new:
+        near = [(len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())), -j) for j, b in old]
+        if max(near)[0] >= 0.4:
+            want[i] = (round(max(near)[0], 6), -max(near)[1])
+    assert got == want and len(want) > 20
