@@ -275,7 +275,7 @@ def test_retirement_closes_edges_of_its_type_only(spark):
 
 def test_nearest_overlap_over_many_cells(spark, monkeypatch):
     from tracegrain.operators import overlap
-    for name, value in (("BLOCK", 7), ("SHARD", 5), ("CHUNK", 3)):
+    for name, value in (("BLOCK_TOKENS", 60), ("SHARD_TOKENS", 90), ("CHUNK", 3)):
         monkeypatch.setattr(overlap, name, value)
     rnd = random.Random(9)
     text = lambda: " ".join(f"w{min(int(rnd.expovariate(0.12)), 40)}" for _ in range(rnd.choice([2, 5, 12, 30])))
