@@ -51,7 +51,7 @@ def audit(events: DataFrame, verdicts: DataFrame | None = None, recall_floor: fl
     recall = named.groupBy("session").agg(F.count(F.lit(1)).alias("identities"), F.count_if(F.contains("_rep", F.lower("identity"))).alias("kept"))
     base = rows.groupBy("session").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg(F.col("cited").cast("int")), 4).alias("citation_coverage"))
     texts = rows.select("session", F.struct("session", "seq").alias("vec_id"), "context")
-    vectors = hash_embedding(texts, "vec_id", F.col("context"), dim).select(F.col("vec_id.session").alias("session"), "vec_id", "vector")
+    vectors = hash_embedding(texts, "vec_id", F.col("context"), dim, unique=True).select(F.col("vec_id.session").alias("session"), "vec_id", "vector")
     out = base.join(recall, "session").join(mean_distance(vectors, "session").select("session", "spread"), "session")
     out = out.withColumn("identity_recall", F.round(F.col("kept") / F.col("identities"), 4))
     intact = F.lit(True)
@@ -67,7 +67,7 @@ def audit(events: DataFrame, verdicts: DataFrame | None = None, recall_floor: fl
 def projection(events: DataFrame, records: int, dim: int = 64) -> DataFrame:
     """Exemplar records per session with their text, identities and citation."""
     rows = event_identities(events)
-    vectors = hash_embedding(rows.select(F.struct("session", "seq").alias("key"), "context"), "key", F.col("context"), dim).select(
+    vectors = hash_embedding(rows.select(F.struct("session", "seq").alias("key"), "context"), "key", F.col("context"), dim, unique=True).select(
         F.col("key.session").alias("session"), F.col("key.seq").alias("vec_id"), "vector")
     chosen = k_centres(vectors, "session", records).withColumnRenamed("vec_id", "seq")
     return chosen.join(rows.select("session", "seq", "context", "identities", citation().alias("citation")), ["session", "seq"])

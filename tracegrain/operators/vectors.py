@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,35 +171,51 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return cells.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
 
 
-def _dense(dim: int):
-    """Sparse (index, value) cells of one row to a unit vector of `dim` values."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def fill(cells: pd.Series) -> pd.Series:
-        out = []
-        for row in cells:
-            v = np.zeros(dim)
-            for c in row:
-                v[c["i"]] = c["x"]
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n > 0 else v)
-        return pd.Series(out)
-
-    return fill
-
-
-def hash_embedding(texts: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
+EMBED_BYTES = 1 << 22  # text whose tokens are held at a time, or one text
+
+
+def _token_sums(dim: int):
+    """Signed token counts per bucket of each lower-cased text."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def sums(texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        out, begin = [], 0
+        while begin < len(texts):
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + EMBED_BYTES, "right")))
+            parts = pc.split_pattern_regex(texts.slice(begin, end - begin), r"[ \t\n\x0b\f\r]+")
+            row, tokens = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+            # blanks at a text's ends leave empty tokens, which count only where there are no others
+            full = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)
+            alone = np.setdiff1d(np.arange(end - begin), row[full])
+            coded = tokens.filter(pa.array(full)).dictionary_encode()
+            digests = [hashlib.sha256(token.encode()).hexdigest() for token in ("", *coded.dictionary.to_pylist())]
+            bucket = np.array([int(h[:8], 16) % dim for h in digests])
+            sign = np.array([1.0 if int(h[9], 16) % 2 else -1.0 for h in digests])
+            row = np.concatenate([row[full], alone])
+            code = np.concatenate([coded.indices.to_numpy(zero_copy_only=False) + 1, np.zeros(len(alone), dtype=np.int64)]).astype(np.int64)
+            out.append(np.bincount(row * dim + bucket[code], sign[code], minlength=(end - begin) * dim))
+            begin = end
+        flat = np.concatenate(out) if out else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(flat))
+
+    return sums
+
+
+def hash_embedding(texts: DataFrame, key: str, text: Column, dim: int = 64, unique: bool = False) -> DataFrame:
     """Feature-hash embedding: SHA-256 picks a bucket and a sign per whitespace token, then unit length.
 
-    One hash per distinct (text, token); rows are combined map-side.  Output: key, vector.
+    A text's tokens are counted where the text lies, each distinct token of a batch is hashed once, and only sums leave the task.  Texts of one key are
+    one text; where keys are `unique` nothing moves at all.  Output: key, vector.
     """
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-    rows = texts.select(key, F.explode(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))).alias("t"))
-    rows = rows.groupBy(key, "t").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.sha2("t", 256))
-    index = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % dim
-    sign = F.when(F.conv(F.substring("h", 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    cells = rows.groupBy(key, index.cast("int").alias("i")).agg(F.sum(F.col("n") * sign).cast("double").alias("x"))
-    return cells.groupBy(key).agg(F.collect_list(F.struct("i", "x")).alias("_c")).select(key, _dense(dim)(F.col("_c")).alias("vector"))
+    rows = texts.select(key, _token_sums(dim)(F.lower(text)).alias("_s"))
+    if not unique:
+        none = F.array_repeat(F.lit(0.0), dim)
+        rows = rows.groupBy(key).agg(F.collect_list("_s").alias("_a")).select(
+            key, F.aggregate("_a", none, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("_s"))
+    return rows.select(key, unit(F.col("_s")).alias("vector"))
 
 
 def re_embed(stored: DataFrame, texts: DataFrame, key: str, text: Column, tag: str, dim: int = 64) -> DataFrame:

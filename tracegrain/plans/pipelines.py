@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import long_words
 from ..operators import compaction, facts, fusion, graph, replay, retrieval, sequences, setops, vectors
-from ..session import cut
+from ..session import cut, stored
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: Column, k: int = 10, profile: str = "balanced",
@@ -19,11 +19,11 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
     """
     pool = max(3 * k, 16)
     terms = retrieval.query_terms(queries, query_id, text)
-    postings = cut(retrieval.document_terms(docs, doc_id, text, terms))
-    keyword = retrieval.bm25(terms, postings, retrieval.corpus_stats(docs, text), pool)
+    keyword = retrieval.bm25(terms, retrieval.document_terms(docs, doc_id, text, terms), retrieval.corpus_stats(docs, text), pool)
     asked = vectors.hash_embedding(queries, query_id, text, dim).withColumnRenamed(query_id, "query_id")
-    stored = vectors.hash_embedding(docs, doc_id, text, dim).withColumnRenamed(doc_id, "vec_id")
-    near = vectors.exact_search(stored, asked, pool)
+    # both sides are read for their counts and for their cells, so each text is embedded once
+    held = stored(vectors.hash_embedding(docs, doc_id, text, dim).withColumnRenamed(doc_id, "vec_id"), "embedded")
+    near = vectors.exact_search(held, stored(asked, "asked"), pool)
     asked_texts = queries.select(F.col(query_id).alias("query"), F.sha2(text, 256).alias("_d"), text.alias("_asked"))
     same = docs.select(F.col(doc_id).alias("name"), F.sha2(text, 256).alias("_d"), text.alias("_t")).join(asked_texts, "_d").filter("_t = _asked")
     lane = lambda df, name, score: df.select("query", "name", F.lit("document").alias("type"), F.lit(name).alias("lane"), score.cast("double").alias("raw_score"))
@@ -37,13 +37,15 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
         score = F.greatest(F.lit(0.1), F.lit(0.75) - F.when(F.col("hops") > 1, 0.05 * (F.col("hops") - 1)).otherwise(0.0))
         rows = rows.unionByName(lane(best.withColumnRenamed("node", "name"), "traversal", score))
     rows = rows.withColumns({"query_weight": F.lit(1.0), "valid_from": F.lit(None).cast("bigint"), "salience": F.lit(None).cast("string")})
-    fused = cut(fusion.fuse(rows, profile))
+    fused = stored(fusion.fuse(rows, profile), "fused")
     if edges is not None and walk > 0:
         hits = fused.select("query", F.col("name").alias("node"), "score")
         walked = graph.push_walks(graph.undirected(edges), hits.select("query", "node"), tol=0.05).select("query", "node", "mass")
         blended = fusion.blend_walk(hits, walked, walk).withColumnRenamed("node", "name")
         fused = fused.drop("score").join(blended, ["query", "name"])
-    words = docs.select(F.col(doc_id).alias("name"), F.array_distinct(long_words(text)).alias("words"))
+    # only the texts of hits are tokenised and moved
+    found = docs.select(F.col(doc_id).alias("name"), text.alias("_t")).join(fused.select("name").distinct(), "name", "left_semi")
+    words = stored(found.select("name", F.array_distinct(long_words(F.col("_t"))).alias("words")), "words")
     return fusion.mmr(fused.join(words, "name").select("query", F.col("name").alias("item"), "score", "lane", "words"), k)
 
 
