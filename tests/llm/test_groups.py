@@ -235,3 +235,14 @@ def test_jaccard_bitmaps_never_rule_out_a_link():
         bits = jaccard_join.bitmap(whole)
         odd = np.bincount((whole & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
         assert (jaccard_join.folded(bits, 16) == np.packbits(odd.astype(np.uint8)).view(np.uint64)).all()
+
+
+def test_jaccard_join_sends_batches_of_bounded_bytes(spark, monkeypatch):
+    seen, stage = [], jaccard_join.stored
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: seen.append(int(df.sparkSession.conf.get(key).rstrip("b"))) or stage(df, name))
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2 * 7 + j) % 50}" for j in range(40))) for i in range(40)], "doc_id long, text string")
+    assert jaccard_join.join(docs).count() == 40
+    assert seen and max(seen) <= 4 << 20  # pairs of shingle sets in batches of 64 MB took an executor beyond its memory
+    assert spark.conf.get(key) == before

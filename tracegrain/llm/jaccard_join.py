@@ -37,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .arrow import pieces
+from ..session import arrow_bytes, stored
+from .arrow import BATCH_BYTES, pieces, released
 from .components import components
 from .shingle_sets import digest, shingles, signed
 
@@ -109,7 +109,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(key, tokens) of batches with key and text."""
-    for batch in batches:
+    for batch in released(batches):
         for part in pieces(batch, "text"):
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 yield key, shingles(text)
@@ -118,7 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def classes(docs: DataFrame) -> DataFrame:
     """key, n_shingles, node (digest of the set; null for an empty set) and bits (its bitmap) of every row of (key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, "text"):
                 sets = [tokens for _, tokens in _sets([part])]
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +160,7 @@ def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
             return pa.RecordBatch.from_arrays([pa.array((value.astype(np.int64) | (bucket << (40 - bits))), pa.int64()), pa.array(n, pa.int64())], names=["token", "n"])
 
         own, blocks = None, []
-        for batch in batches:
+        for batch in released(batches):
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != own and blocks:
                     yield counted(own, blocks)
@@ -235,7 +235,7 @@ def _possible(bits: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> n
 def _screen(rows: DataFrame) -> DataFrame:
     """centre, node, possible from centre, node, bits, n, centre_bits, centre_n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             bits, other = ([np.frombuffer(b, np.uint64) for b in batch.column(k).to_pylist()] for k in (2, 4))
             n, m = (batch.column(k).to_pylist() for k in (3, 5))
             possible = [bool(_possible(*row)) for row in zip(bits, n, other, m, strict=True)]
@@ -247,7 +247,7 @@ def _screen(rows: DataFrame) -> DataFrame:
 def _compare(rows: DataFrame) -> DataFrame:
     """centre, node, distance, linked from node, tokens, centre, centre_tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             own = [(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             shared = [_shared(a, b) for a, b in own]
             linked = [_linked(s, len(a), len(b)) for s, (a, b) in zip(shared, own, strict=True)]
@@ -290,7 +290,7 @@ def _active(members: DataFrame, small: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first, held = None, [], None
-        for batch in batches:
+        for batch in released(batches):
             found = set()
             for centre, u, m, side, node, part, distance, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != (centre, u, m):
@@ -333,7 +333,7 @@ def _blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first, table, parent = None, [], None, {}
-        for batch in batches:
+        for batch in released(batches):
             found = []
             for centre, u, m, side, node, part, distance, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != (centre, u, m):
@@ -367,7 +367,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     hopeful = screened.filter("possible").select("centre", "node")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in pieces(batch, "text", 1 << 20):
                 sets = [tokens for _, tokens in _sets([part])]
                 yield pa.RecordBatch.from_arrays(
@@ -395,11 +395,12 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_shingles`, `component_id` of every row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = stored(classes(rows), "classes")
-    nodes = own.filter("node is not null and key is not null").groupBy("node").agg(
-        F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
-    nodes = stored(nodes, "nodes")
-    parts = components(links(rows.filter("key is not null"), nodes))  # a set without an id is no node and must not be a centre
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):  # rows hold a bitmap or all shingles of two texts
+        own = stored(classes(rows), "classes")
+        nodes = own.filter("node is not null and key is not null").groupBy("node").agg(
+            F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
+        nodes = stored(nodes, "nodes")
+        parts = components(links(rows.filter("key is not null"), nodes))  # a set without an id is no node and must not be a centre
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))
     placed = named.join(least, "part").select(F.col("node").alias("_node"), "component_id")
