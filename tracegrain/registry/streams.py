@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import discard, shared_folder, stored
 from ..sources import log_source as S
 from ..sources import logs as L
 from ..streaming import jobs as J
@@ -21,11 +21,15 @@ def _folders(src, *names):
 
 
 def _files(src, rows, n=3):
-    """`rows` as n appended sets of files, and a stream that takes a set's files one by one."""
-    path = shared_folder(src.spark, "stream-input")
+    """`rows` as n appended sets of files, and a stream that takes set by set; the rows are made once, by all tasks."""
+    path, files = shared_folder(src.spark, "stream-input"), [0]
+    dealt = stored(rows.withColumn("_set", F.pmod(F.xxhash64(*rows.columns), F.lit(n))), "stream-rows")
     for part in range(n):
-        rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == part).coalesce(1).write.mode("append").parquet(path)
-    return src.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt.filter(F.col("_set") == part).drop("_set").write.mode("append").parquet(path)
+        files.append(len(src.spark.read.schema(rows.schema).parquet(path).inputFiles()))
+    discard(dealt)
+    most = max(b - a for a, b in zip(files, files[1:], strict=False))
+    return src.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(path)
 
 
 def _envelopes(log):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,32 +34,69 @@ def project_events(stream: DataFrame, path: str, checkpoint: str, book: facts.Ru
     return append_batches(stream, lambda batch: facts.entities(batch, book), path, checkpoint, **trigger)
 
 
+WAIT_ROWS = 4096  # positions of a session that wait under one state key
+HELD_ROWS = 1 << 18  # rows of a session in memory at once
+
+
 class ChainVerifier(StatefulProcessor):
-    """Verify a session's chain from its verified tip; rows ahead of the tip wait, rows behind it are late."""
+    """Verify a session's chain from its verified tip; rows ahead of the tip wait, rows behind it are late.
+
+    Rows wait in runs of WAIT_ROWS positions, a state key each: every call to the state store is a round trip, so a batch makes a few for each run
+    that it touches and none for a row by itself.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tip = handle.getValueState("tip", "seq long, hash string")
-        self.waiting = handle.getMapState("waiting", "seq long", "hash string, prev_hash string, ok boolean")
+        self.waiting = handle.getMapState("waiting", "run long", "rows string")
+
+    def _held(self, run: int) -> dict[int, list]:
+        if not self.waiting.containsKey((run,)):
+            return {}
+        return {seq: rest for seq, *rest in json.loads(self.waiting.getValue((run,))[0])}
+
+    def _keep(self, run: int, rows: dict[int, list]) -> None:
+        self.waiting.updateValue((run,), (json.dumps([[seq, *rest] for seq, rest in rows.items()]),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        verdicts = lambda out: pd.DataFrame(out, columns=["session", "seq", "verdict"])
         seq, tip = self.tip.get() if self.tip.exists() else (0, None)
-        out = []
+        out, fresh, n = [], {}, 0
         for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.seq <= seq:
-                    out.append((key[0], int(r.seq), "late"))
+            for at, *rest in zip(pdf["seq"].tolist(), pdf["hash"], pdf["prev_hash"], map(bool, pdf["seal_ok"]), strict=True):
+                if at <= seq:
+                    out.append((key[0], at, "late"))
                 else:
-                    self.waiting.updateValue((int(r.seq),), (r.hash, r.prev_hash, bool(r.seal_ok)))
-        while self.waiting.containsKey((seq + 1,)):
-            row_hash, prev, ok = self.waiting.getValue((seq + 1,))
-            self.waiting.removeKey((seq + 1,))
-            seq += 1
-            good = ok and (prev is None if seq == 1 else prev == tip)
-            out.append((key[0], seq, "verified" if good else ("hash mismatch" if not ok else "link broken")))
-            tip = row_hash
+                    fresh.setdefault((at - 1) // WAIT_ROWS, {})[at] = rest
+                    n += 1
+            if n >= HELD_ROWS:
+                for run, new in fresh.items():
+                    self._keep(run, self._held(run) | new)
+                fresh, n = {}, 0
+        while True:
+            run, start = seq // WAIT_ROWS, seq
+            old = self._held(run)
+            new = fresh.pop(run, {})
+            ahead = old | new
+            while (row := ahead.pop(seq + 1, None)) is not None:
+                row_hash, prev, ok = row
+                seq += 1
+                good = ok and (prev is None if seq == 1 else prev == tip)
+                out.append((key[0], seq, "verified" if good else ("hash mismatch" if not ok else "link broken")))
+                tip = row_hash
+            if ahead and (new or seq > start):
+                self._keep(run, ahead)
+            elif old and not ahead:
+                self.waiting.removeKey((run,))
+            if len(out) >= HELD_ROWS:
+                yield verdicts(out)
+                out = []
+            if ahead or seq == start or seq % WAIT_ROWS:
+                break
+        for run, new in fresh.items():
+            self._keep(run, self._held(run) | new)
         self.tip.update((seq, tip))
         if out:
-            yield pd.DataFrame(out, columns=["session", "seq", "verdict"])
+            yield verdicts(out)
 
     def close(self) -> None:
         pass
