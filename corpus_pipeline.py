@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.llm import bpe, jaccard_join, line_chunks, mixing, toxicity
-from tracegrain.session import stored
+from tracegrain.session import coarse, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; documents of which nothing is left go."""
-    return line_chunks.without_repeats(docs, run_words=line_chunks.RUN_WORDS)
+    return coarse(line_chunks.without_repeats(docs, run_words=line_chunks.RUN_WORDS), docs.count())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of linked ones."""
-    return jaccard_join.one_of_each(docs)
+    return coarse(jaccard_join.one_of_each(docs), docs.count())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, digests of token ids and of what they decode to, and each row's position in the mix."""
     place = mixing.mix(docs).groupBy(F.col("doc_id").alias("_key")).agg(F.min("position").alias("position"))
-    return bpe.digests(docs).join(place, F.col("doc_id").eqNullSafe(F.col("_key")), "left").drop("_key")
+    return coarse(bpe.digests(docs).join(place, F.col("doc_id").eqNullSafe(F.col("_key")), "left").drop("_key"), docs.count())
 
 
 STAGES = [

@@ -246,3 +246,27 @@ def test_jaccard_join_sends_batches_of_bounded_bytes(spark, monkeypatch):
     assert jaccard_join.join(docs).count() == 40
     assert seen and max(seen) <= 4 << 20  # pairs of shingle sets in batches of 64 MB took an executor beyond its memory
     assert spark.conf.get(key) == before
+
+
+def test_components_write_few_files_however_many_partitions(spark, monkeypatch):
+    import importlib
+    rounds = importlib.import_module("tracegrain.llm.components")
+    files, stage = [], rounds.stored
+
+    def counted(df, name):
+        out = stage(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(rounds, "stored", counted)
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.node: r.component for r in components(spark.createDataFrame([(i, i + 3) for i in range(300)], "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 3 for i in range(303)}
+    assert len(files) > 1 and max(files[1:]) <= 12  # a file for each of 60 partitions before, in every round

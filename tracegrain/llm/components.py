@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import coarse, stored
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(edges.select("a", "b").filter("a <> b").distinct(), "links")
     seen = tuple(current.agg(*mark).first())
     while True:
-        current = stored(_contract(_contract(current, True), False), "links")
+        current = stored(coarse(_contract(_contract(current, True), False), seen[0]), "links")
         now = tuple(current.agg(*mark).first())
         if now == seen:
             break

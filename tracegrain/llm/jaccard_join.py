@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import arrow_bytes, stored
+from ..session import arrow_bytes, coarse, stored
 from .arrow import BATCH_BYTES, pieces, released
 from .components import components
 from .shingle_sets import digest, shingles, signed
@@ -351,17 +351,17 @@ def _blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
     return _dealt(members, tokens).mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that give the components of all links; `docs` has key and text, `nodes` node, its smallest key, n and bits."""
-    buckets = 1 << min(20, max(8, (max(1, docs.count()) // 256).bit_length()))
+def links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """Links (a, b) between nodes that give the components of all links; `docs` has key and text, about `rows` rows, `nodes` node, its smallest key, n and bits."""
+    buckets = 1 << min(20, max(8, (max(1, rows) // 256).bit_length()))
     index = _index(docs, frequent_tokens(docs, buckets))
     centre = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
-    stars = stored(index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct(), "stars")
+    stars = stored(coarse(index.withColumn("centre", centre).filter("centre <> node").select("centre", "node").distinct(), rows), "stars")
     around = lambda df: df.select(*[F.col(c).alias("centre" if c == "node" else f"centre_{c}") for c in df.columns])
     sizes, small = nodes.select("node", "n"), nodes.select("node", "n", "bits")
     fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * PERCENT
-    sized = stored(stars.join(sizes, "node").join(around(sizes), "centre").select("centre", "node", fits.alias("fits")), "sized")
-    screened = stored(_screen(sized.filter("fits").join(small, "node").join(around(small), "centre")), "screened")
+    sized = stored(coarse(stars.join(sizes, "node").join(around(sizes), "centre").select("centre", "node", fits.alias("fits")), rows), "sized")
+    screened = stored(coarse(_screen(sized.filter("fits").join(small, "node").join(around(small), "centre")), rows), "screened")
     unlike = sized.filter("not fits").select("centre", "node").union(screened.filter("not possible").select("centre", "node"))
     unlike = unlike.select("centre", "node", F.lit(float("nan")).alias("distance"), F.lit(False).alias("linked"))
     hopeful = screened.filter("possible").select("centre", "node")
@@ -375,19 +375,19 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def fetched(wanted: DataFrame) -> DataFrame:
         """node and tokens of the nodes in `wanted`."""
-        ids = stored(wanted.distinct().join(nodes, "node").select(F.col("key").alias("_key")), "wanted")
+        ids = stored(coarse(wanted.distinct().join(nodes, "node").select(F.col("key").alias("_key")), rows), "wanted")
         if ids.count() <= BROADCAST_NODES:  # their ids go to the texts; beyond that both sides are shuffled
             ids = F.broadcast(ids)
         texts = docs.join(ids, F.col("key") == F.col("_key"), "left_semi")
-        return stored(texts.mapInArrow(packed, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
+        return stored(coarse(texts.mapInArrow(packed, "node long, tokens binary").dropDuplicates(["node"]), rows), "tokens")
 
     # shingles are fetched for the pairs that passed, then for members that may link two components
     tokens = fetched(hopeful.select("node").union(hopeful.select("centre")))
-    compared = stored(_compare(hopeful.join(tokens, "node").join(around(tokens), "centre")).union(unlike), "compared")
-    tree = stored(components(compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "tree")
-    members = stored(compared.join(tree, "node", "left").select(
-        "centre", "node", "distance", "linked", F.coalesce("component", "node").alias("part")), "members")
-    active = stored(_active(members, small), "active")
+    compared = stored(coarse(_compare(hopeful.join(tokens, "node").join(around(tokens), "centre")).union(unlike), rows), "compared")
+    tree = stored(coarse(components(compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))), rows), "tree")
+    members = stored(coarse(compared.join(tree, "node", "left").select(
+        "centre", "node", "distance", "linked", F.coalesce("component", "node").alias("part")), rows), "members")
+    active = stored(coarse(_active(members, small), rows), "active")
     more = _blocks(members.join(active, ["centre", "node"], "left_semi"), fetched(active.select("node")))
     return tree.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
 
@@ -397,10 +397,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     with arrow_bytes(docs.sparkSession, BATCH_BYTES):  # rows hold a bitmap or all shingles of two texts
         own = stored(classes(rows), "classes")
+        n_rows = own.count()
         nodes = own.filter("node is not null and key is not null").groupBy("node").agg(
             F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
-        nodes = stored(nodes, "nodes")
-        parts = components(links(rows.filter("key is not null"), nodes))  # a set without an id is no node and must not be a centre
+        nodes = stored(coarse(nodes, n_rows), "nodes")
+        parts = components(links(rows.filter("key is not null"), nodes, n_rows))  # a set without an id is no node and must not be a centre
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))
     placed = named.join(least, "part").select(F.col("node").alias("_node"), "component_id")

@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import coarse, stored
 from .arrow import pieces
 
 BOUNDARY = 3
 LONG_WORDS = 50
 MIN_WORDS = 10
 RUN_WORDS = 50
+SPANS = 5
 
 _SCHEMA = "key long, digest long, start long, end long, stop long, hash long, check long"
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
@@ -157,10 +158,10 @@ def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
 _COPY = ["key", "digest", "first_key", "first_digest", "distance"]
 
 
-def _unequal(docs: DataFrame, matches: DataFrame) -> DataFrame:
+def _unequal(docs: DataFrame, matches: DataFrame, n_rows: int) -> DataFrame:
     """The alignments (of a text with a first text at a distance) whose bytes do not agree, although their hashes do."""
     spans = F.explode(_merge(F.collect_set(F.struct("start", F.col("end").alias("stop")))))
-    joint = stored(matches.groupBy(*_COPY).agg(spans.alias("s")).select(*_COPY, "s.start", "s.stop"), "stretches")
+    joint = stored(coarse(matches.groupBy(*_COPY).agg(spans.alias("s")).select(*_COPY, "s.start", "s.stop"), n_rows), "stretches")
     first = joint.select(F.col("first_key").alias("key"), F.col("first_digest").alias("digest"),
                          (F.col("start") - F.col("distance")).alias("start"), (F.col("stop") - F.col("distance")).alias("stop"))
     asked = joint.select(*first.columns).unionByName(first).groupBy(F.col("key").alias("_key"), F.col("digest").alias("_digest")).agg(
@@ -177,7 +178,7 @@ def _unequal(docs: DataFrame, matches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)],
                                                  names=["_k", "_d", "_a", "_b", "bytes"])
 
-    found = stored(rows.mapInArrow(run, "_k long, _d long, _a long, _b long, bytes binary").dropDuplicates(["_k", "_d", "_a", "_b"]), "stretch-bytes")
+    found = stored(coarse(rows.mapInArrow(run, "_k long, _d long, _a long, _b long, bytes binary").dropDuplicates(["_k", "_d", "_a", "_b"]), n_rows), "stretch-bytes")
 
     def met(rows: DataFrame, key: str, digest: str, shift: Column, name: str) -> DataFrame:
         at = F.col(key).eqNullSafe(F.col("_k")) & (F.col(digest) == F.col("_d")) & (F.col("start") - shift == F.col("_a")) & (F.col("stop") - shift == F.col("_b"))
@@ -191,14 +192,15 @@ def repeated(docs: DataFrame, run_words: int | None = None) -> DataFrame:
     """Spans to remove: key, digest, start, stop.  `docs` has key and text."""
     place = F.struct("key", "digest", "start")
     found = stored(_find(docs, run_words), "line-spans")
+    n_rows = found.count() // SPANS  # several spans are as much work as a text
     first = F.min(F.struct("key", "digest", "start", "stop"))
     known = found.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").drop("n")
     copies = found.join(known, ["hash", "check"]).filter(~place.eqNullSafe(F.struct("first.key", "first.digest", "first.start")))
     inside = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("digest") == F.col("first.digest")) & (F.col("start") < F.col("first.stop"))
-    matches = stored(copies.select(
+    matches = stored(coarse(copies.select(
         "key", "digest", "start", "end", "stop", F.when(inside, F.col("first.stop")).otherwise(F.col("start")).alias("from"),
-        F.col("first.key").alias("first_key"), F.col("first.digest").alias("first_digest"), (F.col("start") - F.col("first.start")).alias("distance")), "line-matches")
-    wrong = stored(_unequal(docs, matches), "unequal")
+        F.col("first.key").alias("first_key"), F.col("first.digest").alias("first_digest"), (F.col("start") - F.col("first.start")).alias("distance")), n_rows), "line-matches")
+    wrong = stored(coarse(_unequal(docs, matches, n_rows), n_rows), "unequal")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _COPY]
     sure = matches.join(wrong.withColumnsRenamed({c: f"_{c}" for c in _COPY}), on, "left_anti")
     return sure.filter(F.col("from") < F.col("stop")).select("key", "digest", F.col("from").alias("start"), "stop")
