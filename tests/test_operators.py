@@ -288,3 +288,16 @@ def test_nearest_overlap_over_many_cells(spark, monkeypatch):
         if max(near)[0] >= 0.4:
             want[i] = (round(max(near)[0], 6), -max(near)[1])
     assert got == want and len(want) > 20
+
+
+def test_extraction_fills_each_template_once(spark):
+    payloads = [("goal.created", {"title": "a b"}), ("unknown.type", {"TOKEN": "x", "toKen": "y", "tokens": "z", "note": "n"}),
+                ("coordination.conflict.detected", {"mission_id": "m", "claim_key": "c", "finding_ids": ["f1", " {", "f2"]})]
+    log = spark.createDataFrame([("s", i, i, t, "a", json.dumps(p), f"h{i}") for i, (t, p) in enumerate(payloads)],
+                                "session string, seq long, ts_us long, type string, actor string, payload string, hash string")
+    got = {r["name"]: r["summary"] for r in facts.entities(log).collect()}
+    assert got["event:unknown.type:1"] == "a emitted unknown.type note=n tokens=z"
+    for rows in (facts.extract(log), facts.entities(log), facts.edges(log)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        # filters on what templates give ran below them and filled them in again
+        assert not [line for line in plan if line.lstrip(" +-:").startswith("Filter") and "aggregate(" in line]

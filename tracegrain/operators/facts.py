@@ -25,6 +25,8 @@ _NESTED = ("source", "target", "purpose", "reverts", "evidence", "usage_counts",
            "answer_candidate")
 # payload keys left out of a generic summary (fixed values)
 _HIDDEN_KEYS = ("secret", "token", "password", "api_key", "access_token")
+# in any case; the Kelvin sign is the one letter outside ASCII whose lower case lies inside
+_HIDDEN = r"\A(?i:" + "|".join(_HIDDEN_KEYS).replace("k", r"[k\x{212A}]") + r")\z"
 
 GENERIC = "*"
 
@@ -86,7 +88,7 @@ _PART = """CASE
        THEN cast(least(1D, greatest(0D, try_cast(ctx[substring(p, 2)] AS double))) AS string) END
   WHEN p LIKE '^%' THEN CASE WHEN try_cast(ctx[substring(p, 2)] AS bigint) > 0
        THEN cast(try_cast(ctx[substring(p, 2)] AS bigint) AS string) END
-  ELSE nullif(trim(ctx[p]), '') END"""
+  ELSE get(filter(array(trim(ctx[p])), v -> v <> ''), 0) END"""  # nullif would look the key up twice
 
 
 def _pick(template: str) -> str:
@@ -107,7 +109,7 @@ def _context(events: DataFrame, generic: Column) -> DataFrame:
     nested = [_prefixed(F.from_json(F.col("_top")[key], "map<string,string>"), key + ".") for key in _NESTED]
     texts = F.transform(
         F.filter(F.array_sort(F.map_entries("_top")),
-                 lambda e: ~F.lower(e["key"]).isin(*_HIDDEN_KEYS) & (F.trim(e["value"]) != "") & ~e["value"].startswith("{")),
+                 lambda e: ~e["key"].rlike(_HIDDEN) & (F.trim(e["value"]) != "") & ~e["value"].startswith("{")),
         lambda e: F.when(e["value"].startswith("["), F.array_join(F.from_json(e["value"], "array<string>"), " "))
         .otherwise(F.concat(e["key"], F.lit("="), F.trim(e["value"]))))
     review = (F.when(F.col("_top")["decision"] == "accepted", "active").when(F.col("_top")["decision"] == "rejected", "rejected")
@@ -139,7 +141,9 @@ def _expand(events: DataFrame, book: RuleBook) -> DataFrame:
     rows = rows.filter(F.coalesce(ok, F.lit(False)))
     listed = F.from_json(F.col("ctx")[F.col("each")[0]], "array<string>")
     rows = rows.withColumn("_el", F.explode(F.when(F.col("each").isNull(), F.array(F.lit(None).cast("string"))).otherwise(listed)))
-    fields = F.from_json("_el", "map<string,string>")
+    # parsed once; a list's plain strings are no objects, and the parser would raise and drop an error for each
+    rows = rows.withColumn("_fields", F.when(F.col("_el").rlike(r"\A\s*\{"), F.from_json("_el", "map<string,string>")))
+    fields = F.col("_fields")
     inner = F.from_json(fields[F.get("each", F.lit(1))], "array<string>")
     rows = rows.withColumn("_sub", F.explode(
         F.when(F.size("each") > 1, inner).otherwise(F.array(F.lit(None).cast("string")))))
@@ -165,13 +169,14 @@ def extract(events: DataFrame, book: RuleBook | None = None) -> DataFrame:
     """
     book = book or RuleBook()
     rows = _expand(events, book)
-    return rows.select(
-        "session", "seq", "idx", "ts_us", F.col("hash").alias("source_hash"), "kind", "inferred",
+    texts = F.struct(
         F.expr(_pick("a")).alias("name"), F.expr(_pick("b")).alias("second"), F.expr(_pick("c")).alias("relation"),
         F.when(F.col("kind") == "entity", F.expr(_SUMMARY)).alias("_summary"),
         F.when(F.col("kind") == "edge", F.expr(f"transform(parts, t -> {_pick('t')})")).alias("_edge"),
-        F.expr(_PROPS).alias("props"),
-    ).filter("name IS NOT NULL AND second IS NOT NULL")
+        F.expr(_PROPS).alias("props"))
+    # a plain filter would be moved below the templates and fill in the names twice, as would the callers' filters on what comes out
+    whole = F.filter(F.array(texts), lambda t: t["name"].isNotNull() & t["second"].isNotNull())
+    return rows.select("session", "seq", "idx", "ts_us", F.col("hash").alias("source_hash"), "kind", "inferred", F.inline(whole))
 
 
 def flatten_list_text(text: Column) -> Column:
