@@ -128,3 +128,20 @@ def test_walks_in_many_cells_agree_and_leave_no_files_of_past_rounds(spark, monk
     cells = plain(graph.push_walks(edges, seeds, tol=0.0, rounds=3, hub_edges=7).collect())
     assert cells == whole
     assert len(folders() - before) == 1
+
+
+def test_edges_are_held_once_and_packed_for_both_ways(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"a{rng.randrange(300)}", f"b{rng.randrange(300)}") for _ in range(6000)] + [("hub", f"b{i}") for i in range(300)] + [("a1", "a1"), ("a1", None)]
+    edges, seeds = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(1, "a1"), (2, "hub"), (2, "b3")], "query int, node string")
+    monkeypatch.setattr(graph, "CELL_EDGES", 2000, raising=False)
+    layout = graph._Layout(edges, 700, True)
+    cells = layout.cells.collect()
+    assert len(cells) > layout.side * (layout.side + 1) / 2  # full cells go on as another one
+    held = [sum(graph._inflated(c.m)) if c.m else len(graph._inflated(c["keys"])) for c in cells]
+    assert sum(held) == len(rows) and max(held) <= 700
+    assert sum(len(c["keys"]) + len(c.m) for c in cells) < 6 * len(rows)
+    once = graph.push_walks(edges, seeds, tol=0.0, rounds=3, hub_edges=700, both=True)
+    twice = graph.push_walks(graph.undirected(edges), seeds, tol=0.0, rounds=3)
+    values = lambda df: {(r.query, r.node): round(r.mass, 12) for r in df.collect()}
+    assert values(once) == values(twice)

@@ -40,7 +40,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: st
     fused = stored(fusion.fuse(rows, profile), "fused")
     if edges is not None and walk > 0:
         hits = fused.select("query", F.col("name").alias("node"), "score")
-        walked = graph.push_walks(graph.undirected(edges), hits.select("query", "node"), tol=0.05).select("query", "node", "mass")
+        walked = graph.push_walks(edges, hits.select("query", "node"), tol=0.05, both=True).select("query", "node", "mass")
         blended = fusion.blend_walk(hits, walked, walk).withColumnRenamed("node", "name")
         fused = fused.drop("score").join(blended, ["query", "name"])
     # only the texts of hits are tokenised and moved
