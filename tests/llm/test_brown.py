@@ -166,3 +166,44 @@ def test_odd_tables(spark):
     assert only.count()
     blank = spark.createDataFrame([(i, None) for i in range(9)], "doc_id long, text string")
     assert {(r.n_tokens, r.n_known > 0) for r in brown.perplexities(blank).collect()} == {(1, True)}
+
+
+def test_words_below_the_share_have_classes_too(spark, monkeypatch):
+    monkeypatch.setattr(brown, "LEAST_SHARE", 0.02)
+    docs = table(spark, corpus())
+    rows = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    trained, known = brown.train(rows.filter(~brown.held_out(F.col("key"))), n_classes=6)
+    vocab, number = trained.vocab, trained.vocab.numbers()
+    counts = plain_counts([(r.key, r.text) for r in rows.collect()])
+    rest = {bytes(r.word): (r.n, r["class"]) for r in known.collect()}
+    assert 0 < vocab.tail and sum(n >= 2 for n, _ in rest.values()) > 20
+    assert all((own < 6) == (n >= 2) for n, own in rest.values())
+    texts = [(r.key, [brown.tokens(w.decode())[0] for w in split(r.text)]) for r in rows.collect()]
+
+    def place(word):
+        return trained.classes[vocab.end if word == "end" else number[word]] if word == "end" or word in number else rest.get(word, (0, trained.classes[vocab.tail]))[1]
+
+    def p(before, word, c):
+        own = trained.emission[vocab.end if word == "end" else number[word]] if word == "end" or word in number else None
+        if own is None:
+            own = c / trained.held[place(word)] if place(word) < 6 else (c + 1) * trained.emission[vocab.tail]
+        return brown.MIX * trained.transition[before, place(word)] * own + (1 - brown.MIX) * (c + 1) / (counts.total() + len(counts) + 1)
+
+    plain = np.zeros((8, 8))
+    for key, words in texts:
+        if not held(key):
+            of = [trained.classes[vocab.end], *map(place, [*words, "end"])]
+            np.add.at(plain, (of[:-1], of[1:]), 1)
+    prior = (trained.held + 1) / (counts.total() + 8)
+    assert np.allclose(trained.transition, (plain + brown.PRIOR * prior) / (plain.sum(axis=1, keepdims=True) + brown.PRIOR), rtol=1e-12)
+    seen = {"end": counts["end"]} | {brown.tokens(w.decode())[0]: n for w, n in counts.items() if w != "end"}
+    for before in range(8):
+        assert math.isclose(sum(p(before, w, seen.get(w, 0)) for w in [*seen, b"no such word"]), 1, rel_tol=1e-9)
+    of = dict(texts)
+    for r in brown.score(rows, trained, known).collect():
+        before, score = trained.classes[vocab.end], 0.0
+        for w in [*of[r.key], "end"]:
+            score += math.log10(p(before, w, seen.get(w, 0)))
+            before = place(w)
+        assert math.isclose(r.score, score, rel_tol=1e-9)
+        assert r.n_known == sum(w in seen for w in [*of[r.key], "end"])
