@@ -86,3 +86,10 @@ def test_hybrid_search_with_and_without_a_walk(spark):
     assert first(plain, "q1") == ["d0"] and first(plain, "q2") == ["d2"]
     walked = pipelines.hybrid_search(asked, docs, "qid", "id", F.col("text"), k=5, edges=edges, walk=0.5).collect()
     assert {r["item"] for r in walked if r["query"] == "q1"} >= {"d0", "d3"}  # reached by an edge only
+
+
+def test_identities_parse_a_payload_once(spark):
+    rows = [("s", 1, "note", "h" * 20, '{"taskId":"t1","title":"g","path":"a.py","start_line":"1","end_line":"2"}'), ("s", 2, "note", "i" * 20, "no json")]
+    found = compaction.identity_rows(spark.createDataFrame(rows, "session string, seq bigint, type string, hash string, payload string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+    assert {tuple(r) for r in found.collect()} == {("s", 1, "log://s/events/1#" + "h" * 12), ("s", 1, "a.py:1-2"), ("s", 1, "t1"), ("s", 1, "g"), ("s", 2, "log://s/events/2#" + "i" * 12)}

@@ -37,6 +37,13 @@ def event_identities(events: DataFrame) -> DataFrame:
     return rows.withColumns({"identities": F.array_distinct(F.concat(fixed, found)), "context": context, "cited": cited}).drop("_p")
 
 
+def identity_rows(events: DataFrame) -> DataFrame:
+    """session, seq, identity: a row for each identity of an event."""
+    # a plain explode would be preceded by a filter on the size of `identities`, in which each use of the payload parses it anew
+    rows = event_identities(events).select("session", "seq", F.explode_outer("identities").alias("identity"))
+    return rows.filter("identity IS NOT NULL")
+
+
 def audit(events: DataFrame, verdicts: DataFrame | None = None, recall_floor: float = 1.0, coverage_floor: float = 1.0, dim: int = 64) -> DataFrame:
     """Per session: would one representative keep every identity, and how spread are the events?
 

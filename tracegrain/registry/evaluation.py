@@ -170,7 +170,7 @@ _IDENTS = """idn AS (SELECT session, seq, unnest(list_distinct(['log://' || sess
 
 @query("event_identities", f"WITH {_IDENTS} SELECT session, seq, identity FROM idn")
 def event_identities(src):
-    return C.event_identities(src.mlog).select("session", "seq", F.explode("identities").alias("identity"))
+    return C.identity_rows(src.mlog)
 
 
 @query("compaction_audit", f"""WITH {_IDENTS}, rep AS (SELECT m.session, lower(m.type || ' text ' || (m.k % 30) || ' s' || (m.k % 6) || chr(10) || (SELECT string_agg(identity, chr(10)) FROM idn i WHERE i.session = m.session AND i.seq = 1)) AS r FROM @mlog m WHERE m.seq = 1),
