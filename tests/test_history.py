@@ -145,3 +145,14 @@ def test_edges_are_held_once_and_packed_for_both_ways(spark, monkeypatch):
     twice = graph.push_walks(graph.undirected(edges), seeds, tol=0.0, rounds=3)
     values = lambda df: {(r.query, r.node): round(r.mass, 12) for r in df.collect()}
     assert values(once) == values(twice)
+
+
+def test_a_merge_leaves_no_files_but_the_history(spark, tmp_path):
+    from tracegrain.session import checkpoint_root
+    root = checkpoint_root(spark).removeprefix("file:")
+    left = lambda: set(files(root)) | {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if "/rdd-" in d}
+    rows, gone = assertions(20, 5)
+    before = left()
+    history.merge(str(tmp_path / "history"), spark.createDataFrame(rows, ASSERT), spark.createDataFrame(gone, GONE))
+    assert left() <= before
+    assert plain(history.read(spark, str(tmp_path / "history"))) == plain(facts.versions(spark.createDataFrame(rows, ASSERT), spark.createDataFrame(gone, GONE)))

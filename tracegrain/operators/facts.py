@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ordered import neighbour, slice_of
-from ..session import cut
+from ..session import cut, kept
 from .rules import BUILT_IN, Edge, Entity, Rule
 
 _TEMPLATE = T.ArrayType(T.ArrayType(T.StringType()))
@@ -253,8 +253,8 @@ def points(assertions: DataFrame, tombstones: DataFrame | None = None) -> DataFr
 def changes(rows: DataFrame) -> DataFrame:
     """Points with `changed` (not a repetition of the active state)."""
     state = F.when(~F.col("gone"), F.struct("summary", "props_text"))
-    # each neighbour pass reads its input twice, so extraction and the first pass are cut instead of run again
-    rows = cut(rows.withColumn("_slice", slice_of("seq")))
+    # each neighbour pass reads its input twice, so extraction and the first pass are stored instead of run again
+    rows = kept(rows if "_slice" in rows.columns else rows.withColumn("_slice", slice_of("seq")), "sliced")
     rows = neighbour(rows, _KEY, ["seq", "gone"], state, "_prev")
     return rows.withColumn("changed", F.col("gone") | F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state)).drop("_prev")
 

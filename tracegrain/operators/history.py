@@ -15,8 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ordered import neighbour
-from ..session import cut, stored
+from ..ordered import neighbour, slice_of
+from ..session import discard, stored, swept
 from . import facts
 
 SESSION_BUCKETS = 64
@@ -56,6 +56,7 @@ def _replace(rows: DataFrame, path: str, name: str) -> None:
     """Writes the partitions that `rows` has, once they are complete, and leaves the others."""
     done = stored(rows, name)
     done.repartition(*_PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PLACE).parquet(path)
+    discard(done)
 
 
 def merge(path: str, assertions: DataFrame, tombstones: DataFrame | None = None) -> None:
@@ -64,10 +65,14 @@ def merge(path: str, assertions: DataFrame, tombstones: DataFrame | None = None)
     batch = stored(_placed(facts.points(assertions, tombstones), "entity_type", "name"), "points")
     old = _held(spark, path, batch.select(*_PLACE).distinct())
     rows = _latest(old, batch, [*_KEY, "seq", "gone"], F.col("_new"), _POINT)
-    marked = cut(facts.changes(rows))
+    sliced = stored(rows.withColumn("_slice", slice_of("seq")), "sliced")
+    marked = stored(facts.changes(sliced), "marked")
     found = neighbour(marked.filter("changed"), _KEY, ["seq", "gone"], F.col("ts_us"), "valid_to", forward=True)
     repeats = marked.filter("not changed").withColumn("valid_to", F.lit(None).cast("bigint"))
-    _replace(found.unionByName(repeats).drop("_slice"), path, "history")
+    _replace(found.unionByName(repeats).drop("_slice"), path, "history-part")
+    for done in (batch, sliced, marked):
+        discard(done)
+    swept(spark)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +86,7 @@ def merge_edges(path: str, edges: DataFrame) -> None:
     batch = stored(_placed(edges.select(*_EDGE, *_EDGE_REST), "source", "target"), "edges")
     old = _held(edges.sparkSession, path, batch.select(*_PLACE).distinct())
     _replace(_latest(old, batch, _EDGE, F.struct("seq", "idx", "_new"), _EDGE_REST), path, "edge-table")
+    discard(batch)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
